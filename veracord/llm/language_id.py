@@ -1,18 +1,19 @@
 """Language identification by compression.
 
 Each language gets a zstandard raw-content dictionary made of labelled text. A text
-is lower-cased, all but letters becomes single spaces, and it is cut into blocks, every block is compressed once with each dictionary, and the
-language whose dictionary leaves the fewest bytes over the whole text wins. Blocks
-keep the dictionary in reach all along a long text. Where the gap to the
-runner-up, as a share of its bytes, is below ``margin``, the result is rejected.
+is lower-cased, all but its letters becomes single spaces, and it is cut into blocks;
+every block is compressed once with each dictionary, and the language whose dictionary
+leaves the fewest bytes over the whole text wins. Blocks keep the dictionary in reach
+all along a long text. Where the gap to the runner-up, as a share of its bytes, is
+below ``margin``, the result is rejected.
 
 Training takes a bounded sample: of each language the ``sample_docs`` labelled
 texts with the smallest keyed hash of doc_id, of each an excerpt of at most
 ``dict_bytes // 8`` bytes, up to ``dict_bytes`` in all. Prediction reads whole texts,
 and never language, source or id.
 
-Scale: training shuffles at most ``sample_docs`` rows per language and task (top-k
-within tasks first); prediction is one pass without a shuffle. What is sent to the
+Scale: training ranks (language, hash) pairs, at most ``sample_docs`` per language and
+task before the shuffle, and broadcasts the chosen pairs to fetch their texts; prediction is one pass without a shuffle. What is sent to the
 workers is bounded by ``dict_bytes`` times the number of languages, and languages
 are limited to ``max_languages`` (an error beyond, never a silent cut).
 
@@ -53,14 +54,11 @@ def held_out(doc_id: Column) -> Column:
 
 def train(labelled: DataFrame, sample_docs: int = 64, dict_bytes: int = 49152, max_languages: int = 300) -> dict[str, bytes]:
     """Dictionaries by language from ``labelled(doc_id, text, lang)``."""
-    rows = labelled.where(F.col("lang").isNotNull() & (F.length("text") > 0)).select(
-        "lang", F.xxhash64(F.lit("dictionary"), "doc_id").alias("at"), F.encode(F.substr("text", F.lit(1), F.lit(dict_bytes // 8)), "UTF-8").alias("text")
-    )
-    # the k smallest per language: first within each task's share, so no language's rows meet in one task
-    few = rows.withColumn("part", F.spark_partition_id())
-    for keys in (("lang", "part"), ("lang",)):
-        few = few.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("at", "text"))).where(F.col("n") <= sample_docs)
-    got = few.select("lang", "text").orderBy("lang", "at", "text").toLocalIterator()
+    keyed = labelled.where(F.col("lang").isNotNull()).withColumn("at", F.xxhash64(F.lit("dictionary"), "doc_id"))
+    # the k smallest per language from two small columns: Spark limits each group before the shuffle too
+    few = keyed.select("lang", "at").distinct().withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("at"))).where(F.col("n") <= sample_docs).drop("n")
+    excerpt = F.encode(F.substr("text", F.lit(1), F.lit(dict_bytes // 8)), "UTF-8")
+    got = keyed.join(F.broadcast(few), ["lang", "at"]).where(F.length("text") > 0).select("lang", "at", excerpt.alias("text")).orderBy("lang", "at", "text").select("lang", "text").toLocalIterator()
     parts: dict[str, list[bytes]] = {}
     for lang, text in got:
         parts.setdefault(lang, []).append(bytes(text)[: dict_bytes // 8])

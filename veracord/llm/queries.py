@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veracord.llm import bpe, language_id, quality_rules, token_store, url_filter
+from veracord.llm import bpe, language_id, quality_rules, setjoin, token_store, url_filter
 from veracord.llm.common import load
 
 
@@ -14,6 +14,10 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(load(spark, sf_dir, "pages"), load(spark, sf_dir, "labels"))
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setjoin.jaccard_components(load(spark, sf_dir, "documents"), width=3, num=90, den=100)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
@@ -30,7 +34,7 @@ def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.op7(spark, load(spark, sf_dir, "documents"), bpe.tokenizer_path("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op4_quality_rules, op5_language_id, op6_token_counts, op7_token_store)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op3_ngram_jaccard, op4_quality_rules, op5_language_id, op6_token_counts, op7_token_store)}
 
 #: Queries whose whole result SQL can express.
-ORACLES: dict[str, str] = {"op1_url_filter": url_filter.oracle()}
+ORACLES: dict[str, str] = {"op1_url_filter": url_filter.oracle(), "op3_ngram_jaccard": setjoin.oracle(3, 90, 100)}

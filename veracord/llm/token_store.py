@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veracord.llm.bpe import Cache, Splitter, load_model
+from veracord.llm.bpe import Cache, Splitter, byte_alphabet, kept, load_model
 from veracord.llm.common import read_bytes, shared_dir
 
 ROLL = 16
@@ -90,6 +90,41 @@ def address(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=16).digest()
 
 
+class Coder:
+    """Texts -> packed ids. The library encodes each pre-token that is not in the cache:
+    new ones of a space and letters many at a time, since they split in the same way when
+    they stand in a row and only their first token starts with a space."""
+
+    def __init__(self, raw: bytes):
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_str(raw.decode())
+        self.kind = np.dtype("<u2" if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
+        self.split = Splitter(load_model(raw)[1])
+        self.known = Cache({}, self.pack)
+        vocab = self.library.get_vocab(with_added_tokens=True)
+        self.spaced = np.zeros(max(vocab.values()) + 1, bool)
+        self.spaced[[i for t, i in vocab.items() if t.startswith(byte_alphabet()[32])]] = True
+
+    def pack(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, None, False, False).ids, self.kind).tobytes()
+
+    def learn(self, new: list[str]) -> None:
+        for i in range(0, len(new), 4096):
+            some = new[i : i + 4096]
+            packed = self.pack("".join(some))
+            starts = np.flatnonzero(self.spaced[np.frombuffer(packed, self.kind)]) * self.kind.itemsize
+            if len(starts) == len(some):
+                self.known.update(zip(some, map(packed.__getitem__, map(slice, starts.tolist(), [*starts[1:].tolist(), len(packed)])), strict=True))
+
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        parts = [self.split(t) if t else [] for t in texts]
+        new = set().union(*(p for p in parts if p)).difference(self.known, self.known.older)
+        self.learn([p for p in new if p[0] == " " and len(p) <= 64 and p[1:].isalpha()])
+        get = self.known.__getitem__
+        return [self.pack(t) if p is None else b"".join(map(get, p)) for t, p in zip(texts, parts, strict=True)]
+
+
 def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, mean: int = 256, least: int = 32, most: int = 4096) -> None:
     """Encode every whole text of ``docs(doc_id, text)`` and write the store to ``path``.
 
@@ -101,19 +136,16 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0
     raw = spark.sparkContext.broadcast(read_bytes(spark, tokenizer_path))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        library = Tokenizer.from_str(raw.value.decode())
-        split = Splitter(load_model(raw.value)[1])
-        kind = np.dtype("<u2" if library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
-        known = Cache({}, lambda p: np.array(library.encode(p, add_special_tokens=False).ids, kind).tobytes())
+        coder = kept(("store", hash(raw.value)), lambda: Coder(raw.value))
+        kind = coder.kind
         end = np.array([end_id], kind).tobytes()
         seen: set[bytes] = set()
         for batch in batches:
             chunks, recipes = [], []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                parts = split(text) if text else []
-                data = (known_join(known, parts) if parts is not None else np.array(library.encode(text, add_special_tokens=False).ids, kind).tobytes()) + end
+            texts = batch.column("text").to_pylist()
+            coded = (x for i in range(0, len(texts), 512) for x in coder(texts[i : i + 512]))
+            for doc_id, data in zip(batch.column("doc_id").to_pylist(), coded, strict=True):
+                data += end
                 ids = np.frombuffer(data, kind)
                 hashes, sizes, at = [], [], 0
                 for to in cut_points(ids, mean, least, most):
@@ -130,9 +162,6 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0
                 seen.clear()
             yield _staged(chunks, recipes)
 
-    def known_join(known: Cache, parts: list[str]) -> bytes:
-        return b"".join(map(known.__getitem__, parts))
-
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """All rows with one address are in this task: keep the first."""
         seen: set[bytes] = set()

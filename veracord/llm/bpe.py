@@ -152,13 +152,15 @@ class Splitter:
     def __init__(self, added: list[str]):
         odd = numerals()
         self.plain, self.full = split_pattern().findall, split_pattern(odd).findall
-        self.rare = re.compile(f"[\x1c-\x1f\ud800-\udfff{odd}]").search
+        # classes within the BMP are looked up in a table; one that goes beyond would be tried range by range
+        bmp = "".join(chr(c) for c in range(0x10000) if unicodedata.category(chr(c)) in ("No", "Nl"))
+        self.rare, self.astral = re.compile(f"[\x1c-\x1f{bmp}]").search, re.compile("[\ud800-\udfff\U00010000-\U0010ffff]").search
         self.foreign, self.added = re.compile("[\x1c-\x1f\ud800-\udfff]").search, added
 
     def __call__(self, text: str) -> list[str] | None:
         if any(a in text for a in self.added):
             return None
-        if not self.rare(text):
+        if not self.rare(text) and (text.isascii() or not self.astral(text)):
             return self.plain(text)
         if self.foreign(text):
             return None

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veracord.llm import bpe, language_id, quality_rules, setjoin, token_store, url_filter
+from veracord.llm import bpe, language_id, pieces, quality_rules, setjoin, token_store, url_filter
 from veracord.llm.common import load
 
 
@@ -34,7 +34,11 @@ def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.op7(spark, load(spark, sf_dir, "documents"), bpe.tokenizer_path("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op3_ngram_jaccard, op4_quality_rules, op5_language_id, op6_token_counts, op7_token_store)}
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.op9(load(spark, sf_dir, "documents"), bpe.tokenizer_path("piece_bpe_32k.model"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op3_ngram_jaccard, op4_quality_rules, op5_language_id, op6_token_counts, op7_token_store, op9_sentencepiece)}
 
 #: Queries whose whole result SQL can express.
 ORACLES: dict[str, str] = {"op1_url_filter": url_filter.oracle(), "op3_ngram_jaccard": setjoin.oracle(3, 90, 100)}

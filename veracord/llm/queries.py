@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veracord.llm import bpe, language_id, pieces, quality_rules, setjoin, token_store, url_filter
+from veracord.llm import bpe, language_id, pieces, pii, quality_rules, setjoin, substring_dedup, token_store, url_filter
 from veracord.llm.common import load
 
 
@@ -14,6 +14,10 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(load(spark, sf_dir, "pages"), load(spark, sf_dir, "labels"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_spans(load(spark, sf_dir, "documents"))
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setjoin.jaccard_components(load(spark, sf_dir, "documents"), width=3, num=90, den=100)
 
@@ -34,11 +38,18 @@ def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.op7(spark, load(spark, sf_dir, "documents"), bpe.tokenizer_path("byte_bpe_50k.json"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(load(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.op9(load(spark, sf_dir, "documents"), bpe.tokenizer_path("piece_bpe_32k.model"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op3_ngram_jaccard, op4_quality_rules, op5_language_id, op6_token_counts, op7_token_store, op9_sentencepiece)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (op1_url_filter, op2_substring_dedup, op3_ngram_jaccard, op4_quality_rules, op5_language_id, op6_token_counts, op7_token_store, op8_pii, op9_sentencepiece)
+}
 
 #: Queries whose whole result SQL can express.
 ORACLES: dict[str, str] = {"op1_url_filter": url_filter.oracle(), "op3_ngram_jaccard": setjoin.oracle(3, 90, 100)}

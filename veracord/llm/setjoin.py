@@ -18,9 +18,11 @@ Method
    lists are heap-merged, and the ``L`` longest are only probed by binary search for
    what occurs at least ``T - L`` times (DivideSkip), ``T`` being the overlap that the
    threshold asks for.
-4. A neighbourhood of more than one cell gets its smallest document in every cell.
-   What is then not in its largest component is searched for against all of the
-   neighbourhood's cells, so no link between different components is missed.
+4. A neighbourhood of more documents than a cell takes falls into bands of size, each
+   document in two of them, so that sizes that can be linked share a band. A band of
+   several cells has its smallest document in each of them. What is then not in the
+   band's largest component is searched for against all of its cells, so no link
+   between different components is missed.
 5. Components of the links.
 
 Everything moves as (id, size, hash) rows except the texts of documents that have a
@@ -30,6 +32,7 @@ neighbour. Nothing about all documents reaches the driver.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Callable, Iterator
 from itertools import groupby
 
@@ -45,7 +48,7 @@ from veracord.llm.graph import components
 U = np.uint64
 _POWERS = tuple(U(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in range(1, 17))
 #: Documents of a cell, about; signatures that a task holds before it gives them on.
-CELL, HELD = 48, 1_500_000
+CELL, HELD = 64, 1_500_000
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -270,9 +273,6 @@ def t_occurrence_links(sets: list[np.ndarray], num: int, den: int, query: list[b
     return links
 
 
-CELL_ROW = "nb long, cell long, qcell long, id long, query boolean, text string"
-
-
 def cell_search(width: int, num: int, den: int):
     """mapInArrow function over rows sorted by cell: the links of each cell."""
 
@@ -285,11 +285,11 @@ def cell_search(width: int, num: int, den: int):
             return pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in found], pa.int64()), pa.array([ids[j] for _, j in found], pa.int64())], names=["a", "b"])
 
         for batch in batches:
-            for nb, cell, qcell, node, asks, text in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                if (nb, cell, qcell) != now:
+            for cell, nb, node, asks, text in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if (cell, nb) != now:
                     if len(ids) > 1:
                         yield links()
-                    now, ids, sets, query = (nb, cell, qcell), [], [], []
+                    now, ids, sets, query = (cell, nb), [], [], []
                 tokens = shingle(text)
                 if ids and ids[-1] == node:  # another row of this id: the smaller set stands for it
                     query[-1] = query[-1] or asks
@@ -306,8 +306,9 @@ def cell_search(width: int, num: int, den: int):
 
 def _search(cells: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
     parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = cells.join(texts, "id").select("nb", "cell", "qcell", "id", "query", "text")
-    return rows.repartition(parts, "nb", "cell", "qcell").sortWithinPartitions("nb", "cell", "qcell", "id").mapInArrow(cell_search(width, num, den), "a long, b long")
+    key = F.xxhash64("nb", "band", "cell", "qcell").alias("cell")
+    rows = cells.join(texts, "id").select(key, "nb", "id", "query", "text")
+    return rows.repartition(parts, "cell").sortWithinPartitions("cell", "nb", "id").mapInArrow(cell_search(width, num, den), "a long, b long")
 
 
 def verified_components(edges: DataFrame, items: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
@@ -318,23 +319,29 @@ def verified_components(edges: DataFrame, items: DataFrame, texts: DataFrame, wi
     hoods = components(edges).select(F.col("node").alias("id"), F.col("component").alias("nb"))
     members = cut(hoods.join(items.groupBy("id").agg(F.min(F.struct("n", "h")).alias("s")).select("id", "s.n", "s.h"), "id"), "members")
     classes = members.groupBy("nb", "n", "h").agg(F.min("id").alias("rep"))
-    counts = classes.groupBy("nb").agg(F.count("*").alias("m"), F.min("rep").alias("lead")).where("m > 1").withColumn("cells", F.ceil(F.col("m") / CELL).cast("long"))
-    reps = classes.join(counts, "nb").select("nb", F.col("rep").alias("id"), "cells", "lead")
-    reps = cut(reps.withColumn("cell", F.pmod(F.xxhash64("id"), F.col("cells"))), "reps")
-    leads = reps.where("id = lead AND cells > 1").withColumn("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)))
-    first = reps.select("nb", "cell", "id").union(leads.select("nb", "cell", "id")).distinct().select("*", F.lit(0).cast("long").alias("qcell"), F.lit(True).alias("query"))
-    links = cut(_search(first, texts, width, num, den), "links")
-    large = reps.where("cells > 1")
+    counts = classes.groupBy("nb").agg(F.count("*").alias("m")).where("m > 1")
+    reps = cut(classes.join(counts, "nb").select("nb", F.col("rep").alias("id"), "n", "m"), "reps")
+    texts = cut(texts.join(reps.select("id"), "id", "left_semi"), "texts")
+    # a large neighbourhood falls apart by size: linked sizes are in one band or in two next to each other
+    band = F.floor(F.log(F.greatest("n", F.lit(1))) / (math.log(den / num) * (1 + 1e-9))).cast("long")  # a shade wider, against rounding
+    band = F.when(F.col("m") > CELL, F.array(band, band + 1)).otherwise(F.array(F.lit(-1).cast("long")))
+    placed = reps.select("nb", F.explode(band).alias("band"), "id")
+    sizes = placed.groupBy("nb", "band").agg(F.ceil(F.count("*") / CELL).cast("long").alias("cells"), F.min("id").alias("lead"))
+    placed = cut(placed.join(sizes, ["nb", "band"]).withColumn("cell", F.pmod(F.xxhash64("id"), F.col("cells"))), "placed")
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    leads = placed.where("id = lead AND cells > 1").withColumn("cell", each("cells"))
+    first = placed.select("nb", "band", "cell", "id").union(leads.select("nb", "band", "cell", "id")).distinct()
+    links = cut(_search(first.select("*", F.lit(0).cast("long").alias("qcell"), F.lit(True).alias("query")), texts, width, num, den), "links")
+    large = placed.where("cells > 1")
     if not large.isEmpty():
         own = components(links)
-        placed = cut(large.join(own, large["id"] == own["node"], "left").select("nb", "cell", "cells", "id", F.coalesce("component", "id").alias("part")), "placed")
-        shares = placed.groupBy("nb", "part").agg(F.count("*").alias("k"))
-        most = shares.groupBy("nb").agg(F.max_by("part", F.struct("k", -F.col("part"))).alias("most"), F.sum("k").alias("all"), F.max("k").alias("k"))
-        rest = most.where("all > k").select("nb", "most", F.ceil((F.col("all") - F.col("k")) / CELL).cast("long").alias("qcells"))
-        both = placed.join(rest, "nb")
-        each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-        asks = both.where("part != most").select("nb", each("cells").alias("cell"), F.pmod(F.xxhash64("id", F.lit(1)), "qcells").alias("qcell"), "id", F.lit(True).alias("query"))
-        found = both.select("nb", "cell", each("qcells").alias("qcell"), "id", F.lit(False).alias("query"))
+        large = cut(large.join(own, large["id"] == own["node"], "left").select("nb", "band", "cell", "cells", "id", F.coalesce("component", "id").alias("part")), "large")
+        shares = large.groupBy("nb", "band", "part").agg(F.count("*").alias("k"))
+        most = shares.groupBy("nb", "band").agg(F.max_by("part", F.struct("k", -F.col("part"))).alias("most"), F.sum("k").alias("all"), F.max("k").alias("k"))
+        rest = most.where("all > k").select("nb", "band", "most", F.ceil((F.col("all") - F.col("k")) / CELL).cast("long").alias("qcells"))
+        both = large.join(rest, ["nb", "band"])
+        asks = both.where("part != most").select("nb", "band", each("cells").alias("cell"), "id", F.pmod(F.xxhash64("id", F.lit(1)), "qcells").alias("qcell"), F.lit(True).alias("query"))
+        found = both.select("nb", "band", "cell", "id", each("qcells").alias("qcell"), F.lit(False).alias("query"))
         links = links.union(_search(asks.union(found), texts, width, num, den))
     same = members.join(classes, ["nb", "n", "h"]).where("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     return components(links.union(same)).select(F.col("node").alias("id"), "component")

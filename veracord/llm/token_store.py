@@ -101,7 +101,7 @@ class Coder:
         self.library = Tokenizer.from_str(raw.decode())
         self.kind = np.dtype("<u2" if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.split = Splitter(load_model(raw)[1])
-        self.known = Cache({}, self.pack)
+        self.known = Cache({}, self.pack, 150_000)
         vocab = self.library.get_vocab(with_added_tokens=True)
         self.spaced = np.zeros(max(vocab.values()) + 1, bool)
         self.spaced[[i for t, i in vocab.items() if t.startswith(byte_alphabet()[32])]] = True
@@ -143,7 +143,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0
         for batch in batches:
             chunks, recipes = [], []
             texts = batch.column("text").to_pylist()
-            coded = (x for i in range(0, len(texts), 512) for x in coder(texts[i : i + 512]))
+            coded = (x for i in range(0, len(texts), 128) for x in coder(texts[i : i + 128]))
             for doc_id, data in zip(batch.column("doc_id").to_pylist(), coded, strict=True):
                 data += end
                 ids = np.frombuffer(data, kind)
@@ -158,7 +158,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0
                         seen.add(h)
                     at = to
                 recipes.append((doc_id, len(ids), hashes, sizes))
-            if len(seen) > 2_000_000:  # only saves shuffling; what comes again is dropped after it
+            if len(seen) > 300_000:  # only saves shuffling; what comes again is dropped after it
                 seen.clear()
             yield _staged(chunks, recipes)
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veracord.llm import bpe, language_id, pieces, pii, quality_rules, setjoin, substring_dedup, token_store, url_filter
+from veracord.llm import bpe, decontaminate, language_id, pieces, pii, quality_rules, setjoin, substring_dedup, token_store, url_filter
 from veracord.llm.common import load
 
 
@@ -46,9 +46,13 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.op9(load(spark, sf_dir, "documents"), bpe.tokenizer_path("piece_bpe_32k.model"))
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_url_filter, op2_substring_dedup, op3_ngram_jaccard, op4_quality_rules, op5_language_id, op6_token_counts, op7_token_store, op8_pii, op9_sentencepiece)
+    for f in (op1_url_filter, op2_substring_dedup, op3_ngram_jaccard, op4_quality_rules, op5_language_id, op6_token_counts, op7_token_store, op8_pii, op9_sentencepiece, op10_decontaminate)
 }
 
 #: Queries whose whole result SQL can express.

@@ -11,6 +11,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Word separators of all contracts: space and the ASCII controls \t \n \v \f \r.
 WORD_SEP = r"[\x20\x09-\x0D]+"
@@ -35,6 +36,11 @@ def words(c: Column) -> Column:
     return F.filter(F.split(F.coalesce(c, F.lit("")), WORD_SEP, -1), lambda w: w != "")
 
 
+def with_fields(df: DataFrame, ddl: str) -> StructType:
+    """Schema of ``df`` with further fields."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder that the driver and all executors see.
 

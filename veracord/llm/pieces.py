@@ -35,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from veracord.llm.common import read_bytes
+from veracord.llm.common import read_bytes, with_fields
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -281,7 +281,7 @@ class Encoder:
 def encode_texts(docs: DataFrame, model_path: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, ``keep`` columns, ids, n_bytes (byte-fallback ids), round_trip of every whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(Model(read_bytes(docs.sparkSession, model_path)))
-    schema = docs.select("doc_id", *keep).schema.add("ids", "array<int>").add("n_fallback", "long").add("round_trip", "boolean")
+    schema = with_fields(docs.select("doc_id", *keep), "ids array<int>, n_fallback bigint, round_trip boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, ids, texts, model in _encoded(batches, shared.value):

@@ -171,7 +171,7 @@ def verdict(rules: list[Rule]) -> Column:
     return F.expr("CASE " + " ".join(f"WHEN {r.sql()} THEN {i}" for i, r in enumerate(rules, 1)) + " ELSE 0 END") if rules else F.lit(0)
 
 
-def judge(docs: DataFrame, labels: DataFrame, *carry: str, **learning) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, *carry: str, row: Column | None = None, **learning) -> DataFrame:
     """doc_id, the base statistics, base_failed, rule (0: none fired) and kept for every document.
 
     The model is fitted on the documents' labels (quality 0 is bad).
@@ -181,12 +181,23 @@ def judge(docs: DataFrame, labels: DataFrame, *carry: str, **learning) -> DataFr
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most max_labelled rows of two small columns
     with_features = lambda df: df.withColumns({f"__f_{k}": F.expr(v) for k, v in FEATURES.items()})
     learned = learn(with_features(statistics(texts, "bad")).select("doc_id", "bad", *(F.col(f"__f_{k}").alias(k) for k in FEATURES)), **learning)
-    stats = with_features(statistics(docs, *carry))
+    stats = with_features(statistics(docs, *carry)).withColumns({} if row is None else {"__row": row})
     rule = verdict([Rule(tuple(Condition(f"__f_{c.feature}", c.above, c.threshold) for c in r.conditions), r.caught, r.wrong) for r in learned])
-    out = stats.select("doc_id", *carry, *BASE, base_failed().alias("base_failed"), rule.alias("rule"))
+    out = stats.select("doc_id", *carry, *BASE, base_failed().alias("base_failed"), rule.alias("rule"), *([] if row is None else ["__row"]))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
 
 
+def kept_documents(docs: DataFrame, labels: DataFrame, **learning) -> DataFrame:
+    """The rows of ``docs`` that :func:`judge` keeps, with all their columns.
+
+    The row number keeps the filter where it is: moved below the statistics, it would
+    have them worked out once more inside it, step by step for each of its uses.
+    """
+    carry = [c for c in docs.columns if c != "doc_id"]
+    judged = judge(docs, labels, *carry, row=F.monotonically_increasing_id(), **learning)
+    return judged.where(F.col("kept") & (F.col("__row") >= 0)).select(*docs.columns)
+
+
 def base_oracle() -> str:
     """DuckDB SQL of doc_id, the base statistics and base_failed (the learned verdict has no SQL)."""
     sep = r"[\x20\x09-\x0D]+"

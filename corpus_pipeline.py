@@ -17,8 +17,7 @@ from veracord.llm.common import cut, load
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rule and the learned decision list keep."""
-    carry = [c for c in docs.columns if c != "doc_id"]
-    return quality_rules.judge(docs, load(spark, sf_dir, "labels"), *carry).where("kept").select(*docs.columns)
+    return quality_rules.kept_documents(docs, load(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -48,7 +48,9 @@ from veracord.llm.graph import components
 U = np.uint64
 _POWERS = tuple(U(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in range(1, 17))
 #: Documents of a cell, about; signatures that a task holds before it gives them on.
-CELL, HELD = 64, 1_500_000
+CELL, CELL_TOKENS, HELD = 256, 500_000, 1_500_000
+#: Elements of short lists up to which they are merged by a heap, beyond by one stable merge sort.
+HEAP = 2_000
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -253,9 +255,14 @@ def t_occurrence_links(sets: list[np.ndarray], num: int, den: int, query: list[b
         n_long = min(least - 1, int(least / (mu * np.log2(max(2, length[by_length[-1]])) + 1)))
         short, long = by_length[: a - n_long], by_length[a - n_long :]
         short = short[length[short] > 1]
-        merged = heapq.merge(*((lists[begin[t] : begin[t + 1]] - t * m).tolist() for t in short))
-        for r, found in groupby(merged):
-            seen = sum(1 for _ in found)
+        runs = [lists[begin[t] : begin[t + 1]] - t * m for t in short]
+        if sum(map(len, runs)) <= HEAP:
+            merged = [(r, sum(1 for _ in found)) for r, found in groupby(heapq.merge(*(x.tolist() for x in runs)))]
+        else:
+            ids, counts = np.unique(np.sort(np.concatenate(runs), kind="stable"), return_counts=True)
+            enough = counts >= least - n_long
+            merged = list(zip(ids[enough].tolist(), counts[enough].tolist(), strict=True))
+        for r, seen in merged:
             b = int(sizes[r])
             if r == q or seen < least - n_long or b < low or b * num > a * den or root(r) == root(q):
                 continue
@@ -324,24 +331,27 @@ def verified_components(edges: DataFrame, items: DataFrame, texts: DataFrame, wi
     texts = cut(texts.join(reps.select("id"), "id", "left_semi"), "texts")
     # a large neighbourhood falls apart by size: linked sizes are in one band or in two next to each other
     band = F.floor(F.log(F.greatest("n", F.lit(1))) / (math.log(den / num) * (1 + 1e-9))).cast("long")  # a shade wider, against rounding
-    band = F.when(F.col("m") > CELL, F.array(band, band + 1)).otherwise(F.array(F.lit(-1).cast("long")))
-    placed = reps.select("nb", F.explode(band).alias("band"), "id")
-    sizes = placed.groupBy("nb", "band").agg(F.ceil(F.count("*") / CELL).cast("long").alias("cells"), F.min("id").alias("lead"))
+    own = reps.select("nb", F.when(F.col("m") > CELL, band).otherwise(-1).alias("band"), "id", "n", F.lit(True).alias("query"))
+    above = own.where("band >= 0").withColumn("band", F.col("band") + 1).withColumn("query", F.lit(False))
+    placed = own.union(above.join(own.select("nb", "band").distinct(), ["nb", "band"], "left_semi").select(own.columns))
+    count = F.greatest(F.ceil(F.count("*") / CELL), F.ceil(F.sum("n") / CELL_TOKENS)).cast("long")
+    sizes = placed.groupBy("nb", "band").agg(count.alias("cells"), F.min("id").alias("lead"))
     placed = cut(placed.join(sizes, ["nb", "band"]).withColumn("cell", F.pmod(F.xxhash64("id"), F.col("cells"))), "placed")
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     leads = placed.where("id = lead AND cells > 1").withColumn("cell", each("cells"))
-    first = placed.select("nb", "band", "cell", "id").union(leads.select("nb", "band", "cell", "id")).distinct()
-    links = cut(_search(first.select("*", F.lit(0).cast("long").alias("qcell"), F.lit(True).alias("query")), texts, width, num, den), "links")
+    first = placed.select("nb", "band", "cell", "id", "query").union(leads.select("nb", "band", "cell", "id", F.lit(True)))
+    links = cut(_search(first.withColumn("qcell", F.lit(0).cast("long")), texts, width, num, den), "links")
     large = placed.where("cells > 1")
     if not large.isEmpty():
-        own = components(links)
-        large = cut(large.join(own, large["id"] == own["node"], "left").select("nb", "band", "cell", "cells", "id", F.coalesce("component", "id").alias("part")), "large")
+        linked = components(links)
+        large = cut(large.join(linked, large["id"] == linked["node"], "left").select("nb", "band", "cell", "cells", "id", F.coalesce("component", "id").alias("part")), "large")
         shares = large.groupBy("nb", "band", "part").agg(F.count("*").alias("k"))
         most = shares.groupBy("nb", "band").agg(F.max_by("part", F.struct("k", -F.col("part"))).alias("most"), F.sum("k").alias("all"), F.max("k").alias("k"))
-        rest = most.where("all > k").select("nb", "band", "most", F.ceil((F.col("all") - F.col("k")) / CELL).cast("long").alias("qcells"))
+        share = (F.col("all") - F.col("k")) / F.col("all")  # of the band that asks, in cells of the same size
+        rest = most.where("all > k").join(sizes, ["nb", "band"]).select("nb", "band", "most", F.greatest(F.ceil(share * F.col("cells")), F.lit(1)).cast("long").alias("qcells"))
         both = large.join(rest, ["nb", "band"])
-        asks = both.where("part != most").select("nb", "band", each("cells").alias("cell"), "id", F.pmod(F.xxhash64("id", F.lit(1)), "qcells").alias("qcell"), F.lit(True).alias("query"))
-        found = both.select("nb", "band", "cell", "id", each("qcells").alias("qcell"), F.lit(False).alias("query"))
+        asks = both.where("part != most").select("nb", "band", each("cells").alias("cell"), "id", F.lit(True).alias("query"), F.pmod(F.xxhash64("id", F.lit(1)), "qcells").alias("qcell"))
+        found = both.select("nb", "band", "cell", "id", F.lit(False).alias("query"), each("qcells").alias("qcell"))
         links = links.union(_search(asks.union(found), texts, width, num, den))
     same = members.join(classes, ["nb", "n", "h"]).where("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     return components(links.union(same)).select(F.col("node").alias("id"), "component")

@@ -47,8 +47,8 @@ from veracord.llm.graph import components
 
 U = np.uint64
 _POWERS = tuple(U(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in range(1, 17))
-#: Documents of a cell, about; signatures that a task holds before it gives them on.
-CELL, CELL_TOKENS, HELD = 256, 500_000, 1_500_000
+#: Documents and shingles of a cell, about, which bound a task's memory; signatures that a task holds before it gives them on.
+CELL, CELL_TOKENS, HELD = 512, 2_000_000, 1_500_000
 #: Elements of short lists up to which they are merged by a heap, beyond by one stable merge sort.
 HEAP = 2_000
 

@@ -192,20 +192,41 @@ def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.filter(pa.array(keep))
 
 
-def line_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id, text of the lines that have signatures."""
-    cutter = Cutter()
-    for batch in batches:
-        for i in range(0, batch.num_rows, 256):
-            ids, texts = [], []
-            for text in batch.column("text").slice(i, 256).to_pylist():
+#: Bits of the filter that keeps lines nobody asks for out of the shuffle; its size is fixed.
+FILTER_BITS = 1 << 24
+
+
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """Bit map of ``ids`` modulo FILTER_BITS: 2 MB at most, whatever the number of ids."""
+    at = ids.select(F.pmod(F.col("id"), F.lit(FILTER_BITS)).alias("at"))
+    rows = at.groupBy(F.expr("CAST(at DIV 64 AS INT)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(at % 64 AS INT)))").alias("bits"))
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    for word, bits in rows.toLocalIterator():
+        out[word] = bits
+    return out.view(np.uint64)
+
+
+def line_texts(wanted):
+    """mapInArrow function: id, text of the lines that have signatures and pass the broadcast filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter, bits = Cutter(), wanted.value
+        for batch in batches:
+            found, texts = [], []
+            for text in batch.column("text").to_pylist():
                 lines = [x for x in lines_of(text) if len(x) >= LEAST_WORDS]
-                if lines:
-                    lengths = np.array([len(x) for x in lines], np.int64)
-                    h = np.fromiter((cutter.known[w] for x in lines for w in x), np.uint64, int(lengths.sum()))
-                    ids += sequence_hashes(h, np.cumsum(lengths) - lengths, lengths).view(np.int64).tolist()
-                    texts += [" ".join(x) for x in lines]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], names=["id", "text"])
+                if not lines:
+                    continue
+                lengths = np.array([len(x) for x in lines], np.int64)
+                h = np.fromiter((cutter.known[w] for x in lines for w in x), np.uint64, int(lengths.sum()))
+                ids = sequence_hashes(h, np.cumsum(lengths) - lengths, lengths)
+                at = ids & U(FILTER_BITS - 1)
+                for i in np.flatnonzero(bits[(at >> U(6)).astype(np.int64)] >> (at & U(63)) & U(1)).tolist():
+                    found.append(int(ids[i].view(np.int64)))
+                    texts.append(" ".join(lines[i]))
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(texts, pa.string())], names=["id", "text"])
+
+    return run
 
 
 def spans_of(places: list[tuple[int, int]], min_words: int) -> list[tuple[int, int]]:
@@ -256,7 +277,8 @@ def repeated_spans(docs: DataFrame, min_words: int = 20, num: int = 80, den: int
     edges = of(STAR, "-", "a", "b", "-")
     items = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct().select("id", F.lit(0).cast("long").alias("n"), F.col("id").alias("h"))
     needed = cut(items.select("id"), "ids")
-    lines = cut(keyed.select("text").mapInArrow(line_texts, "id long, text string").join(needed, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "lines")
+    wanted = docs.sparkSession.sparkContext.broadcast(id_filter(needed))
+    lines = cut(keyed.select("text").mapInArrow(line_texts(wanted), "id long, text string").join(needed, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "lines")
     clusters = verified_components(edges, items, lines, WIDTH, num, den)
     placed = clusters.join(of(LINE, "id", "doc", "at", "what"), "id")
     first = placed.groupBy("component").agg(F.min(F.struct("doc", "at")).alias("first"))

@@ -101,7 +101,7 @@ class Coder:
         self.library = Tokenizer.from_str(raw.decode())
         self.kind = np.dtype("<u2" if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.split = Splitter(load_model(raw)[1])
-        self.known = Cache({}, self.pack, 150_000)
+        self.known = Cache({}, self.pack, 250_000)
         vocab = self.library.get_vocab(with_added_tokens=True)
         self.spaced = np.zeros(max(vocab.values()) + 1, bool)
         self.spaced[[i for t, i in vocab.items() if t.startswith(byte_alphabet()[32])]] = True
@@ -143,7 +143,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0
         for batch in batches:
             chunks, recipes = [], []
             texts = batch.column("text").to_pylist()
-            coded = (x for i in range(0, len(texts), 128) for x in coder(texts[i : i + 128]))
+            coded = (x for i in range(0, len(texts), 192) for x in coder(texts[i : i + 192]))
             for doc_id, data in zip(batch.column("doc_id").to_pylist(), coded, strict=True):
                 data += end
                 ids = np.frombuffer(data, kind)
@@ -175,7 +175,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0
 
     staged = docs.select("doc_id", "text").mapInArrow(encode, STAGED)
     n = _partitions(spark)
-    staged.repartition(n, "key").mapInArrow(once, STAGED).drop("key").write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/chunks")
+    staged.repartition(n, "key").mapInArrow(once, STAGED).drop("key").write.partitionBy("kind").option("compression", "lz4_raw").parquet(f"{path}/chunks")
     recipes = spark.read.schema("doc_id long, n_tokens long, hashes array<binary>, sizes array<int>, kind string").parquet(f"{path}/chunks").where("kind = 'recipe'").drop("kind")
     digest = F.sha2(F.concat_ws(",", F.transform("hashes", lambda h: F.hex(h))), 256)
     ranged = recipes.withColumn("tie", digest).repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")

@@ -3,7 +3,8 @@
 A paragraph is a line. Two things are found, in one pass over the texts and one
 shuffle of hashes:
 
-* *Near-duplicate paragraphs.* MinHash signatures over five-word shingles, ``BANDS``
+* *Near-duplicate paragraphs.* MinHash signatures over the five-word shingles of every
+  line of five words or more, ``BANDS``
   bands of ``ROWS`` rows: two paragraphs of Jaccard 0.8 share a band with probability
   ``1 - (1 - 0.8**2)**6`` = 0.998, 0.9 with 0.99995. Paragraphs of a band bucket are
   joined to its smallest as a star; within the components of the stars the exact
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 from veracord.llm.common import ASCII_LOWER, cut
 from veracord.llm.setjoin import _POWERS, HELD, Shingler, U, _leaders, mix, verified_components
 
-WIDTH, BANDS, ROWS, LEAST_WORDS, REACH = 5, 6, 2, 13, 4
+WIDTH, BANDS, ROWS, REACH = 5, 6, 2, 4
 SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * U(0x9E3779B97F4A7C15))
 SIG, STAR, BLOCK, LINE, WORDS, GONE = range(6)
 ROW = "kind int, key long, a long, b long, c long"
@@ -69,7 +70,7 @@ def sequence_hashes(h: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> n
 
 
 class Cutter:
-    """Text -> its words' hashes, lines, blocks, and the MinHash bands of its longer lines."""
+    """Text -> its words' hashes, lines, blocks, and the MinHash bands of its lines that have a shingle."""
 
     def __init__(self):
         self.known = Shingler(WIDTH).known
@@ -101,7 +102,7 @@ class Cutter:
 
     def bands(self, h: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(lines with a signature, [band, line] signatures)."""
-        own = np.flatnonzero(lengths >= LEAST_WORDS)
+        own = np.flatnonzero(lengths >= WIDTH)
         if not len(own):
             return own, np.empty((BANDS, 0), np.uint64)
         count = lengths[own] - WIDTH + 1
@@ -214,7 +215,7 @@ def line_texts(wanted):
         for batch in batches:
             found, texts = [], []
             for text in batch.column("text").to_pylist():
-                lines = [x for x in lines_of(text) if len(x) >= LEAST_WORDS]
+                lines = [x for x in lines_of(text) if len(x) >= WIDTH]
                 if not lines:
                     continue
                 lengths = np.array([len(x) for x in lines], np.int64)

@@ -33,3 +33,41 @@ def test_near_copies_of_short_lines(spark, docs):
     got = {r.doc_id: r for r in substring_dedup.repeated_spans(docs(list(enumerate(lines)))).collect()}
     for i, x in enumerate(lines):
         assert got[i].n_removed == (len(x.split()) if of[i] != i else 0), (x, lines[of[i]])
+
+
+def passages_by_brute_force(texts, n=20):
+    """Words of each text that lie in ``n`` words that stand earlier too, or in a whole line of five words or more that does."""
+    seen, lines, out = set(), set(), []
+    for text in texts:
+        words, gone, at = text.split(), set(), 0
+        for i in range(len(words) - n + 1):
+            key = tuple(words[i : i + n])
+            gone.update(range(i, i + n) if key in seen else ())
+            seen.add(key)
+        for line in text.split("\n"):
+            k = len(line.split())
+            gone.update(range(at, at + k) if k >= 5 and line in lines else ())
+            lines.add(line)
+            at += k
+        out.append(gone)
+    return out
+
+
+def test_every_passage_of_twenty_words_goes_to_its_ends(spark, docs):
+    rng = random.Random(7)
+    some = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    texts = []
+    for n in (19, 20, 21, 25, 30, 35, 45, 60):
+        for _ in range(6):
+            p = some(n)
+            texts.append(" ".join(some(3) + p[5:14] + some(3)))  # a part of it stands earlier elsewhere
+            texts += [" ".join(some(rng.randrange(10, 30)) + p + some(rng.randrange(10, 30))) for _ in range(3)]
+            texts.append(" ".join(some(9) + p[:8]) + "\n" + " ".join(p[8:] + some(9)))
+            texts.append(" ".join(p + some(20) + p))
+    texts += ["again " * 50, " ".join(some(8)) + "\n" + " ".join(some(30)), "short line\n" + " ".join(some(40))]
+    texts.append(texts[-2])
+    want = passages_by_brute_force(texts)
+    got = {r.doc_id: r for r in substring_dedup.repeated_spans(docs(list(enumerate(texts)))).collect()}
+    for i, x in enumerate(texts):
+        assert {k for s in got[i].spans for k in range(s.at, s.at + s.words)} == want[i], x
+        assert got[i].n_removed == len(want[i])

@@ -1,7 +1,6 @@
 """Substring dedup: repeated passages and near-duplicate paragraphs across documents.
 
-A paragraph is a line. Two things are found, in one pass over the texts and one
-shuffle of hashes:
+A paragraph is a line. What goes:
 
 * *Near-duplicate paragraphs.* MinHash signatures over the five-word shingles of every
   line of five words or more, ``BANDS``
@@ -10,16 +9,20 @@ shuffle of hashes:
   joined to its smallest as a star; within the components of the stars the exact
   Jaccard is computed (the T-occurrence search of :mod:`setjoin`), and the verified
   links are clustered by components. The first paragraph of a component stays.
-* *Repeated passages inside paragraphs.* Each line is cut where the hash of two
-  adjacent words is the least of the four before and after, so equal stretches are cut
-  alike wherever they stand. Of equal blocks the first (by doc_id, place) stays.
-  Repeated blocks that touch are one span; a span goes if it has at least
-  ``min_words`` words or is a whole line of at least five.
-
-Scale: only (hash, place) rows are shuffled, after a task has combined its own (a line
-that all documents hold arrives once per task), plus the lines that need verification.
-A document's spans, not its text, are put together by its id. Candidates are never
-paired within a bucket.
+* *Repeated passages.* Every stretch of ``min_words`` words, line ends or not, that
+  equals an earlier one (by doc_id, place; the two may overlap) goes, whatever lies
+  around it. A stretch is asked for by its seed: the least hash of its ``SEED``-word
+  windows, which equal stretches have in common wherever they stand. One pass finds the
+  seeds that stand at two places or more; the next one compares all stretches that have
+  such a seed, word for word up to 64-bit hashes, so spans reach to the true ends.
+* A whole line of at least five words goes if it equals an earlier line. What goes
+  and touches is one span.
+
+Scale: two passes over the texts. The first shuffles signatures, lines and about one
+seed in seven words; the second the stretches that may repeat, once per task each, and
+the lines that need verification. The seeds are asked for by a filter of fixed size: when
+it fills, more stretches than needed are compared, none is left out. A document's spans,
+not its text, are put together by its id. Candidates are never paired within a bucket.
 
 Defined results: null and empty texts have no words and no spans; words are as in the
 other contracts, compared after lower-casing A-Z. Repeats within one document count
@@ -39,10 +42,11 @@ from pyspark.sql import functions as F
 from veracord.llm.common import ASCII_LOWER, cut
 from veracord.llm.setjoin import _POWERS, HELD, Shingler, U, _leaders, mix, verified_components
 
-WIDTH, BANDS, ROWS, REACH = 5, 6, 2, 4
+WIDTH, BANDS, ROWS, SEED = 5, 6, 2, 8
 SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * U(0x9E3779B97F4A7C15))
-SIG, STAR, BLOCK, LINE, WORDS, GONE = range(6)
+SIG, STAR, SEEDED, LINE, WORDS, GONE, WINDOW, TEXT = range(8)
 ROW = "kind int, key long, a long, b long, c long"
+ASKED = f"{ROW}, text string"
 _TYPES = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
 
 
@@ -69,8 +73,43 @@ def sequence_hashes(h: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> n
     return mix(np.add.reduceat(mix(h) * power[at], starts) + lengths.astype(np.uint64))
 
 
+def stretches(h: np.ndarray, n: int) -> np.ndarray:
+    """Hash of each ``n`` adjacent word hashes."""
+    m = len(h) - n + 1
+    out, done, part, size = np.full(m, n, np.uint64), 0, h, 1
+    while size <= n:
+        if n & size:
+            out = out + part[done : done + m] * U(pow(0x9E3779B97F4A7C15, done, 1 << 64))
+            done += size
+        if 2 * size <= n:
+            part = part[:-size] + part[size:] * U(pow(0x9E3779B97F4A7C15, size, 1 << 64))
+        size *= 2
+    return mix(out)
+
+
+def sliding(x: np.ndarray, n: int, of: np.ufunc) -> np.ndarray:
+    """``of`` (np.minimum, np.maximum) each ``n`` adjacent elements."""
+    size = 1
+    while 2 * size <= n:
+        x = of(x[:-size], x[size:])
+        size *= 2
+    return of(x[: size - n], x[n - size :]) if size < n else x
+
+
+def seeds_of(h: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(seed at each place that has one, seed of each stretch of ``min_words`` words)."""
+    if len(h) < min_words:
+        return h[:0], h[:0]
+    k = min(SEED, min_words)
+    w = min_words - k + 1
+    x = stretches(h, k)
+    least = sliding(x, w, np.minimum)
+    around = np.zeros(w - 1, np.uint64)
+    return x[sliding(np.concatenate([around, least, around]), w, np.maximum) == x], least
+
+
 class Cutter:
-    """Text -> its words' hashes, lines, blocks, and the MinHash bands of its lines that have a shingle."""
+    """Text -> its words' hashes, lines, and the MinHash bands of its lines that have a shingle."""
 
     def __init__(self):
         self.known = Shingler(WIDTH).known
@@ -82,23 +121,7 @@ class Cutter:
         if not n:
             return None
         h = np.fromiter((self.known[w] for x in lines for w in x), np.uint64, n)
-        starts = np.cumsum(lengths) - lengths
-        line = np.repeat(np.arange(len(lines)), lengths)
-        pair = mix(h[:-1] * _POWERS[1] + h[1:])
-        anchor = np.zeros(n, bool)
-        if n > 1:
-            least = line[:-1] == line[1:]
-            for s in range(1, REACH + 1):
-                if n - 1 > s:
-                    near = line[s:-1] == line[: -1 - s]
-                    least[:-s] &= ~near | (pair[:-s] <= pair[s:])  # of equals the first
-                    least[s:] &= ~near | (pair[s:] < pair[:-s])
-            anchor[1:] = least
-        anchor[starts] = True
-        at = np.flatnonzero(anchor)
-        size = np.diff(np.append(at, n))
-        flags = 2 * np.isin(at, starts) + np.isin(at + size, starts + lengths)
-        return h, (starts, lengths), (at, size, sequence_hashes(h, at, size), flags)
+        return h, (np.cumsum(lengths) - lengths, lengths), lines
 
     def bands(self, h: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(lines with a signature, [band, line] signatures)."""
@@ -116,60 +139,67 @@ class Cutter:
         return own, mix(band + np.arange(1, BANDS + 1, dtype=np.uint64)[:, None])
 
 
-def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Signature, block and line rows of the documents, a task's own repeats already combined."""
-    cutter = Cutter()
-    held: dict[int, list] = {SIG: [], BLOCK: [], LINE: []}
-    size = 0
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        if held[SIG]:
-            sig, node = (np.concatenate(x).view(np.int64) for x in zip(*held[SIG], strict=True))
-            order, first, leader = _leaders(sig, node)
-            s, a = sig[order], node[order]
-            zero = np.zeros(int(first.sum()), np.int64)
-            yield rows_of(SIG, s[first], a[first], zero, zero)
-            e = np.unique(np.stack([a, leader])[:, a != leader], axis=1)
-            zero = np.zeros(e.shape[1], np.int64)
-            yield rows_of(STAR, mix(e[0].view(np.uint64)), e[0], e[1], zero)
-        for kind in (BLOCK, LINE):
-            if held[kind]:
-                key, doc, at, what = (np.concatenate(x) for x in zip(*held[kind], strict=True))
+def find(min_words: int):
+    """mapInArrow function: signature, seed and line rows of the documents, a task's own repeats already combined."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter = Cutter()
+        held: dict[int, list] = {SIG: [], SEEDED: [], LINE: []}
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if held[SIG]:
+                sig, node = (np.concatenate(x).view(np.int64) for x in zip(*held[SIG], strict=True))
+                order, first, leader = _leaders(sig, node)
+                s, a = sig[order], node[order]
+                zero = np.zeros(int(first.sum()), np.int64)
+                yield rows_of(SIG, s[first], a[first], zero, zero)
+                e = np.unique(np.stack([a, leader])[:, a != leader], axis=1)
+                zero = np.zeros(e.shape[1], np.int64)
+                yield rows_of(STAR, mix(e[0].view(np.uint64)), e[0], e[1], zero)
+            if held[SEEDED]:
+                seed, count = np.unique(np.concatenate(held[SEEDED]), return_counts=True)
+                zero = np.zeros(len(seed), np.int64)
+                yield rows_of(SEEDED, seed, (count > 1).astype(np.int64), zero, zero)
+            if held[LINE]:
+                key, doc, at, n = (np.concatenate(x) for x in zip(*held[LINE], strict=True))
                 order = np.lexsort((at, doc, key))
-                key, doc, at, what = key[order], doc[order], at[order], what[order]
+                key, doc, at, n = key[order], doc[order], at[order], n[order]
                 first = np.concatenate([[True], key[1:] != key[:-1]])
-                yield rows_of(kind, key[first], doc[first], at[first], what[first])
-                if kind == BLOCK:
-                    yield rows_of(GONE, key[~first], doc[~first], at[~first], what[~first])
-        for x in held.values():
-            x.clear()
+                yield rows_of(LINE, key[first], doc[first], at[first], n[first])
+                yield rows_of(GONE, key[~first], doc[~first], at[~first], n[~first])
+            for x in held.values():
+                x.clear()
 
-    for batch in batches:
-        counts = []
-        for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            got = cutter(text)
-            counts.append(0 if got is None else len(got[0]))
-            if got is None:
-                continue
-            h, (starts, lengths), (at, count, hashes, flags) = got
-            held[BLOCK].append((hashes.view(np.int64), np.full(len(at), doc, np.int64), at, count * 4 + flags))
-            own, bands = cutter.bands(h, starts, lengths)
-            if len(own):
-                ids = sequence_hashes(h, starts, lengths)[own]
-                held[SIG].append((bands.ravel(), np.tile(ids, BANDS)))
-                held[LINE].append((ids.view(np.int64), np.full(len(own), doc, np.int64), starts[own], lengths[own] * 4 + 3))
-            size += len(at) + (BANDS + 1) * len(own)
-            if size > HELD:
-                yield from flush()
-                size = 0
-        doc, n = np.array(batch.column("doc_id").to_pylist(), np.int64), np.array(counts, np.int64)
-        yield rows_of(WORDS, mix(doc.view(np.uint64)), doc, n, np.zeros(len(doc), np.int64))
-    yield from flush()
+        for batch in batches:
+            counts = []
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                got = cutter(text)
+                counts.append(0 if got is None else len(got[0]))
+                if got is None:
+                    continue
+                h, (starts, lengths), _ = got
+                seeds = seeds_of(h, min_words)[0]
+                held[SEEDED].append(seeds)
+                own, bands = cutter.bands(h, starts, lengths)
+                if len(own):
+                    ids = sequence_hashes(h, starts, lengths)[own]
+                    held[SIG].append((bands.ravel(), np.tile(ids, BANDS)))
+                    held[LINE].append((ids.view(np.int64), np.full(len(own), doc, np.int64), starts[own], lengths[own]))
+                size += len(seeds) + (BANDS + 1) * len(own)
+                if size > HELD:
+                    yield from flush()
+                    size = 0
+            doc, n = np.array(batch.column("doc_id").to_pylist(), np.int64), np.array(counts, np.int64)
+            yield rows_of(WORDS, mix(doc.view(np.uint64)), doc, n, np.zeros(len(doc), np.int64))
+        yield from flush()
+
+    return run
 
 
 def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (kind, key, a, b), a key's rows in one task: stars of signatures, all
-    but the first of equal blocks as GONE, the first of equal lines; other rows as they are."""
+    """Rows sorted by (kind, key, a, b), a key's rows in one task: stars of signatures, the
+    seeds that repeat, all but the first of equal lines as GONE; other rows as they are."""
     last = (None, None)
     lead = 0
     for batch in batches:
@@ -185,7 +215,11 @@ def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if star.any():
             e = np.unique(np.stack([a[star], leader[star]]), axis=1)
             yield rows_of(STAR, e[0], e[0], e[1], np.zeros(e.shape[1], np.int64))
-        gone = (kind == BLOCK) & ~first
+        again = np.unique(key[(kind == SEEDED) & (~first | (a == 1))])
+        if len(again):
+            zero = np.zeros(len(again), np.int64)
+            yield rows_of(SEEDED, again, zero, zero, zero)
+        gone = (kind == LINE) & ~first
         if gone.any():
             yield rows_of(GONE, key[gone], a[gone], b[gone], c[gone])
         keep = (kind == STAR) | (kind == WORDS) | (kind == GONE) | (kind == LINE) & first
@@ -207,60 +241,101 @@ def id_filter(ids: DataFrame) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def line_texts(wanted):
-    """mapInArrow function: id, text of the lines that have signatures and pass the broadcast filter."""
+def passes(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Whether each id passes the filter."""
+    at = ids & U(FILTER_BITS - 1)
+    return (bits[(at >> U(6)).astype(np.int64)] >> (at & U(63)) & U(1)).astype(bool)
+
+
+def runs_of(doc: np.ndarray, at: np.ndarray, words: int) -> pa.RecordBatch:
+    """GONE rows of the stretches of ``words`` words at these places, those that follow each other as one."""
+    order = np.lexsort((at, doc))
+    doc, at = doc[order], at[order]
+    begins = np.concatenate([[True], (doc[1:] != doc[:-1]) | (at[1:] > at[:-1] + 1)])
+    ends = np.concatenate([begins[1:], [True]])
+    zero = np.zeros(int(begins.sum()), np.int64)
+    return rows_of(GONE, zero, doc[begins], at[begins], at[ends] - at[begins] + words)
+
+
+def with_text(rows: pa.RecordBatch, texts: list | None = None) -> pa.RecordBatch:
+    text = pa.nulls(rows.num_rows, pa.string()) if texts is None else pa.array(texts, pa.string())
+    return pa.RecordBatch.from_arrays([*rows.columns, text], names=[*rows.schema.names, "text"])
+
+
+def ask(wanted, seeds, min_words: int):
+    """mapInArrow function: the stretches whose seeds pass the filter ``seeds`` (c: seed), a
+    task's own repeats already as GONE; the lines whose ids pass ``wanted`` (c: id), as texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter, bits = Cutter(), wanted.value
+        cutter, held, size = Cutter(), [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            key, doc, at, seed = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((at, doc, key))
+            key, doc, at, seed = key[order], doc[order], at[order], seed[order]
+            first = np.concatenate([[True], key[1:] != key[:-1]])
+            yield with_text(rows_of(WINDOW, key[first], doc[first], at[first], seed[first]))
+            if not first.all():
+                yield with_text(runs_of(doc[~first], at[~first], min_words))
+            held.clear()
+
         for batch in batches:
-            found, texts = [], []
-            for text in batch.column("text").to_pylist():
-                lines = [x for x in lines_of(text) if len(x) >= WIDTH]
-                if not lines:
+            texts: dict[int, str] = {}
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                got = cutter(text)
+                if got is None:
                     continue
-                lengths = np.array([len(x) for x in lines], np.int64)
-                h = np.fromiter((cutter.known[w] for x in lines for w in x), np.uint64, int(lengths.sum()))
-                ids = sequence_hashes(h, np.cumsum(lengths) - lengths, lengths)
-                at = ids & U(FILTER_BITS - 1)
-                for i in np.flatnonzero(bits[(at >> U(6)).astype(np.int64)] >> (at & U(63)) & U(1)).tolist():
-                    found.append(int(ids[i].view(np.int64)))
-                    texts.append(" ".join(lines[i]))
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(texts, pa.string())], names=["id", "text"])
+                h, (starts, lengths), lines = got
+                ids = sequence_hashes(h, starts, lengths)
+                for i in np.flatnonzero((lengths >= WIDTH) & passes(wanted.value, ids)).tolist():
+                    texts.setdefault(int(ids[i].view(np.int64)), " ".join(lines[i]))
+                least = seeds_of(h, min_words)[1]
+                at = np.flatnonzero(passes(seeds.value, least))
+                if len(at):
+                    held.append((stretches(h, min_words)[at].view(np.int64), np.full(len(at), doc, np.int64), at, least[at].view(np.int64)))
+                    size += len(at)
+                if size > HELD:
+                    yield from flush()
+                    size = 0
+            if texts:
+                ids, zero = np.array(list(texts), np.int64), np.zeros(len(texts), np.int64)
+                yield with_text(rows_of(TEXT, ids, zero, zero, ids), list(texts.values()))
+        if held:
+            yield from flush()
 
     return run
 
 
-def spans_of(places: list[tuple[int, int]], min_words: int) -> list[tuple[int, int]]:
-    """(first word, words) of what goes, from the (place, 4 * words + line flags) of repeated stretches.
+def answer(min_words: int):
+    """mapInArrow function over rows sorted by (kind, c, key, a, b), those of a c in one task:
+    all but the first of equal stretches as GONE, the first of equal texts; GONE as it is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = (None, None)
+        for batch in batches:
+            kind, key, a, b = (batch.column(i).to_numpy() for i in range(4))
+            if not len(kind):
+                continue
+            first = np.concatenate([[(kind[0], key[0]) != last], (kind[1:] != kind[:-1]) | (key[1:] != key[:-1])])
+            last = (kind[-1], key[-1])
+            gone = (kind == WINDOW) & ~first
+            if gone.any():
+                yield with_text(runs_of(a[gone], b[gone], min_words))
+            keep = (kind == GONE) | (kind == TEXT) & first
+            if keep.any():
+                yield batch.filter(pa.array(keep))
+
+    return run
 
-    Flag 2: it begins a line, flag 1: it ends one.
-    """
-    out: list[tuple[int, int]] = []
 
-    def close(run: list[tuple[int, int, int]]) -> None:
-        if run and run[-1][0] + run[-1][1] - run[0][0] >= min_words:
-            out.append((run[0][0], run[-1][0] + run[-1][1] - run[0][0]))
-            return
-        begin = None
-        for at, n, flags in run:
-            begin = at if flags & 2 else begin
-            if flags & 1 and begin is not None:
-                if at + n - begin >= WIDTH:
-                    out.append((begin, at + n - begin))
-                begin = None
-
-    whole = {at: what for at, what in places if what & 3 == 3}
-    run: list[tuple[int, int, int]] = []
-    end = 0
-    for at, what in sorted({(at, max(what, whole.get(at, 0))) for at, what in places}):
-        if at < end:
-            continue  # inside a whole line that goes
-        if run and at != end:
-            close(run)
-            run = []
-        run.append((at, what >> 2, what & 3))
-        end = at + (what >> 2)
-    close(run)
+def spans_of(places: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """(first word, words) of what goes, from the (place, words) of what repeats."""
+    out: list[tuple[int, int]] = []
+    for at, n in sorted(places):
+        if out and at <= sum(out[-1]):
+            out[-1] = (out[-1][0], max(at + n, sum(out[-1])) - out[-1][0])
+        else:
+            out.append((at, n))
     return out
 
 
@@ -272,25 +347,31 @@ def repeated_spans(docs: DataFrame, min_words: int = 20, num: int = 80, den: int
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select("doc_id", "text")
     keyed = texts.where(F.col("doc_id").isNotNull())
-    found = keyed.mapInArrow(find, ROW).repartition(parts, "key").sortWithinPartitions("kind", "key", "a", "b").mapInArrow(combine, ROW)
+    found = keyed.mapInArrow(find(min_words), ROW).repartition(parts, "key").sortWithinPartitions("kind", "key", "a", "b").mapInArrow(combine, ROW)
     found = cut(found, "repeats")
     of = lambda kind, *names: found.where(F.col("kind") == kind).select(*(F.col(c).alias(n) for c, n in zip(("key", "a", "b", "c"), names, strict=True) if n != "-"))
     edges = of(STAR, "-", "a", "b", "-")
     items = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct().select("id", F.lit(0).cast("long").alias("n"), F.col("id").alias("h"))
     needed = cut(items.select("id"), "ids")
     wanted = docs.sparkSession.sparkContext.broadcast(id_filter(needed))
-    lines = cut(keyed.select("text").mapInArrow(line_texts(wanted), "id long, text string").join(needed, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "lines")
+    seeds = docs.sparkSession.sparkContext.broadcast(id_filter(of(SEEDED, "id", "-", "-", "-")))
+    asked = keyed.mapInArrow(ask(wanted, seeds, min_words), ASKED)
+    spread = F.when(F.col("kind") == GONE, F.xxhash64("a", "b")).otherwise(F.col("c"))
+    asked = asked.repartition(parts, spread).sortWithinPartitions("kind", "c", "key", "a", "b").mapInArrow(answer(min_words), ASKED)
+    asked = cut(asked, "asked")
+    lines = cut(asked.where(F.col("kind") == TEXT).select(F.col("key").alias("id"), "text").join(needed, "id", "left_semi"), "lines")
     clusters = verified_components(edges, items, lines, WIDTH, num, den)
-    placed = clusters.join(of(LINE, "id", "doc", "at", "what"), "id")
+    placed = clusters.join(of(LINE, "id", "doc", "at", "words"), "id")
     first = placed.groupBy("component").agg(F.min(F.struct("doc", "at")).alias("first"))
-    near = placed.join(first, "component").where(F.struct("doc", "at") != F.col("first")).select("doc", "at", "what")
-    gone = of(GONE, "-", "doc", "at", "what").union(near)
-    per_doc = gone.groupBy("doc").agg(F.collect_list(F.struct("at", "what")).alias("places"))
+    near = placed.join(first, "component").where(F.struct("doc", "at") != F.col("first")).select("doc", "at", "words")
+    passages = asked.where(F.col("kind") == GONE).select(F.col("a").alias("doc"), F.col("b").alias("at"), F.col("c").alias("words"))
+    gone = of(GONE, "-", "doc", "at", "words").union(passages).union(near)
+    per_doc = gone.groupBy("doc").agg(F.collect_list(F.struct("at", "words")).alias("places"))
     rows = of(WORDS, "-", "doc", "n_words", "-").join(per_doc, "doc", "left").select(F.col("doc").alias("doc_id"), "n_words", "places")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = [spans_of([(p["at"], p["what"]) for p in places or ()], min_words) for places in batch.column("places").to_pylist()]
+            spans = [spans_of([(p["at"], p["words"]) for p in places or ()]) for places in batch.column("places").to_pylist()]
             kind = pa.list_(pa.struct([("at", pa.int64()), ("words", pa.int64())]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("n_words"), pa.array([sum(n for _, n in s) for s in spans], pa.int64()), pa.array([[{"at": a, "words": n} for a, n in s] for s in spans], kind)],

@@ -147,6 +147,16 @@ class SemanticFrame:
                 out[i] = ok
         return out
 
+    def judge_tokens(self, tokens: SparkFrame, predicate: Expr) -> SparkFrame:
+        """``tokens`` (this frame's key columns, ``sign``, any others) with ``valid``, by a join: nothing is collected."""
+        ctx = self._context(metrics=False)
+        ctx.explain = False
+        low = lower(self.plan, ctx)
+        key = list(low.schema.key)
+        held = low.df.select(*refs(key), evaluate(predicate, low, ctx).column.alias("__value"))
+        valid = F.coalesce(F.col("__value") == F.col("sign"), F.lit(False))
+        return tokens.join(held, key, "left").withColumn("valid", valid).drop("__value")
+
     def count_valid_tokens(self, tokens: Sequence[Token], predicates: dict[str, Expr]) -> int:
         return sum(self.evaluate_tokens(tokens, predicates))
 

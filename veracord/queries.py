@@ -487,13 +487,14 @@ def evaluate_map(spark, sf_dir):
 
 @registered("""SELECT o_orderkey, o_totalprice > 100000 AS holds, coalesce((o_totalprice > 100000) = true, false) AS valid FROM orders WHERE o_orderkey <= 40""")
 def evaluate_tokens(spark, sf_dir):
-    from veracord.functions.provenance import Token
+    return judged_orders(spark, table(spark, sf_dir, "orders")).where("o_orderkey <= 40")
 
-    f = quiet(spark).read_frame(table(spark, sf_dir, "orders"), ("o_orderkey",))
-    rows = f.filter(col("o_orderkey") <= 40).check(Alias(col("o_totalprice") > 100000, "holds")).collect().rows
-    tokens = [Token((r.values[0],), "p", True) for r in rows]
-    valid = f.evaluate_tokens(tokens, {"p": col("o_totalprice") > 100000})
-    return spark.createDataFrame([(*r.values, v) for r, v in zip(rows, valid, strict=True)], "o_orderkey long, holds boolean, valid boolean")
+
+def judged_orders(spark, orders):
+    """Tokens of all orders, judged by a join."""
+    f, p = quiet(spark).read_frame(orders, ("o_orderkey",)), col("o_totalprice") > 100000
+    tokens = f.check(Alias(p, "holds")).to_spark().withColumn("sign", F.lit(True))
+    return f.judge_tokens(tokens, p).select("o_orderkey", "holds", "valid")
 
 
 @registered("""SELECT doc_id, quality FROM (SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY md5('42|' || doc_id), doc_id) AS n FROM labels) ORDER BY n, quality LIMIT 60""")

@@ -63,7 +63,7 @@ STAGES = [
     ("sentencepiece", sentence_pieces),
 ]
 
-#: Learned rules, similarity components and latent retrieval have no SQL; tests compare with brute force.
+#: Learned rules, similarity components and latent retrieval have no SQL.
 ORACLE_SQL: str | None = None
 
 

@@ -30,7 +30,7 @@ def test_near_copies_of_short_lines(spark, docs):
             lines += [" ".join(w), " ".join([*w, x]), " ".join([y, *w[1:]]), " ".join([z, *w])]
     of = components_by_brute_force(lines)
     assert sum(of[i] != i and len(x.split()) < 13 for i, x in enumerate(lines)) > 30
-    got = {r.doc_id: r for r in substring_dedup.repeated_spans(docs(list(enumerate(lines)))).collect()}
+    got = {r.doc_id: r for r in substring_dedup.repeated_spans(docs(list(enumerate(lines))), least=5).collect()}
     for i, x in enumerate(lines):
         assert got[i].n_removed == (len(x.split()) if of[i] != i else 0), (x, lines[of[i]])
 
@@ -67,7 +67,7 @@ def test_every_passage_of_twenty_words_goes_to_its_ends(spark, docs):
     texts += ["again " * 50, " ".join(some(8)) + "\n" + " ".join(some(30)), "short line\n" + " ".join(some(40))]
     texts.append(texts[-2])
     want = passages_by_brute_force(texts)
-    got = {r.doc_id: r for r in substring_dedup.repeated_spans(docs(list(enumerate(texts)))).collect()}
+    got = {r.doc_id: r for r in substring_dedup.repeated_spans(docs(list(enumerate(texts))), least=5).collect()}
     for i, x in enumerate(texts):
         assert {k for s in got[i].spans for k in range(s.at, s.at + s.words)} == want[i], x
         assert got[i].n_removed == len(want[i])

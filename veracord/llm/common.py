@@ -5,6 +5,7 @@ Nothing outside this subpackage imports it.
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -44,11 +45,13 @@ def with_fields(df: DataFrame, ddl: str) -> StructType:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder that the driver and all executors see.
 
-    It lies under ``spark.checkpoint.dir``. Where that is unset (tests on one
-    machine) a temporary folder is made and set for the whole session.
+    It lies under ``spark.checkpoint.dir``. Where that is unset, a local master (tests on
+    one machine) gets a temporary folder for the whole session; any other is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = f"file://{os.path.join(tempfile.gettempdir(), 'checkpoints')}"
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -63,7 +66,22 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove tables that :func:`cut` has written and nothing reads any more.
+
+    The driver then collects its garbage, so that Spark's cleaner removes the shuffle
+    files of the jobs that have ended; it would do so only when its heap fills, while
+    the disks of the executors fill first.
+    """
+    for t in tables:
+        drop_path(t.sparkSession, t.cut_path)
+    gc.collect()
+    tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

@@ -2,10 +2,44 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veracord.llm.common import cut
+from veracord.llm.common import cut, release
+from veracord.llm.vector import forest
+
+
+#: Edges that a task joins at a time.
+HELD = 2_000_000
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """The same components with fewer edges: each task replaces its own by stars of their smallest nodes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            size += batch.num_rows
+            if size > HELD:
+                e = forest(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                if len(e[0]) > HELD // 2:
+                    yield edge_batch(*e)
+                    held, size = [], 0
+                else:
+                    held, size = [e], len(e[0])
+        if held:
+            yield edge_batch(*forest(*(np.concatenate(x) for x in zip(*held, strict=True))))
+
+    return edges.select("a", "b").mapInArrow(run, "a long, b long")
+
+
+def edge_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -13,11 +47,12 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Alternates the large-star and small-star steps, each a partial aggregate and a join
     on the node, until the edges no longer change. Every round is written to the shared
-    folder. A hub's edges are split by the join, its minimum is combined within tasks.
-    Loops and null ends are dropped; an empty table gives no rows.
+    folder, the one before is removed. A hub's edges are split by the join, its minimum is
+    combined within tasks. Loops and null ends are dropped; an empty table gives no rows.
     """
     e = edges.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
-    e = cut(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    e = contracted(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+    e = cut(e.distinct(), "edges")
     state = _mark(e)
     for _ in range(max_rounds):
         if not state[0]:
@@ -27,8 +62,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.where("b > a").join(lowest, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         lowest = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(lowest, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = cut(moved.union(lowest.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        old, e = e, cut(moved.union(lowest.select("a", F.col("m").alias("b"))).distinct(), "edges")
         before, state = state, _mark(e)
+        release(old)
         if state == before:
             break
     else:

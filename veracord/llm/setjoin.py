@@ -2,17 +2,16 @@
 
 Method
 ------
-1. *Signatures.* A document's shingle hashes are dealt into ``k`` ranges. Two sets
-   with Jaccard >= t differ in at most ``d = 2 hi (1 - t) / (1 + t)`` elements, ``hi``
-   being the largest size of their size class, so of ``k = d + 2`` ranges at least two
-   are equal, at least one of them not empty in a set with at most one empty range
-   (sets with more emit their empty ranges too). Equal ranges give equal signatures:
-   each linked pair meets in at least one signature. Sizes near the next class
-   boundary are dealt by both classes' rules.
-2. *Neighbourhoods.* The documents of a signature are joined to the smallest of them
-   as a star: edges, never pairs. A task first does so for its own rows, so a
-   signature that a third of all documents share arrives once per task. The
-   components of the stars hold every link.
+1. *Prefixes.* One pass counts shingles in ``2**BITS`` slots. Ordered by their slot's
+   count, rare ones first, two sets with Jaccard >= t share a shingle among the first
+   ``n - ceil(t n) + 1`` of each: what many documents share stands at the end of the
+   order, so that documents which have only a common passage in common do not meet. The
+   order need only be the same everywhere; counts that collide in a slot cost candidates,
+   never links, and the table of counts has a fixed size.
+2. *Neighbourhoods.* The documents of a prefix shingle are joined to one of them as a
+   star: edges, never pairs. A task first does so for its own rows, so a shingle that a
+   third of all documents share arrives once per task. The components of the stars hold
+   every link.
 3. *T-occurrence search* within neighbourhoods, over classes of equal sets, in cells of
    bounded size: inverted lists of the cell's shingles; for each document the shortest
    lists are heap-merged, and the ``L`` longest are only probed by binary search for
@@ -22,18 +21,20 @@ Method
    document in two of them, so that sizes that can be linked share a band. A band of
    several cells has its smallest document in each of them. What is then not in the
    band's largest component is searched for against all of its cells, so no link
-   between different components is missed.
+   between different components is missed. Such a band without links is compared whole,
+   cells by cells: its cost grows with the square of its size.
 5. Components of the links.
 
-Everything moves as (id, size, hash) rows except the texts of documents that have a
-neighbour. Nothing about all documents reaches the driver.
+Shingles move packed by task and bucket; rows are (id, size, hash), and the texts of
+documents that have a neighbour. Nothing about all documents reaches the driver but
+the table of counts. Tables that are read no more are removed.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
@@ -41,181 +42,166 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veracord.llm.bpe import Cache
-from veracord.llm.common import ASCII_LOWER, cut
+from veracord.llm.common import cut, release
 from veracord.llm.graph import components
+from veracord.llm.vector import PACKED, U, Words, dealt, forest, grouped, mix, packed, shingle_sets, shuffle_packed, unpacked
 
-U = np.uint64
-_POWERS = tuple(U(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in range(1, 17))
-#: Documents and shingles of a cell, about, which bound a task's memory; signatures that a task holds before it gives them on.
+#: Documents and shingles of a cell, about, which bound a task's memory; prefix shingles that a task holds before it gives them on.
 CELL, CELL_TOKENS, HELD = 512, 2_000_000, 1_500_000
 #: Elements of short lists up to which they are merged by a heap, beyond by one stable merge sort.
 HEAP = 2_000
+#: Slots of the counts that order the shingles, and pieces in which they are summed.
+BITS, PIECES = 22, 64
 
 
-def mix(h: np.ndarray) -> np.ndarray:
-    """Finaliser of a 64-bit hash."""
-    h = (h ^ (h >> U(33))) * U(0xFF51AFD7ED558CCD)
-    h = (h ^ (h >> U(33))) * U(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> U(33))
+def partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-class Shingler:
-    """Text -> sorted distinct 64-bit hashes of its word shingles."""
+def text_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
+    """The sorted distinct shingles of each text of a column."""
+    for _, texts in grouped(column):
+        yield from shingle_sets(Words(texts), width)
 
-    def __init__(self, width: int):
-        import xxhash
-
-        self.width = width
-        self.known = Cache({}, xxhash.xxh3_64_intdigest)
-
-    def word_hashes(self, text: str | None) -> np.ndarray:
-        words = (text or "").translate(ASCII_LOWER)
-        for c in "\t\n\x0b\x0c\r":
-            words = words.replace(c, " ")
-        got = [w for w in words.split(" ") if w]
-        return np.fromiter(map(self.known.__getitem__, got), np.uint64, len(got))
-
-    def windows(self, h: np.ndarray) -> np.ndarray:
-        """Hash of each window; of the whole sequence where it is shorter than one."""
-        n, w = len(h), self.width
-        if not n:
-            return h
-        k = min(n, w)
-        out = np.full(n - k + 1, k, np.uint64)
-        for i in range(k):
-            out = out + h[i : n - k + 1 + i] * _POWERS[i]
-        return mix(out)
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        return np.unique(self.windows(self.word_hashes(text)))
 
+def set_hash(tokens: np.ndarray) -> int:
+    """Signed 64-bit hash of a set; used together with its size."""
+    return int(mix(np.array([np.add.reduce(mix(tokens + U(0x2545F4914F6CDD1D)), dtype=np.uint64) + U(len(tokens))], np.uint64)).view(np.int64)[0])
 
-def size_class(n: int) -> tuple[int, int, int]:
-    """(number, least, least of the next) of the size class of n >= 1; classes grow by half."""
-    i, low = 0, 1
-    while (up := max(low + 1, low * 3 // 2)) <= n:
-        i, low = i + 1, up
-    return i, low, up
 
+def levels(texts: DataFrame, width: int) -> np.ndarray:
+    """A byte for each slot: eighths of the logarithm of how often its shingles stand in ``texts``."""
 
-def range_signatures(tokens: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Signatures of a sorted set for Jaccard >= num / den."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << BITS, np.uint32)
+        for batch in batches:
+            for _, group in grouped(batch.column("text")):
+                slots = [x >> U(64 - BITS) for x in shingle_sets(Words(group), width)]
+                np.add.at(total, np.concatenate(slots).astype(np.int64), np.uint32(1))
+        for i, piece in enumerate(total.reshape(PIECES, -1)):
+            if piece.any():
+                planes = piece.view(np.uint8).reshape(-1, 4).T.tobytes()  # byte by byte: the upper ones are mostly zero
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([pa.compress(planes, "zstd", asbytes=True)], pa.binary())], names=["piece", "data"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = (1 << BITS) // PIECES
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, data in zip(batch.column("piece").to_pylist(), batch.column("data").to_pylist(), strict=True):
+                planes = np.frombuffer(pa.decompress(data, 4 * size, "zstd", asbytes=True), np.uint8).reshape(4, -1)
+                counts = np.ascontiguousarray(planes.T).view(np.uint32).ravel()
+                total[i] = total.get(i, np.zeros(size, np.int64)) + counts
+        for i, counts in total.items():
+            level = np.minimum(255, np.log2(counts + 1.0) * 8).astype(np.uint8).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([level], pa.binary())], names=["piece", "data"])
+
+    ddl = "piece int, data binary"
+    out = np.zeros((PIECES, (1 << BITS) // PIECES), np.uint8)
+    for i, data in texts.select("text").mapInArrow(count, ddl).repartition(PIECES, "piece").mapInArrow(add, ddl).toLocalIterator():
+        out[i] = np.frombuffer(data, np.uint8)
+    return out.ravel()
+
+
+def prefix(tokens: np.ndarray, level: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The first shingles of a set, by (level, hash), of which sets that can be linked share one."""
     n = len(tokens)
     if not n:
         return tokens
-    i, _, up = size_class(n)
-    schemes = [(i, up - 1)]
-    if n * den >= num * up:  # may be linked with sizes of the next class
-        schemes.append((i + 1, max(up + 1, up * 3 // 2) - 1))
-    mixed = mix(tokens ^ U(0x5851F42D4C957F2D))
-    out = []
-    for scheme, hi in schemes:
-        d = 2 * hi * (den - num) // (den + num)
-        k = d + 2 if d else 1
-        part = ((tokens >> U(32)) * U(k)) >> U(32)
-        starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-        sums = np.add.reduceat(mixed, starts)
-        at = part[starts]
-        if k - len(starts) >= 2:
-            full = np.zeros(k, np.uint64)
-            full[at.astype(np.int64)] = sums
-            sums, at = full, np.arange(k, dtype=np.uint64)
-        out.append(mix(sums + mix(at + U(1) + (U(scheme + 1) << U(40)))))
-    return np.concatenate(out)
+    keep = n - -(-num * n // den) + 1
+    key = level[(tokens >> U(64 - BITS)).astype(np.int64)].astype(np.uint64) << U(56) | tokens >> U(8)
+    return np.partition(key, keep - 1)[:keep] if keep < n else key
 
 
-def set_hash(tokens: np.ndarray) -> int:
-    """Signed 64-bit hash of a set; used together with its size."""
-    return int(mix(np.array([np.add.reduce(mix(tokens + U(0x2545F4914F6CDD1D)), dtype=np.uint64) + U(len(tokens))], np.uint64)).view(np.int64)[0])
+STAR = "kind int, a long, b long, c long"
+SIG, EDGE, ITEM = range(3)
 
 
-STAR = "kind int, key long, a long, b long, c long"
-_STAR_ARROW = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+def star_batch(kind: int, *cols: np.ndarray) -> pa.RecordBatch:
+    n, zero = len(cols[0]), np.zeros(len(cols[0]), np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *(pa.array(c, pa.int64()) for c in (*cols, zero, zero)[:3])], names=["kind", "a", "b", "c"])
 
 
-def _star_batch(kind, key, a, b, c) -> pa.RecordBatch:
-    n = len(a)
-    cols = [np.full(n, kind, np.int32), key, a, b, c]
-    return pa.RecordBatch.from_arrays([pa.array(np.asarray(x), t) for x, t in zip(cols, _STAR_ARROW, strict=True)], names=["kind", "key", "a", "b", "c"])
+def star_edges(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted signatures, a leader of each; nodes that have another leader, that leader)."""
+    order = np.argsort(sig, kind="stable")
+    s, a = sig[order], node[order]
+    first = np.concatenate([[True], s[1:] != s[:-1]])
+    leader = a[first][np.cumsum(first) - 1]
+    other = a != leader
+    return s[first], a[first], a[other], leader[other]
 
 
-def _leaders(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sorted order, is first of its signature, leader) with the smallest node of each signature as leader."""
-    order = np.lexsort((node, sig))
-    s = sig[order]
-    first = np.concatenate([[True], s[1:] != s[:-1]])
-    at = np.maximum.accumulate(np.where(first, np.arange(len(s)), 0))
-    return order, first, node[order][at]
+class Sender:
+    """Collects signatures of a task; gives (bucket, kind, data) rows of one row for each signature
+    and of a forest of the task's own stars."""
 
+    def __init__(self, parts: int):
+        self.parts, self.sigs, self.nodes, self.held = parts, [], [], 0
 
-def star_rows(items: Callable[[pa.RecordBatch], Iterator[tuple[int, np.ndarray, int, int]]]):
-    """mapInArrow function: signature rows (kind 0), a task's own star edges (1), item rows (2).
+    def add(self, sig: np.ndarray, nodes: np.ndarray) -> None:
+        self.sigs.append(sig)
+        self.nodes.append(nodes)
+        self.held += len(sig)
 
-    ``items`` gives (id, signatures, size, set hash) for the rows of a batch.
-    """
+    def flush(self) -> list[tuple[int, int, bytes]]:
+        if not self.held:
+            return []
+        sig, leader, a, b = star_edges(np.concatenate(self.sigs), np.concatenate(self.nodes))
+        self.sigs, self.nodes, self.held = [], [], 0
+        return dealt(SIG, self.parts, sig, leader) + self.by_node(EDGE, *forest(a, b))
 
-    def flush(sigs: list, nodes: list) -> Iterator[pa.RecordBatch]:
-        sig = np.concatenate(sigs).view(np.int64)
-        node = np.repeat(np.array(nodes, np.int64), [len(s) for s in sigs])
-        order, first, leader = _leaders(sig, node)
-        s, a = sig[order], node[order]
-        zero = np.zeros(int(first.sum()), np.int64)
-        yield _star_batch(0, s[first], a[first], zero, zero)
-        e = np.unique(np.stack([a, leader])[:, a != leader], axis=1)
-        zero = np.zeros(e.shape[1], np.int64)
-        yield _star_batch(1, mix(e[0].view(np.uint64)).view(np.int64), e[0], e[1], zero)
+    def by_node(self, kind: int, a: np.ndarray, *cols: np.ndarray) -> list[tuple[int, int, bytes]]:
+        key = mix(a.view(np.uint64))
+        order = np.argsort(key)
+        return dealt(kind, self.parts, key[order], a[order], *(c[order] for c in cols))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sigs, nodes, held = [], [], 0
-        for batch in batches:
-            own = []
-            for node, sig, n, h in items(batch):
-                own.append((node, n, h))
-                if len(sig):
-                    sigs.append(sig)
-                    nodes.append(node)
-                    held += len(sig)
-            if own:
-                a, n, h = (np.array(x, np.int64) for x in zip(*own, strict=True))
-                yield _star_batch(2, mix(a.view(np.uint64)).view(np.int64), a, n, h)
-            if held > HELD:
-                yield from flush(sigs, nodes)
-                sigs, nodes, held = [], [], 0
-        if sigs:
-            yield from flush(sigs, nodes)
 
-    return run
+class StarFold:
+    """Receives what Sender has sent: star edges, as a forest of what a task has; items."""
 
+    def __init__(self):
+        self.edges, self.held = [], 0
 
-def join_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (kind, key, a), a signature's rows in one task: its star edges; other kinds as they are."""
-    last_key = last_leader = None
-    for batch in batches:
-        kind, key, a, b, c = (batch.column(i).to_numpy() for i in range(5))
-        rest = kind != 0
-        if rest.any():
-            yield batch.filter(pa.array(rest))
-        key, a = key[~rest], a[~rest]
-        if not len(key):
-            continue
-        first = np.concatenate([[key[0] != last_key], key[1:] != key[:-1]])
-        at = np.maximum.accumulate(np.where(first, np.arange(len(key)), -1))
-        leader = np.where(at >= 0, a[np.maximum(at, 0)], last_leader if last_leader is not None else a[0])
-        last_key, last_leader = key[-1], leader[-1]
-        e = np.stack([a, leader])[:, a != leader]
-        if e.shape[1]:
-            e = np.unique(e, axis=1)
-            zero = np.zeros(e.shape[1], np.int64)
-            yield _star_batch(1, zero, e[0], e[1], zero)
+    def fold(self, kind: int, data: list[bytes]) -> Iterator[pa.RecordBatch]:
+        if kind == ITEM:
+            yield star_batch(ITEM, *unpacked(data, 4)[1:])
+            return
+        if kind == EDGE:
+            self.edges.append(tuple(unpacked(data, 3)[1:]))
+        else:
+            self.edges.append(star_edges(*unpacked(data, 2))[2:])
+        self.held += len(self.edges[-1][0])
+        if self.held > HELD:
+            yield from self.end()
 
+    def end(self) -> Iterator[pa.RecordBatch]:
+        if self.held:
+            yield star_batch(EDGE, *forest(*(np.concatenate(x) for x in zip(*self.edges, strict=True))))
+        self.edges, self.held = [], 0
 
-def stars(items: DataFrame, rows) -> tuple[DataFrame, DataFrame]:
-    """(edges a, b; items id, n, h) of ``items``, with one pass over them and one shuffle."""
-    parts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    made = items.mapInArrow(rows, STAR).repartition(parts, "key").sortWithinPartitions("kind", "key", "a").mapInArrow(join_stars, STAR)
-    made = cut(made.select("kind", "a", "b", "c"), "stars")
-    return made.where("kind = 1").select("a", "b"), made.where("kind = 2").select(F.col("a").alias("id"), F.col("b").alias("n"), F.col("c").alias("h"))
+
+def set_stars(texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """STAR rows of ``texts(id, text)``: EDGE (a, b), ITEM (id, set size, set hash)."""
+    parts = partitions(texts)
+    level = texts.sparkSession.sparkContext.broadcast(levels(texts, width))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sender = Sender(parts)
+        for batch in batches:
+            ids, sizes, hashes = batch.column("id").to_numpy(), [], []
+            for node, tokens in zip(ids, text_sets(batch.column("text"), width), strict=True):
+                sig = prefix(tokens, level.value, num, den)
+                sender.add(mix(sig), np.full(len(sig), node, np.int64))
+                sizes.append(len(tokens))
+                hashes.append(set_hash(tokens))
+                if sender.held > HELD:
+                    yield packed(sender.flush(), parts)
+            if len(ids):
+                yield packed(sender.by_node(ITEM, ids.astype(np.int64), np.array(sizes, np.int64), np.array(hashes, np.int64)), parts)
+        if sender.held:
+            yield packed(sender.flush(), parts)
+
+    return cut(shuffle_packed(texts.select("id", "text").mapInArrow(send, PACKED), StarFold, STAR, parts), "stars")
 
 
 def t_occurrence_links(sets: list[np.ndarray], num: int, den: int, query: list[bool] | None = None, mu: float = 0.01) -> list[tuple[int, int]]:
@@ -284,7 +270,6 @@ def cell_search(width: int, num: int, den: int):
     """mapInArrow function over rows sorted by cell: the links of each cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler(width)
         now, ids, sets, query = None, [], [], []
 
         def links() -> pa.RecordBatch:
@@ -292,15 +277,14 @@ def cell_search(width: int, num: int, den: int):
             return pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in found], pa.int64()), pa.array([ids[j] for _, j in found], pa.int64())], names=["a", "b"])
 
         for batch in batches:
-            for cell, nb, node, asks, text in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            rows = zip(*(batch.column(c).to_pylist() for c in ("cell", "nb", "id", "query")), text_sets(batch.column("text"), width), strict=True)
+            for cell, nb, node, asks, tokens in rows:
                 if (cell, nb) != now:
                     if len(ids) > 1:
                         yield links()
                     now, ids, sets, query = (cell, nb), [], [], []
-                tokens = shingle(text)
-                if ids and ids[-1] == node:  # another row of this id: the smaller set stands for it
+                if ids and ids[-1] == node:
                     query[-1] = query[-1] or asks
-                    sets[-1] = min(sets[-1], tokens, key=lambda x: (len(x), set_hash(x)))
                 else:
                     ids.append(node)
                     sets.append(tokens)
@@ -312,20 +296,20 @@ def cell_search(width: int, num: int, den: int):
 
 
 def _search(cells: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     key = F.xxhash64("nb", "band", "cell", "qcell").alias("cell")
     rows = cells.join(texts, "id").select(key, "nb", "id", "query", "text")
-    return rows.repartition(parts, "cell").sortWithinPartitions("cell", "nb", "id").mapInArrow(cell_search(width, num, den), "a long, b long")
+    return rows.repartition(partitions(cells), "cell").sortWithinPartitions("cell", "nb", "id").mapInArrow(cell_search(width, num, den), "a long, b long")
 
 
 def verified_components(edges: DataFrame, items: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """id, component of all items that have a link, from candidate ``edges(a, b)``.
 
-    ``items(id, n, h)`` describe the sets; ``texts(id, text)`` hold the texts they came from.
+    ``items(id, n, h)`` describe the sets; ``texts(id, text)`` hold the texts they came from,
+    one for each id or several of one set.
     """
     hoods = components(edges).select(F.col("node").alias("id"), F.col("component").alias("nb"))
     members = cut(hoods.join(items.groupBy("id").agg(F.min(F.struct("n", "h")).alias("s")).select("id", "s.n", "s.h"), "id"), "members")
-    classes = members.groupBy("nb", "n", "h").agg(F.min("id").alias("rep"))
+    classes = members.groupBy("nb", "n", "h").agg(F.min("id").alias("rep"), F.count("*").alias("k"))
     counts = classes.groupBy("nb").agg(F.count("*").alias("m")).where("m > 1")
     reps = cut(classes.join(counts, "nb").select("nb", F.col("rep").alias("id"), "n", "m"), "reps")
     texts = cut(texts.join(reps.select("id"), "id", "left_semi"), "texts")
@@ -341,6 +325,7 @@ def verified_components(edges: DataFrame, items: DataFrame, texts: DataFrame, wi
     leads = placed.where("id = lead AND cells > 1").withColumn("cell", each("cells"))
     first = placed.select("nb", "band", "cell", "id", "query").union(leads.select("nb", "band", "cell", "id", F.lit(True)))
     links = cut(_search(first.withColumn("qcell", F.lit(0).cast("long")), texts, width, num, den), "links")
+    done = [reps, texts, placed, links]
     large = placed.where("cells > 1")
     if not large.isEmpty():
         linked = components(links)
@@ -348,54 +333,95 @@ def verified_components(edges: DataFrame, items: DataFrame, texts: DataFrame, wi
         shares = large.groupBy("nb", "band", "part").agg(F.count("*").alias("k"))
         most = shares.groupBy("nb", "band").agg(F.max_by("part", F.struct("k", -F.col("part"))).alias("most"), F.sum("k").alias("all"), F.max("k").alias("k"))
         share = (F.col("all") - F.col("k")) / F.col("all")  # of the band that asks, in cells of the same size
+        sizes = large.groupBy("nb", "band").agg(F.max("cells").alias("cells"))
         rest = most.where("all > k").join(sizes, ["nb", "band"]).select("nb", "band", "most", F.greatest(F.ceil(share * F.col("cells")), F.lit(1)).cast("long").alias("qcells"))
         both = large.join(rest, ["nb", "band"])
         asks = both.where("part != most").select("nb", "band", each("cells").alias("cell"), "id", F.lit(True).alias("query"), F.pmod(F.xxhash64("id", F.lit(1)), "qcells").alias("qcell"))
         found = both.select("nb", "band", "cell", "id", F.lit(False).alias("query"), each("qcells").alias("qcell"))
-        links = links.union(_search(asks.union(found), texts, width, num, den))
-    same = members.join(classes, ["nb", "n", "h"]).where("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    return components(links.union(same)).select(F.col("node").alias("id"), "component")
+        more = cut(_search(asks.union(found), texts, width, num, den), "links")
+        links, done = links.union(more), [*done, large, more]
+    many = classes.where("k > 1").select("nb", "n", "h", "rep")
+    same = members.join(many, ["nb", "n", "h"]).where("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    out = components(links.union(same)).select(F.col("node").alias("id"), "component")
+    release(members, *done)
+    return out
+
+
+def set_components(texts: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(id, n, h of every row; id, component of the linked) of ``texts(id, text)``, ids not null.
+
+    Rows that share an id must have equal sets.
+    """
+    stars = set_stars(texts, width, num, den)
+    edges = stars.where(F.col("kind") == EDGE).select("a", "b")
+    items = stars.where(F.col("kind") == ITEM).select(F.col("a").alias("id"), F.col("b").alias("n"), F.col("c").alias("h"))
+    return items, verified_components(edges, items, texts, width, num, den)
 
 
-def shingle_items(width: int, num: int, den: int):
-    """Item function for documents: (doc_id, signatures, set size, set hash)."""
-    state: dict = {}
+def repeated_ids(docs: DataFrame) -> bool:
+    """Whether rows share a doc_id; reads that column alone."""
+    return not docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty()
 
-    def items(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, int, int]]:
-        shingle = state.setdefault("shingle", Shingler(width))
-        for node, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            tokens = shingle(text)
-            yield node, range_signatures(tokens, num, den), len(tokens), set_hash(tokens)
 
-    return items
+def row_key() -> F.Column:
+    """A number for rows of the same doc_id and text."""
+    return F.xxhash64("doc_id", "text", F.col("text").isNull())
 
 
 def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document of ``docs(doc_id, text)``.
+    """doc_id, n_shingles, component_id of every row of ``docs(doc_id, text)``.
 
     Documents link when ``den * |A and B| >= num * |A or B|`` over their distinct shingles
     of ``width`` words (A-Z lower-cased; a text with fewer words is one shingle).
     component_id is the smallest doc_id reachable by links.
 
-    Null and empty texts have no shingle and no link. Rows that share a doc_id count as
-    copies of one of them (that with the smallest set) in links and are all returned; a null
-    doc_id has no link and a null component. Extra columns are ignored.
+    Null and empty texts have no shingle and no link. Rows that share a doc_id are searched
+    each; a doc_id is linked with what any of its rows is linked with. A null doc_id has no
+    link and a null component. Extra columns are ignored; an empty table gives no rows.
     """
     texts = docs.select("doc_id", "text")
     keyed = texts.where(F.col("doc_id").isNotNull())
-    edges, items = stars(keyed, star_rows(shingle_items(width, num, den)))
-    found = verified_components(edges, items, keyed.select(F.col("doc_id").alias("id"), "text"), width, num, den)
+    if repeated_ids(texts):
+        rows = keyed.select(row_key().alias("id"), "doc_id", "text")
+        items, found = set_components(rows.select("id", "text"), width, num, den)
+        names = rows.select("id", "doc_id").distinct()
+        lead = names.select(F.col("id").alias("component"), F.col("doc_id").alias("b"))
+        found = components(found.join(names, "id").join(lead, "component").select(F.col("doc_id").alias("a"), "b"))
+        items = items.join(names, "id").select(F.col("doc_id").alias("id"), "n")
+        found = found.select(F.col("node").alias("id"), "component")
+    else:
+        items, found = set_components(keyed.select(F.col("doc_id").alias("id"), "text"), width, num, den)
     out = items.join(found, "id", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
-    nulls = texts.where(F.col("doc_id").isNull())
-    count = nulls.mapInArrow(_sizes(width), "doc_id long, n_shingles long, component_id long")
-    return out.unionByName(count)
+    return out.unionByName(texts.where(F.col("doc_id").isNull()).mapInArrow(_sizes(width), "doc_id long, n_shingles long, component_id long"))
+
+
+def one_of_each(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates: that of the smallest doc_id, of
+    several such rows the one with the smallest hash. Rows that share a doc_id but have no
+    link stay each. Rows without a doc_id stay; null and empty texts have no duplicates."""
+    keyed = docs.where(F.col("doc_id").isNotNull())
+    if not repeated_ids(docs):
+        _, found = set_components(keyed.select(F.col("doc_id").alias("id"), "text"), width, num, den)
+        gone = found.where("id != component").select(F.col("id").alias("doc_id"))
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    rows = keyed.select(row_key().alias("id"), "doc_id", "text")
+    _, found = set_components(rows.select("id", "text"), width, num, den)
+    names = rows.select("id", "doc_id").distinct()
+    placed = cut(names.join(found, "id"), "placed")
+    stays = placed.groupBy("component").agg(F.min(F.struct("doc_id", "id")).alias("s")).select("s.id")
+    gone = placed.select("id").exceptAll(stays)
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    kept = keyed.select(row_key().alias("key"), whole).join(gone.withColumnRenamed("id", "key"), "key", "left_anti")
+    linked = placed.select(F.col("id").alias("key")).distinct()
+    alone = kept.join(linked, "key", "left_anti").select("row.*")
+    of_group = kept.join(linked, "key", "left_semi").groupBy("key").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row")).select("row.*")
+    return alone.unionByName(of_group).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def _sizes(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler(width)
         for batch in batches:
-            n = [len(shingle(t)) for t in batch.column("text").to_pylist()]
+            n = [len(x) for x in text_sets(batch.column("text"), width)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.nulls(len(n), pa.int64())], names=["doc_id", "n_shingles", "component_id"])
 
     return run

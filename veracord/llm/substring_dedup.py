@@ -1,33 +1,37 @@
-"""Substring dedup: repeated passages and near-duplicate paragraphs across documents.
+r"""Substring dedup: near-duplicate paragraphs and repeated passages across documents.
 
-A paragraph is a line. What goes:
+A paragraph is a \n-split line.
 
 * *Near-duplicate paragraphs.* MinHash signatures over the five-word shingles of every
-  line of five words or more, ``BANDS``
-  bands of ``ROWS`` rows: two paragraphs of Jaccard 0.8 share a band with probability
-  ``1 - (1 - 0.8**2)**6`` = 0.998, 0.9 with 0.99995. Paragraphs of a band bucket are
-  joined to its smallest as a star; within the components of the stars the exact
-  Jaccard is computed (the T-occurrence search of :mod:`setjoin`), and the verified
-  links are clustered by components. The first paragraph of a component stays.
+  line of five words or more, ``BANDS`` bands of ``ROWS`` rows: two paragraphs of Jaccard
+  0.8 share a band with probability ``1 - (1 - 0.8**2)**6`` = 0.998, 0.9 with 0.99995.
+  Paragraphs of a band bucket are joined to one of them as a star; within the components
+  of the stars the exact Jaccard is computed (the T-occurrence search of
+  :mod:`setjoin`), and the verified links are clustered by components. All members but
+  the first of a component, by (doc_id, place), are ``copies`` of it; those of ``least``
+  words or more go.
 * *Repeated passages.* Every stretch of ``min_words`` words, line ends or not, that
   equals an earlier one (by doc_id, place; the two may overlap) goes, whatever lies
   around it. A stretch is asked for by its seed: the least hash of its ``SEED``-word
   windows, which equal stretches have in common wherever they stand. One pass finds the
   seeds that stand at two places or more; the next one compares all stretches that have
   such a seed, word for word up to 64-bit hashes, so spans reach to the true ends.
-* A whole line of at least five words goes if it equals an earlier line. What goes
-  and touches is one span.
+
+What goes and touches is one span. Short lines that stand in many clean documents
+(formulas, headings, turns of phrase) are reported and stay, unless ``least`` is lowered.
 
 Scale: two passes over the texts. The first shuffles signatures, lines and about one
 seed in seven words; the second the stretches that may repeat, once per task each, and
-the lines that need verification. The seeds are asked for by a filter of fixed size: when
-it fills, more stretches than needed are compared, none is left out. A document's spans,
-not its text, are put together by its id. Candidates are never paired within a bucket.
+the lines that need verification; both packed by task and bucket. The seeds are asked for
+by a filter of fixed size: when it fills, more stretches than needed are compared, none is
+left out. A document's spans, not its text, are put together by its id. Candidates are
+never paired within a bucket.
 
 Defined results: null and empty texts have no words and no spans; words are as in the
 other contracts, compared after lower-casing A-Z. Repeats within one document count
-too. Rows with a null doc_id are passed over and returned with no spans; rows that
-share a doc_id share their spans' places. Extra columns are ignored.
+too. Rows with a null doc_id are passed over and returned with no spans. Rows that share a
+doc_id are documents each, in the order of (doc_id, hash of the text): of two equal rows
+the second goes. Extra columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -39,52 +43,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veracord.llm.common import ASCII_LOWER, cut
-from veracord.llm.setjoin import _POWERS, HELD, Shingler, U, _leaders, mix, verified_components
+from veracord.llm.common import cut, release
+from veracord.llm.setjoin import EDGE, HELD, ITEM, SIG, Sender, StarFold, partitions, repeated_ids, star_batch, verified_components
+from veracord.llm.vector import PACKED, U, Words, dealt, grouped, mix, packed, shuffle_packed, stretch_hashes, unpacked, windows
 
 WIDTH, BANDS, ROWS, SEED = 5, 6, 2, 8
 SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * U(0x9E3779B97F4A7C15))
-SIG, STAR, SEEDED, LINE, WORDS, GONE, WINDOW, TEXT = range(8)
-ROW = "kind int, key long, a long, b long, c long"
-ASKED = f"{ROW}, text string"
-_TYPES = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-
-
-def rows_of(kind: int, *cols: np.ndarray) -> pa.RecordBatch:
-    n = len(cols[0])
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32), _TYPES[0]), *(pa.array(x.astype(np.int64, copy=False) if x.dtype != np.uint64 else x.view(np.int64)) for x in cols)], names=["kind", "key", "a", "b", "c"])
+#: Kinds of rows beside those of a star join.
+SEEDED, LINE, COPY, WINDOW, GONE, TEXT = range(10, 16)
+ROW = "kind int, a long, b long, c long, d long"
+ANSWER = "kind int, a long, b long, c long, text string"
 
 
-def lines_of(text: str | None) -> list[list[str]]:
-    """Words of each line that has any."""
-    out = []
-    for line in (text or "").translate(ASCII_LOWER).split("\n"):
-        for c in "\t\x0b\x0c\r":
-            line = line.replace(c, " ")
-        if words := [w for w in line.split(" ") if w]:
-            out.append(words)
-    return out
-
-
-def sequence_hashes(h: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Hash of each stretch of word hashes, by word and place within the stretch."""
-    at = np.arange(len(h)) - np.repeat(starts, lengths)
-    power = np.cumprod(np.full(int(lengths.max()), _POWERS[0], np.uint64))
-    return mix(np.add.reduceat(mix(h) * power[at], starts) + lengths.astype(np.uint64))
-
-
-def stretches(h: np.ndarray, n: int) -> np.ndarray:
-    """Hash of each ``n`` adjacent word hashes."""
-    m = len(h) - n + 1
-    out, done, part, size = np.full(m, n, np.uint64), 0, h, 1
-    while size <= n:
-        if n & size:
-            out = out + part[done : done + m] * U(pow(0x9E3779B97F4A7C15, done, 1 << 64))
-            done += size
-        if 2 * size <= n:
-            part = part[:-size] + part[size:] * U(pow(0x9E3779B97F4A7C15, size, 1 << 64))
-        size *= 2
-    return mix(out)
+def line_rows(kind: int, *cols: np.ndarray) -> pa.RecordBatch:
+    rows = star_batch(kind, *cols[:3])
+    last = cols[3] if len(cols) > 3 else np.zeros(rows.num_rows, np.int64)
+    return pa.RecordBatch.from_arrays([*rows.columns, pa.array(last, pa.int64())], names=["kind", "a", "b", "c", "d"])
 
 
 def sliding(x: np.ndarray, n: int, of: np.ufunc) -> np.ndarray:
@@ -96,138 +70,144 @@ def sliding(x: np.ndarray, n: int, of: np.ufunc) -> np.ndarray:
     return of(x[: size - n], x[n - size :]) if size < n else x
 
 
-def seeds_of(h: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(seed at each place that has one, seed of each stretch of ``min_words`` words)."""
-    if len(h) < min_words:
-        return h[:0], h[:0]
-    k = min(SEED, min_words)
-    w = min_words - k + 1
-    x = stretches(h, k)
-    least = sliding(x, w, np.minimum)
-    around = np.zeros(w - 1, np.uint64)
-    return x[sliding(np.concatenate([around, least, around]), w, np.maximum) == x], least
-
-
-class Cutter:
-    """Text -> its words' hashes, lines, and the MinHash bands of its lines that have a shingle."""
-
-    def __init__(self):
-        self.known = Shingler(WIDTH).known
-
-    def __call__(self, text: str | None):
-        lines = lines_of(text)
-        lengths = np.array([len(x) for x in lines], np.int64)
-        n = int(lengths.sum())
-        if not n:
-            return None
-        h = np.fromiter((self.known[w] for x in lines for w in x), np.uint64, n)
-        return h, (np.cumsum(lengths) - lengths, lengths), lines
-
-    def bands(self, h: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(lines with a signature, [band, line] signatures)."""
-        own = np.flatnonzero(lengths >= WIDTH)
-        if not len(own):
-            return own, np.empty((BANDS, 0), np.uint64)
-        count = lengths[own] - WIDTH + 1
-        first = np.cumsum(count) - count
-        at = np.arange(int(count.sum())) - np.repeat(first, count) + np.repeat(starts[own], count)
-        shingle = np.full(len(at), WIDTH, np.uint64)
-        for i in range(WIDTH):
-            shingle = shingle + h[at + i] * _POWERS[i]
-        least = np.minimum.reduceat(mix(shingle[None, :] ^ SEEDS[:, None]), first, axis=1)
-        band = least[::ROWS] * _POWERS[2] + least[1::ROWS] * _POWERS[3]
-        return own, mix(band + np.arange(1, BANDS + 1, dtype=np.uint64)[:, None])
-
-
-def find(min_words: int):
-    """mapInArrow function: signature, seed and line rows of the documents, a task's own repeats already combined."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter = Cutter()
-        held: dict[int, list] = {SIG: [], SEEDED: [], LINE: []}
-        size = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            if held[SIG]:
-                sig, node = (np.concatenate(x).view(np.int64) for x in zip(*held[SIG], strict=True))
-                order, first, leader = _leaders(sig, node)
-                s, a = sig[order], node[order]
-                zero = np.zeros(int(first.sum()), np.int64)
-                yield rows_of(SIG, s[first], a[first], zero, zero)
-                e = np.unique(np.stack([a, leader])[:, a != leader], axis=1)
-                zero = np.zeros(e.shape[1], np.int64)
-                yield rows_of(STAR, mix(e[0].view(np.uint64)), e[0], e[1], zero)
-            if held[SEEDED]:
-                seed, count = np.unique(np.concatenate(held[SEEDED]), return_counts=True)
-                zero = np.zeros(len(seed), np.int64)
-                yield rows_of(SEEDED, seed, (count > 1).astype(np.int64), zero, zero)
-            if held[LINE]:
-                key, doc, at, n = (np.concatenate(x) for x in zip(*held[LINE], strict=True))
-                order = np.lexsort((at, doc, key))
-                key, doc, at, n = key[order], doc[order], at[order], n[order]
-                first = np.concatenate([[True], key[1:] != key[:-1]])
-                yield rows_of(LINE, key[first], doc[first], at[first], n[first])
-                yield rows_of(GONE, key[~first], doc[~first], at[~first], n[~first])
-            for x in held.values():
-                x.clear()
+class Paragraphs(Words):
+    """A group's words with its lines: ``ids`` hash lines, ``begin`` and ``count`` are their
+    first words and lengths, ``row`` and ``at`` the text and the place of each in it."""
+
+    def __init__(self, texts: list[bytes]):
+        super().__init__(texts)
+        begin, count = self.lines()
+        own = count >= WIDTH
+        self.begin, self.count = begin[own], count[own]
+        self.ids = stretch_hashes(mix(self.h), self.begin, self.begin + self.count).view(np.int64)
+        self.row = np.searchsorted(self.first, self.begin, "right") - 1
+        self.at = self.begin - self.first[self.row]
+
+    def bands(self) -> np.ndarray:
+        """[band, line] signatures of the lines that have a shingle."""
+        if not len(self.begin):
+            return np.empty((BANDS, 0), np.uint64)
+        n = self.count - WIDTH + 1
+        first = np.cumsum(n) - n
+        at = np.arange(int(n.sum())) - np.repeat(first, n) + np.repeat(self.begin, n)
+        shingle = windows(self.h, WIDTH)[at]
+        least = np.stack([np.minimum.reduceat(mix(shingle ^ s), first) for s in SEEDS])
+        band = least[::ROWS] * U(0x9E3779B97F4A7C15) + least[1::ROWS]
+        return mix(band + np.arange(1, BANDS + 1, dtype=np.uint64)[:, None])
+
+    def least_windows(self, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hash of each SEED-word window, seed of each stretch of ``min_words`` words, whether that lies in one text)."""
+        n = len(self.h)
+        if n < min_words:
+            return self.h[:0], self.h[:0], np.zeros(0, bool)
+        k = min(SEED, min_words)
+        x = windows(self.h, k)
+        least = sliding(x, min_words - k + 1, np.minimum)
+        end = np.repeat(self.first[1:], np.diff(self.first))[: len(least)]
+        return x, least, end - np.arange(len(least)) >= min_words
+
+    def seeds(self, min_words: int) -> np.ndarray:
+        """The seed at each place that has one."""
+        x, least, inside = self.least_windows(min_words)
+        if not len(x):
+            return x
+        w = min_words - min(SEED, min_words) + 1
+        around = np.zeros(w - 1, np.uint64)
+        return x[sliding(np.concatenate([around, np.where(inside, least, U(0)), around]), w, np.maximum) == x]
+
+
+def firsts(key: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order by key and then place, whether it is the first of its key)."""
+    order = np.argsort(key)
+    k = key[order]
+    first = np.concatenate([[True], k[1:] != k[:-1]])
+    if not first.all():
+        order = np.lexsort((at, doc, key))
+    return order, first
+
+
+class FindSender(Sender):
+    """A task's signatures, seeds and lines, its own repeats already combined."""
+
+    def __init__(self, parts: int):
+        super().__init__(parts)
+        self.seeds, self.lines = [], []
+
+    def take(self, group: Paragraphs, docs: np.ndarray, min_words: int) -> None:
+        self.seeds.append(group.seeds(min_words))
+        self.held += len(self.seeds[-1]) + len(group.ids)
+        bands = group.bands()
+        self.add(bands.ravel(), np.tile(group.ids, BANDS))
+        self.lines.append((group.ids, docs[group.row], group.at, group.count))
+
+    def flush(self) -> list[tuple[int, int, bytes]]:
+        rows = super().flush() if sum(map(len, self.sigs)) else []
+        seeds, lines, self.seeds, self.lines, self.sigs, self.nodes, self.held = self.seeds, self.lines, [], [], [], [], 0
+        if seeds:
+            seed, count = np.unique(np.concatenate(seeds), return_counts=True)
+            rows += dealt(SEEDED, self.parts, seed, count)
+        if lines:
+            ids, doc, at, n = (np.concatenate(x) for x in zip(*lines, strict=True))
+            order, first = firsts(ids, doc, at)
+            ids, doc, at, n = ids[order], doc[order], at[order], n[order]
+            rows += self.by_node(LINE, ids[first], doc[first], at[first], n[first])
+            rows += self.by_node(COPY, doc[~first], ids[~first], at[~first], n[~first])
+        return rows
+
+
+class FindFold(StarFold):
+    """Stars of signatures; seeds at two places or more; the first of equal lines and its copies."""
+
+    def fold(self, kind: int, data: list[bytes]) -> Iterator[pa.RecordBatch]:
+        if kind == SEEDED:
+            seed, count = unpacked(data, 2)
+            order = np.argsort(seed)
+            seed, count = seed[order], count[order]
+            begin = np.flatnonzero(np.concatenate([[True], seed[1:] != seed[:-1]])) if len(seed) else seed
+            if len(begin):
+                again = seed[begin][np.add.reduceat(count, begin) > 1]
+                yield line_rows(SEEDED, again)
+        elif kind == LINE:
+            _, ids, doc, at, n = unpacked(data, 5)
+            order, first = firsts(ids, doc, at)
+            for k, some in ((LINE, order[first]), (COPY, order[~first])):
+                if len(some):
+                    yield line_rows(k, ids[some], doc[some], at[some], n[some])
+        elif kind == COPY:
+            _, doc, ids, at, n = unpacked(data, 5)
+            yield line_rows(COPY, ids, doc, at, n)
+        else:
+            for rows in super().fold(kind, data):
+                yield line_rows(rows.column(0)[0].as_py(), *(rows.column(i).to_numpy() for i in (1, 2, 3))) if rows.num_rows else line_rows(EDGE, np.zeros(0, np.int64))
+
+    def end(self) -> Iterator[pa.RecordBatch]:
+        for rows in super().end():
+            if rows.num_rows:
+                yield line_rows(EDGE, rows.column(1).to_numpy(), rows.column(2).to_numpy())
+
+
+def find(texts: DataFrame, min_words: int) -> DataFrame:
+    """ROW rows of ``texts(doc, text)``: EDGE (a, b); SEEDED (seed); LINE and COPY (id, doc, at, words); ITEM (doc, words)."""
+    parts = partitions(texts)
 
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sender = FindSender(parts)
         for batch in batches:
-            counts = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                got = cutter(text)
-                counts.append(0 if got is None else len(got[0]))
-                if got is None:
-                    continue
-                h, (starts, lengths), _ = got
-                seeds = seeds_of(h, min_words)[0]
-                held[SEEDED].append(seeds)
-                own, bands = cutter.bands(h, starts, lengths)
-                if len(own):
-                    ids = sequence_hashes(h, starts, lengths)[own]
-                    held[SIG].append((bands.ravel(), np.tile(ids, BANDS)))
-                    held[LINE].append((ids.view(np.int64), np.full(len(own), doc, np.int64), starts[own], lengths[own]))
-                size += len(seeds) + (BANDS + 1) * len(own)
-                if size > HELD:
-                    yield from flush()
-                    size = 0
-            doc, n = np.array(batch.column("doc_id").to_pylist(), np.int64), np.array(counts, np.int64)
-            yield rows_of(WORDS, mix(doc.view(np.uint64)), doc, n, np.zeros(len(doc), np.int64))
-        yield from flush()
-
-    return run
-
-
-def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (kind, key, a, b), a key's rows in one task: stars of signatures, the
-    seeds that repeat, all but the first of equal lines as GONE; other rows as they are."""
-    last = (None, None)
-    lead = 0
-    for batch in batches:
-        kind, key, a, b, c = (batch.column(i).to_numpy() for i in range(5))
-        n = len(kind)
-        if not n:
-            continue
-        first = np.concatenate([[(kind[0], key[0]) != last], (kind[1:] != kind[:-1]) | (key[1:] != key[:-1])])
-        at = np.maximum.accumulate(np.where(first, np.arange(n), -1))
-        leader = np.where(at >= 0, a[np.maximum(at, 0)], lead)
-        last, lead = (kind[-1], key[-1]), leader[-1]
-        star = (kind == SIG) & (a != leader)
-        if star.any():
-            e = np.unique(np.stack([a[star], leader[star]]), axis=1)
-            yield rows_of(STAR, e[0], e[0], e[1], np.zeros(e.shape[1], np.int64))
-        again = np.unique(key[(kind == SEEDED) & (~first | (a == 1))])
-        if len(again):
-            zero = np.zeros(len(again), np.int64)
-            yield rows_of(SEEDED, again, zero, zero, zero)
-        gone = (kind == LINE) & ~first
-        if gone.any():
-            yield rows_of(GONE, key[gone], a[gone], b[gone], c[gone])
-        keep = (kind == STAR) | (kind == WORDS) | (kind == GONE) | (kind == LINE) & first
-        if keep.any():
-            yield batch.filter(pa.array(keep))
-
-
-#: Bits of the filter that keeps lines nobody asks for out of the shuffle; its size is fixed.
+            docs, counts = batch.column("doc").to_numpy(), []
+            for at, part in grouped(batch.column("text")):
+                group = Paragraphs(part)
+                sender.take(group, docs[at : at + len(part)], min_words)
+                counts.append(np.diff(group.first))
+                if sender.held > HELD:
+                    yield packed(sender.flush(), parts)
+            if len(docs):
+                yield packed(sender.by_node(ITEM, docs, np.concatenate(counts), np.zeros(len(docs), np.int64)), parts)
+        yield packed(sender.flush(), parts)
+
+    return shuffle_packed(texts.mapInArrow(send, PACKED), FindFold, ROW, parts)
+
+
+#: Bits of the filters of seeds and of lines; their size is fixed.
 FILTER_BITS = 1 << 24
 
 
@@ -247,85 +227,92 @@ def passes(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return (bits[(at >> U(6)).astype(np.int64)] >> (at & U(63)) & U(1)).astype(bool)
 
 
-def runs_of(doc: np.ndarray, at: np.ndarray, words: int) -> pa.RecordBatch:
-    """GONE rows of the stretches of ``words`` words at these places, those that follow each other as one."""
+def runs_of(doc: np.ndarray, at: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, place, words) of the stretches of ``words`` words at these places, those that follow each other as one."""
     order = np.lexsort((at, doc))
     doc, at = doc[order], at[order]
     begins = np.concatenate([[True], (doc[1:] != doc[:-1]) | (at[1:] > at[:-1] + 1)])
     ends = np.concatenate([begins[1:], [True]])
-    zero = np.zeros(int(begins.sum()), np.int64)
-    return rows_of(GONE, zero, doc[begins], at[begins], at[ends] - at[begins] + words)
-
+    return doc[begins], at[begins], at[ends] - at[begins] + words
 
-def with_text(rows: pa.RecordBatch, texts: list | None = None) -> pa.RecordBatch:
-    text = pa.nulls(rows.num_rows, pa.string()) if texts is None else pa.array(texts, pa.string())
-    return pa.RecordBatch.from_arrays([*rows.columns, text], names=[*rows.schema.names, "text"])
 
+class AnswerFold:
+    """All but the first of equal stretches as GONE; the first of equal lines' texts."""
 
-def ask(wanted, seeds, min_words: int):
-    """mapInArrow function: the stretches whose seeds pass the filter ``seeds`` (c: seed), a
-    task's own repeats already as GONE; the lines whose ids pass ``wanted`` (c: id), as texts."""
+    def __init__(self, min_words: int):
+        self.min_words = min_words
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter, held, size = Cutter(), [], 0
+    def rows(self, kind: int, *cols: np.ndarray, texts: list | None = None) -> pa.RecordBatch:
+        rows = star_batch(kind, *cols)
+        text = pa.nulls(rows.num_rows, pa.string()) if texts is None else pa.array(texts, pa.string())
+        return pa.RecordBatch.from_arrays([*rows.columns, text], names=["kind", "a", "b", "c", "text"])
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            key, doc, at, seed = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.lexsort((at, doc, key))
-            key, doc, at, seed = key[order], doc[order], at[order], seed[order]
-            first = np.concatenate([[True], key[1:] != key[:-1]])
-            yield with_text(rows_of(WINDOW, key[first], doc[first], at[first], seed[first]))
-            if not first.all():
-                yield with_text(runs_of(doc[~first], at[~first], min_words))
+    def fold(self, kind: int, data: list[bytes]) -> Iterator[pa.RecordBatch]:
+        if kind == WINDOW:
+            key, doc, at = unpacked(data, 3)
+            order, first = firsts(key, doc, at)
+            again = order[~first]
+            if len(again):
+                yield self.rows(GONE, *runs_of(doc[again], at[again], self.min_words))
+        elif kind == GONE:
+            yield self.rows(GONE, *unpacked(data, 4)[1:])
+        else:
+            texts: dict[int, bytes] = {}
+            for x in data:
+                n = int.from_bytes(x[:8], "little")
+                texts.update(zip(np.frombuffer(x, np.int64, n, 8).tolist(), x[8 + 8 * n :].split(b"\n"), strict=True))
+            yield self.rows(TEXT, np.array(list(texts), np.int64), texts=[t.decode() for t in texts.values()])
+
+    def end(self) -> Iterator[pa.RecordBatch]:
+        yield from ()
+
+
+def ask(texts: DataFrame, wanted: np.ndarray, seeds: np.ndarray, min_words: int) -> DataFrame:
+    """ANSWER rows: GONE (doc, at, words) of stretches that stand earlier; TEXT (id, text) of lines that pass ``wanted``."""
+    parts = partitions(texts)
+    filters = texts.sparkSession.sparkContext.broadcast((wanted, seeds))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lines, places = filters.value
+        sender, held, size = Sender(parts), [], 0
+
+        def flush() -> list:
+            key, doc, at = (np.concatenate(x) for x in zip(*held, strict=True))
+            order, first = firsts(key, doc, at)
+            key, doc, at = key[order], doc[order], at[order]
+            rows = dealt(WINDOW, parts, key[first], doc[first], at[first])
             held.clear()
+            return rows + (sender.by_node(GONE, *runs_of(doc[~first], at[~first], min_words)) if not first.all() else [])
 
         for batch in batches:
-            texts: dict[int, str] = {}
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                got = cutter(text)
-                if got is None:
-                    continue
-                h, (starts, lengths), lines = got
-                ids = sequence_hashes(h, starts, lengths)
-                for i in np.flatnonzero((lengths >= WIDTH) & passes(wanted.value, ids)).tolist():
-                    texts.setdefault(int(ids[i].view(np.int64)), " ".join(lines[i]))
-                least = seeds_of(h, min_words)[1]
-                at = np.flatnonzero(passes(seeds.value, least))
-                if len(at):
-                    held.append((stretches(h, min_words)[at].view(np.int64), np.full(len(at), doc, np.int64), at, least[at].view(np.int64)))
-                    size += len(at)
+            docs, found = batch.column("doc").to_numpy(), {}
+            for at, part in grouped(batch.column("text")):
+                group = Paragraphs(part)
+                raw = group.data.tobytes()
+                for i in np.flatnonzero(passes(lines, group.ids.view(np.uint64))).tolist():
+                    b = group.begin[i]
+                    found.setdefault(int(group.ids[i]), raw[group.starts[b] : group.ends[b + group.count[i] - 1]])
+                _, least, inside = group.least_windows(min_words)
+                here = np.flatnonzero(inside & passes(places, least))
+                if len(here):
+                    row = np.searchsorted(group.first, here, "right") - 1
+                    held.append((windows(group.h, min_words)[here], docs[at + row], here - group.first[row]))
+                    size += len(here)
                 if size > HELD:
-                    yield from flush()
+                    yield packed(flush(), parts)
                     size = 0
-            if texts:
-                ids, zero = np.array(list(texts), np.int64), np.zeros(len(texts), np.int64)
-                yield with_text(rows_of(TEXT, ids, zero, zero, ids), list(texts.values()))
+            if found:
+                ids = np.array(list(found), np.int64)
+                bucket = (mix(ids.view(np.uint64)) % U(parts)).astype(np.int64).tolist()
+                by: dict[int, list[int]] = {}
+                for i, b in enumerate(bucket):
+                    by.setdefault(b, []).append(i)
+                own = list(found.values())
+                yield packed([(b, TEXT, len(at).to_bytes(8, "little") + ids[at].tobytes() + b"\n".join(own[i] for i in at)) for b, at in by.items()], parts)
         if held:
-            yield from flush()
-
-    return run
-
-
-def answer(min_words: int):
-    """mapInArrow function over rows sorted by (kind, c, key, a, b), those of a c in one task:
-    all but the first of equal stretches as GONE, the first of equal texts; GONE as it is."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = (None, None)
-        for batch in batches:
-            kind, key, a, b = (batch.column(i).to_numpy() for i in range(4))
-            if not len(kind):
-                continue
-            first = np.concatenate([[(kind[0], key[0]) != last], (kind[1:] != kind[:-1]) | (key[1:] != key[:-1])])
-            last = (kind[-1], key[-1])
-            gone = (kind == WINDOW) & ~first
-            if gone.any():
-                yield with_text(runs_of(a[gone], b[gone], min_words))
-            keep = (kind == GONE) | (kind == TEXT) & first
-            if keep.any():
-                yield batch.filter(pa.array(keep))
+            yield packed(flush(), parts)
 
-    return run
+    return shuffle_packed(texts.mapInArrow(send, PACKED), lambda: AnswerFold(min_words), ANSWER, parts)
 
 
 def spans_of(places: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -339,66 +326,111 @@ def spans_of(places: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def repeated_spans(docs: DataFrame, min_words: int = 20, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id, n_words, n_removed (words), spans of every row of ``docs(doc_id, text)``.
+SPANS = "array<struct<at: bigint, words: bigint>>"
+COPIES = "array<struct<at: bigint, words: bigint, of_doc: bigint, of_at: bigint>>"
+
+
+def repeated_spans(docs: DataFrame, min_words: int = 20, num: int = 80, den: int = 100, least: int = 20) -> DataFrame:
+    """doc_id, n_words, n_removed (words), spans, copies of every row of ``docs(doc_id, text)``.
 
     ``spans`` lists (first word, number of words) of what repeats something earlier.
+    ``copies`` lists the lines of five words or more, short ones too, that are near
+    duplicates (or copies) of an earlier line, with the document and place of the first of
+    their class: (first word, words, of_doc, of_at).
     """
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select("doc_id", "text")
-    keyed = texts.where(F.col("doc_id").isNotNull())
-    found = keyed.mapInArrow(find(min_words), ROW).repartition(parts, "key").sortWithinPartitions("kind", "key", "a", "b").mapInArrow(combine, ROW)
-    found = cut(found, "repeats")
-    of = lambda kind, *names: found.where(F.col("kind") == kind).select(*(F.col(c).alias(n) for c, n in zip(("key", "a", "b", "c"), names, strict=True) if n != "-"))
-    edges = of(STAR, "-", "a", "b", "-")
+    nulls = texts.where(F.col("doc_id").isNull()).select("doc_id", *(F.lit(0).cast("long").alias(c) for c in ("n_words", "n_removed")), F.array().cast(SPANS).alias("spans"), F.array().cast(COPIES).alias("copies"))
+    if repeated_ids(texts):
+        rows = _numbered(texts)
+        names = rows.select("doc", "row.doc_id")
+        out = _spans(rows.select("doc", "row.text"), min_words, num, den, least)
+        lead = names.select(F.col("doc").alias("of"), F.col("doc_id").alias("of_doc"))
+        copies = out.select("doc", F.explode("copies").alias("c")).select("doc", "c.at", "c.words", F.col("c.of_doc").alias("of"), "c.of_at").join(lead, "of")
+        copies = copies.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("at", "words", "of_doc", "of_at"))).alias("copies"))
+        out = out.drop("copies").join(copies, "doc", "left").join(names, "doc").withColumn("copies", F.coalesce("copies", F.array().cast(COPIES)))
+    else:
+        out = _spans(texts.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("doc"), "text"), min_words, num, den, least)
+        out = out.withColumn("doc_id", F.col("doc"))
+    return out.select("doc_id", "n_words", "n_removed", "spans", "copies").union(nulls)
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """doc, row: rows of which some share a doc_id, written with a number that follows (doc_id, hash of the text)."""
+    ordered = docs.where(F.col("doc_id").isNotNull()).orderBy("doc_id", F.xxhash64("text"))
+    return cut(ordered.select(F.monotonically_increasing_id().alias("doc"), whole_row(docs)), "numbered")
+
+
+def whole_row(docs: DataFrame) -> F.Column:
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+
+
+def _spans(keyed: DataFrame, min_words: int, num: int, den: int, least: int) -> DataFrame:
+    """doc, n_words, n_removed, spans, copies of ``keyed(doc, text)`` with distinct ``doc``."""
+    found = cut(find(keyed, min_words), "repeats")
+    of = lambda kind, *cols: found.where(F.col("kind") == kind).select(*(F.col(c).alias(n) for c, n in zip("abcd", cols, strict=False)))
+    edges = of(EDGE, "a", "b")
     items = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct().select("id", F.lit(0).cast("long").alias("n"), F.col("id").alias("h"))
     needed = cut(items.select("id"), "ids")
-    wanted = docs.sparkSession.sparkContext.broadcast(id_filter(needed))
-    seeds = docs.sparkSession.sparkContext.broadcast(id_filter(of(SEEDED, "id", "-", "-", "-")))
-    asked = keyed.mapInArrow(ask(wanted, seeds, min_words), ASKED)
-    spread = F.when(F.col("kind") == GONE, F.xxhash64("a", "b")).otherwise(F.col("c"))
-    asked = asked.repartition(parts, spread).sortWithinPartitions("kind", "c", "key", "a", "b").mapInArrow(answer(min_words), ASKED)
-    asked = cut(asked, "asked")
-    lines = cut(asked.where(F.col("kind") == TEXT).select(F.col("key").alias("id"), "text").join(needed, "id", "left_semi"), "lines")
-    clusters = verified_components(edges, items, lines, WIDTH, num, den)
-    placed = clusters.join(of(LINE, "id", "doc", "at", "words"), "id")
-    first = placed.groupBy("component").agg(F.min(F.struct("doc", "at")).alias("first"))
-    near = placed.join(first, "component").where(F.struct("doc", "at") != F.col("first")).select("doc", "at", "words")
-    passages = asked.where(F.col("kind") == GONE).select(F.col("a").alias("doc"), F.col("b").alias("at"), F.col("c").alias("words"))
-    gone = of(GONE, "-", "doc", "at", "words").union(passages).union(near)
-    per_doc = gone.groupBy("doc").agg(F.collect_list(F.struct("at", "words")).alias("places"))
-    rows = of(WORDS, "-", "doc", "n_words", "-").join(per_doc, "doc", "left").select(F.col("doc").alias("doc_id"), "n_words", "places")
+    asked = cut(ask(keyed, id_filter(needed), id_filter(of(SEEDED, "id")), min_words), "asked")
+    lines = cut(asked.where(F.col("kind") == TEXT).select(F.col("a").alias("id"), "text").join(needed, "id", "left_semi"), "lines")
+    clusters = cut(verified_components(edges, items, lines, WIDTH, num, den), "clusters")
+    release(needed, lines)
+    copy, line = of(COPY, "id", "doc", "at", "words"), of(LINE, "id", "doc", "at", "words")
+    near = line.join(clusters, "id")
+    heads = near.groupBy("component").agg(F.min(F.struct("doc", "at")).alias("head"))
+    near = near.join(heads, "component")
+    own = copy.select("id").distinct().join(line, "id").join(near.select("id", "head"), "id", "left").select("id", F.coalesce("head", F.struct("doc", "at")).alias("head"))
+    copies = near.where(F.struct("doc", "at") != F.col("head")).select("doc", "at", "words", "head").union(copy.join(own, "id").select("doc", "at", "words", "head"))
+    passages = asked.where(F.col("kind") == GONE).select(F.col("a").alias("doc"), F.col("b").alias("at"), F.col("c").alias("words"), F.lit(None).cast("struct<doc: bigint, at: bigint>").alias("head"))
+    per_doc = copies.union(passages).groupBy("doc").agg(F.collect_list(F.struct("at", "words", F.col("head.doc").alias("of_doc"), F.col("head.at").alias("of_at"))).alias("places"))
+    rows = of(ITEM, "doc", "n_words").join(per_doc, "doc", "left").select("doc", "n_words", "places")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        span = pa.list_(pa.struct([("at", pa.int64()), ("words", pa.int64())]))
+        copy = pa.list_(pa.struct([(n, pa.int64()) for n in ("at", "words", "of_doc", "of_at")]))
+        for batch in batches:
+            spans, copies = [], []
+            for places in batch.column("places").to_pylist():
+                spans.append(spans_of([(p["at"], p["words"]) for p in places or () if p["of_doc"] is None or p["words"] >= least]))
+                copies.append(sorted((p for p in places or () if p["of_doc"] is not None), key=lambda p: (p["at"], p["words"])))
+            cols = [pa.array([sum(n for _, n in s) for s in spans], pa.int64()), pa.array([[{"at": a, "words": n} for a, n in s] for s in spans], span), pa.array(copies, copy)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("n_words"), *cols], names=["doc", "n_words", "n_removed", "spans", "copies"])
+
+    return rows.mapInArrow(merge, f"doc long, n_words long, n_removed long, spans {SPANS}, copies {COPIES}")
+
+
+def remove_spans(docs: DataFrame, min_words: int = 20, num: int = 80, den: int = 100, least: int = 20) -> DataFrame:
+    """``docs`` with what repeats taken out of ``text``; what stays keeps its white space.
+
+    A document that repeats others as a whole keeps its row, with what white space is left.
+    """
+    schema, columns = docs.schema, docs.columns
+    if twice := repeated_ids(docs):
+        row = _numbered(docs)
+    else:
+        row = docs.select(F.col("doc_id").alias("doc"), whole_row(docs))
+    found = _spans(row.where("doc IS NOT NULL").select("doc", "row.text"), min_words, num, den, least)
+    joined = row.join(found.where("n_removed > 0").select("doc", "spans"), "doc", "left").select("row", "spans")
+
+    def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = [spans_of([(p["at"], p["words"]) for p in places or ()]) for places in batch.column("places").to_pylist()]
-            kind = pa.list_(pa.struct([("at", pa.int64()), ("words", pa.int64())]))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("n_words"), pa.array([sum(n for _, n in s) for s in spans], pa.int64()), pa.array([[{"at": a, "words": n} for a, n in s] for s in spans], kind)],
-                names=["doc_id", "n_words", "n_removed", "spans"],
-            )
-
-    schema = "doc_id long, n_words long, n_removed long, spans array<struct<at: long, words: long>>"
-    nulls = texts.where(F.col("doc_id").isNull()).select("doc_id", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.array().cast("array<struct<at: bigint, words: bigint>>").alias("spans"))
-    return rows.mapInArrow(merge, schema).union(nulls)
-
-
-def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """``docs`` with the words of ``spans`` taken out of ``text``; what stays keeps its white space."""
-    import re
-
-    word = re.compile(r"[^\x20\x09-\x0D]+")
-
-    @F.udf("string")
-    def strip(text: str | None, spans: list | None) -> str | None:
-        if not text or not spans:
-            return text
-        at = [m.span() for m in word.finditer(text)]
-        out, last = [], 0
-        for s in spans:
-            out.append(text[last : at[s["at"]][0]])
-            last = at[s["at"] + s["words"] - 1][1]
-        return "".join([*out, text[last:]])
-
-    own = spans.select("doc_id", "spans").dropDuplicates(["doc_id"]).withColumnRenamed("spans", "__spans")
-    return docs.join(own, "doc_id", "left").withColumn("text", strip("text", "__spans")).select(*docs.columns)
+            fields = dict(zip(columns, batch.column("row").flatten(), strict=True))
+            texts = fields["text"].to_pylist()
+            for i, spans in enumerate(batch.column("spans").to_pylist()):
+                if spans:
+                    texts[i] = without(texts[i], [(s["at"], s["words"]) for s in spans])
+            fields["text"] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(list(fields.values()), names=columns)
+
+    out = joined.mapInArrow(strip, schema)
+    return out.unionByName(docs.where(F.col("doc_id").isNull())) if twice else out
+
+
+def without(text: str, spans: list[tuple[int, int]]) -> str:
+    """A text without the words of ``spans``."""
+    words = Words([text.encode()])
+    raw, out, last = words.data.tobytes()[:-1], [], 0
+    for at, n in spans:
+        out.append(raw[last : words.starts[at]])
+        last = int(words.ends[at + n - 1])
+    return b"".join([*out, raw[last:]]).decode()

@@ -23,16 +23,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near duplicates: five-word shingles, Jaccard 0.8 or more.
 
-    The smallest doc_id stays, once if several rows have it. Rows without a doc_id stay.
+    The smallest doc_id stays. Rows without a doc_id stay, and so does each of the rows that
+    share a doc_id but are no near duplicates.
     """
-    groups = setjoin.jaccard_components(docs, width=5, num=80, den=100)
-    gone = groups.where("doc_id != component_id").select("doc_id").distinct()
-    stay = docs.join(gone, "doc_id", "left_anti")
-    twice = cut(stay.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
-    if twice.isEmpty():
-        return stay.select(*docs.columns)
-    once = stay.join(twice, "doc_id").dropDuplicates(["doc_id"])
-    return stay.join(twice, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
+    return setjoin.one_of_each(docs, width=5, num=80, den=100)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -121,6 +121,14 @@ def load_model(raw: bytes) -> tuple[Merges, list[str]]:
     return Merges(spec["model"]["vocab"], pairs), [t["content"] for t in spec.get("added_tokens", [])]
 
 
+def is_plain(raw: bytes) -> bool:
+    """Whether a tokenizer file splits by the published pattern and changes nothing before or after."""
+    spec = json.loads(raw)
+    pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    settings = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer")
+    return bool(settings and model.get("type", "BPE") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")))
+
+
 class Cache(dict):
     """Pre-token -> value, filled by ``make``. When full, the entries become the older
     generation, of which those that are met again come back; the rest goes."""
@@ -190,11 +198,13 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024) -> Dat
     A null text counts as empty; an empty text has 0 tokens. Rows with a null or
     repeated doc_id are counted like any other. Nothing is shuffled: one pass over
     (doc_id, text), Arrow batches in, three numbers out. The model that is sent to the
-    workers is as large as the tokenizer file, which the data do not change.
+    workers is as large as the tokenizer file, which the data do not change. Where that file
+    asks for another way of splitting or normalising, the library counts the whole texts.
     """
     spark = docs.sparkSession
     raw = read_bytes(spark, tokenizer_path)
     merges, _ = load_model(raw)
+    ours = is_plain(raw)
     model = spark.sparkContext.broadcast((raw, proved_whole_tokens(merges)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +217,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024) -> Dat
             texts = batch.column("text").to_pylist()
             counts = []
             for t in texts:
-                parts = split(t) if t else []
+                parts = (split(t) if ours else None) if t else []
                 if parts is None:
                     library = library or Tokenizer.from_str(raw.decode())
                     counts.append(len(library.encode(t, add_special_tokens=False).ids))

@@ -12,6 +12,9 @@ Method
    star: edges, never pairs. A task first does so for its own rows, so a shingle that a
    third of all documents share arrives once per task. The components of the stars hold
    every link.
+   Neighbourhoods of more than a cell of documents are thinned first: a document of which
+   more than ``n - ceil(t n)`` shingles stand nowhere else in them (counted exactly, over every
+   other shingle) has no link. What is left there goes through steps 1 and 2 once more.
 3. *T-occurrence search* within neighbourhoods, over classes of equal sets, in cells of
    bounded size: inverted lists of the cell's shingles; for each document the shortest
    lists are heap-merged, and the ``L`` longest are only probed by binary search for
@@ -51,7 +54,7 @@ CELL, CELL_TOKENS, HELD = 512, 2_000_000, 1_500_000
 #: Elements of short lists up to which they are merged by a heap, beyond by one stable merge sort.
 HEAP = 2_000
 #: Slots of the counts that order the shingles, and pieces in which they are summed.
-BITS, PIECES = 22, 64
+BITS, PIECES = 23, 64
 
 
 def partitions(df: DataFrame) -> int:
@@ -301,6 +304,74 @@ def _search(cells: DataFrame, texts: DataFrame, width: int, num: int, den: int)
     return rows.repartition(partitions(cells), "cell").sortWithinPartitions("cell", "nb", "id").mapInArrow(cell_search(width, num, den), "a long, b long")
 
 
+UNSHARED = 3
+
+
+class ThinFold:
+    """Counts, for each node, the shingles that nobody else has sent."""
+
+    def fold(self, kind: int, data: list[bytes]) -> Iterator[pa.RecordBatch]:
+        if kind == ITEM:
+            yield star_batch(ITEM, *unpacked(data, 3)[1:])
+            return
+        token, node = unpacked(data, 2)
+        order = np.argsort(token)
+        t = token[order]
+        edge = np.concatenate([[True], t[1:] != t[:-1], [True]])
+        alone = node[order][edge[:-1] & edge[1:]]
+        own, count = np.unique(alone[alone != SEVERAL], return_counts=True)
+        if len(own):
+            yield star_batch(UNSHARED, own, count)
+
+    def end(self) -> Iterator[pa.RecordBatch]:
+        yield from ()
+
+
+#: Stands for the nodes of a shingle that a task has met more than once.
+SEVERAL = np.iinfo(np.int64).min
+
+
+def thinned(texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """``texts(id, text)`` of distinct sets without those of which too much stands in no other set to have a link."""
+    parts = partitions(texts)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sender, held, size = Sender(parts), [], 0
+
+        def flush() -> list[tuple[int, int, bytes]]:
+            token, node = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(token)
+            token, node = token[order], node[order]
+            first = np.concatenate([[True], token[1:] != token[:-1]])
+            again = np.concatenate([~first[1:], [False]])
+            held.clear()
+            return dealt(SIG, parts, token[first], np.where(again, SEVERAL, node)[first])
+
+        for batch in batches:
+            ids, slack = batch.column("id").to_numpy().astype(np.int64), []
+            for node, tokens in zip(ids, text_sets(batch.column("text"), width), strict=True):
+                n = len(tokens)
+                slack.append(n - -(-num * n // den))
+                some = mix(tokens[tokens & U(1) == 0])
+                held.append((some, np.full(len(some), node)))
+                size += len(some)
+                if size > HELD:
+                    yield packed(flush(), parts)
+                    size = 0
+            if len(ids):
+                yield packed(sender.by_node(ITEM, ids, np.array(slack, np.int64)), parts)
+        if size:
+            yield packed(flush(), parts)
+
+    rows = cut(shuffle_packed(texts.select("id", "text").mapInArrow(send, PACKED), ThinFold, STAR, parts), "unshared")
+    alone = F.sum(F.when(F.col("kind") == UNSHARED, F.col("b")).otherwise(0))
+    most = F.max(F.when(F.col("kind") == ITEM, F.col("b")))
+    stays = rows.groupBy("a").agg(alone.alias("alone"), most.alias("most")).where("alone <= most").select(F.col("a").alias("id"))
+    out = cut(texts.join(stays, "id", "left_semi"), "thinned")
+    release(rows)
+    return out
+
+
 def verified_components(edges: DataFrame, items: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """id, component of all items that have a link, from candidate ``edges(a, b)``.
 
@@ -313,6 +384,16 @@ def verified_components(edges: DataFrame, items: DataFrame, texts: DataFrame, wi
     counts = classes.groupBy("nb").agg(F.count("*").alias("m")).where("m > 1")
     reps = cut(classes.join(counts, "nb").select("nb", F.col("rep").alias("id"), "n", "m"), "reps")
     texts = cut(texts.join(reps.select("id"), "id", "left_semi"), "texts")
+    done = [reps, texts]
+    if not (large := reps.where(F.col("m") > CELL)).isEmpty():
+        left = thinned(texts.join(large.select("id"), "id", "left_semi"), width, num, den)
+        stars = set_stars(left, width, num, den)
+        again = cut(components(stars.where(F.col("kind") == EDGE).select("a", "b")), "again")
+        placed = again.select(F.col("node").alias("id"), F.col("component").alias("nb")).join(large.select("id", "n"), "id")
+        counts = placed.groupBy("nb").agg(F.count("*").alias("m"))
+        reps = cut(reps.where(F.col("m") <= CELL).union(placed.join(counts, "nb").select("nb", "id", "n", "m")), "reps")
+        release(left, stars)
+        done += [again, reps]
     # a large neighbourhood falls apart by size: linked sizes are in one band or in two next to each other
     band = F.floor(F.log(F.greatest("n", F.lit(1))) / (math.log(den / num) * (1 + 1e-9))).cast("long")  # a shade wider, against rounding
     own = reps.select("nb", F.when(F.col("m") > CELL, band).otherwise(-1).alias("band"), "id", "n", F.lit(True).alias("query"))
@@ -325,7 +406,7 @@ def verified_components(edges: DataFrame, items: DataFrame, texts: DataFrame, wi
     leads = placed.where("id = lead AND cells > 1").withColumn("cell", each("cells"))
     first = placed.select("nb", "band", "cell", "id", "query").union(leads.select("nb", "band", "cell", "id", F.lit(True)))
     links = cut(_search(first.withColumn("qcell", F.lit(0).cast("long")), texts, width, num, den), "links")
-    done = [reps, texts, placed, links]
+    done += [placed, links]
     large = placed.where("cells > 1")
     if not large.isEmpty():
         linked = components(links)

@@ -3,7 +3,8 @@
 Found and replaced: e-mail addresses, phone numbers, payment cards (Luhn), IBANs
 (mod 97), social security numbers, IPv4 addresses, dates, and secrets (access keys,
 and hexadecimal values behind ``password=`` and ``token =``). Numbers and dates are
-replaced only when they validate; anything else that merely looks alike stays.
+replaced only when they validate; anything else that merely looks alike stays. A value
+ends where another begins, so that values in a row are all found.
 
 A value is permuted within its format: digits stay digits and letters stay letters
 of their case at their places, a card gets a right check digit, an IBAN right check
@@ -17,6 +18,7 @@ pseudonyms in all documents and different ones stay different.
 * Dates: the day's number within the 400 Gregorian years 1800-2199 (146,097 = 189 x 773
   days) goes through a Feistel network over Z189 x Z773.
 * IPv4: a Feistel network over two 16-bit halves.
+* Social security numbers: a Feistel network over the valid ones, Z898 x Z989901.
 
 Each text is cut once by one pattern; the matches are rewritten and put back between
 the pieces. No shuffle, no join, no Python; a text without a digit or ``@`` is passed on
@@ -28,26 +30,41 @@ matches are replaced alike. Extra columns are kept by :func:`pseudonymise`.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import warnings
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: In production the key is a secret that is passed in.
-KEY = "change-me"
+#: For tests and for the registered queries over synthetic tables, where ``spark.pii.key`` is not set.
+DEMO_KEY = "change-me"
 ROUNDS = 4
 
-#: Java patterns of the kinds, tried in this order at each place; each begins where no word character precedes.
+_IPV4 = r"(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9A-Za-z])"
+_DATE = r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9A-Za-z])"
+_SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"
+_CARD = "(?:[0-9]{13,19}|" + "|".join(f"[0-9]{{4}}{x}[0-9]{{4}}{x}[0-9]{{4}}{x}[0-9]{{4}}|[0-9]{{4}}{x}[0-9]{{6}}{x}[0-9]{{4,5}}" for x in " -") + ")(?![0-9A-Za-z])"
+#: Where a value that has spaces ends: before another one.
+_NEXT = rf"(?! (?:{_IPV4}|{_DATE}|{_SSN}))"
+_NEXT_CARD = rf"(?! (?:{_IPV4}|{_DATE}|{_SSN}|{_CARD}))"
+
+#: Java patterns of the kinds, tried in this order at each place.
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "secret": r"(?:password|passwd|pwd|secret|token|api_key)\s?[=:]\s?\"?[0-9A-Fa-f]{16,}",
+    "secret": r"(?i:password|passwd|pwd|secret|token|api_key)\s?[=:]\s?\"?[0-9A-Fa-f]{16,}",
     "access": r"(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])",
-    "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
-    "date": r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9A-Za-z])",
-    "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
-    "ipv4": r"(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9A-Za-z])",
-    "card": r"[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])",
-    "phone": r"(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9A-Za-z])",
+    "iban": rf"[A-Z]{{2}}[0-9]{{2}}(?:{_NEXT} ?[A-Z0-9]{{4}}){{2,7}}(?:{_NEXT} ?[A-Z0-9]{{1,3}})?(?![0-9A-Za-z])",
+    "date": _DATE,
+    "ssn": _SSN,
+    "ipv4": _IPV4,
+    "card": _CARD,
+    "phone": rf"(?:\+[0-9]{{1,3}}[ .-]?(?:\([0-9]{{1,4}}\)|[0-9]{{1,4}})(?:{_NEXT}[ .-]?[0-9]{{2,4}}){{2}}(?:{_NEXT_CARD}[ .-]?[0-9]{{2,4}}){{0,2}}|\([0-9]{{3}}\) ?[0-9]{{3}}[ .-][0-9]{{4}}|[0-9]{{3}}[.-][0-9]{{3}}[.-][0-9]{{4}})(?![0-9A-Za-z])",
 }
-ANY = r"(?<![A-Za-z0-9._%+-])(?:" + "|".join(PATTERNS.values()) + ")"
+#: What must not stand before a value; before a secret's word anything may.
+BEFORE = {
+    "email": r"(?<![A-Za-z0-9._%+-])", "secret": "", "date": r"(?<![A-Za-z0-9])(?<![0-9][-./])", "ssn": r"(?<![A-Za-z0-9])(?<![0-9]-)",
+    "ipv4": r"(?<![A-Za-z0-9])(?<![0-9]\.)", "phone": r"(?<![A-Za-z0-9])(?<![0-9][.-])",
+}
+ANY = "(?:" + "|".join(BEFORE.get(k, r"(?<![A-Za-z0-9])") + p for k, p in PATTERNS.items()) + ")"
 MAY_HAVE = r"[0-9@]"
 
 DIGITS, LOW, HIGH = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -96,7 +113,7 @@ def _shift(c: Column, k: Column, hexadecimal: bool) -> Column:
     return F.when(at > 0, F.substr(F.lit(DIGITS), ((at - 1 + k) % 10 + 1).cast("int"), F.lit(1))).otherwise(out)
 
 
-def permute(s: Column, kind: str, key: str = KEY, hexadecimal: bool = False) -> Column:
+def permute(s: Column, kind: str, key: str, hexadecimal: bool = False) -> Column:
     """Keyed permutation of all strings with the same character classes at the same places."""
 
     def moved(half: Column, stream: Column) -> Column:
@@ -113,7 +130,7 @@ def permute(s: Column, kind: str, key: str = KEY, hexadecimal: bool = False) ->
     return F.aggregate(rounds, start, step, lambda acc: F.concat(acc["l"], acc["r"]))
 
 
-def permute_pair(left: Column, right: Column, a: int, b: int, kind: str, key: str = KEY) -> Column:
+def permute_pair(left: Column, right: Column, a: int, b: int, kind: str, key: str) -> Column:
     """Keyed permutation of Z_a x Z_b as struct(l, r)."""
     number = lambda i, x: F.conv(F.left(_stream(key, kind, i, x.cast("string")), F.lit(14)), 16, 10).cast("long")
     start = F.struct(left.cast("long").alias("l"), right.cast("long").alias("r"))
@@ -158,32 +175,46 @@ def _card(m: Column, key: str) -> Column:
 
 
 def _iban(m: Column, key: str) -> Column:
-    """Country and spaces stay; the account part is permuted and the check digits made right."""
-    code = F.replace(m, F.lit(" "), F.lit(""))
-    country, account = F.left(code, F.lit(2)), F.substr(code, F.lit(5))
-    ok = mod97(F.concat(account, country, F.substr(code, F.lit(3), F.lit(2)))) == 1
-    new = permute(account, "iban", key)
+    """Country and spaces stay; the account part is permuted and the check digits made right. Of
+    a match that is not valid as a whole, the longest valid part up to a space is taken."""
+    bare = lambda c: F.replace(c, F.lit(" "), F.lit(""))
+    turned = lambda c: F.concat(F.substr(c, F.lit(5)), F.left(c, F.lit(4)))
+    groups = F.split(m, " ")
+    upto = lambda i: F.array_join(F.slice(groups, 1, i), " ")
+    valid = F.filter(F.sequence(F.size(groups), F.lit(1), F.lit(-1)), lambda i: (F.length(bare(upto(i))) >= 15) & (mod97(turned(bare(upto(i)))) == 1))
+    own = F.when(F.size(valid) > 0, upto(F.get(valid, F.lit(0))))
+    code = bare(own)
+    country = F.left(code, F.lit(2))
+    new = permute(F.substr(code, F.lit(5)), "iban", key)
     check = F.lpad((98 - mod97(F.concat(new, country, F.lit("00")))).cast("string"), 2, "0")
     whole = F.concat(country, check, new)
     put = lambda acc, c: F.when(c == " ", F.struct(F.concat(acc["s"], c).alias("s"), acc["n"].alias("n"))).otherwise(
         F.struct(F.concat(acc["s"], F.substr(whole, acc["n"], F.lit(1))).alias("s"), (acc["n"] + 1).alias("n"))
     )
-    chars = F.filter(F.split(m, ""), lambda c: c != "")
-    return F.when(ok, F.aggregate(chars, F.struct(F.lit("").alias("s"), F.lit(1).alias("n")), put, lambda acc: acc["s"])).otherwise(m)
+    chars = F.filter(F.split(own, ""), lambda c: c != "")
+    filled = F.aggregate(chars, F.struct(F.lit("").alias("s"), F.lit(1).alias("n")), put, lambda acc: acc["s"])
+    return F.when(own.isNotNull(), F.concat(filled, F.substr(m, F.length(own) + 1))).otherwise(m)
 
 
 def _ssn(m: Column, key: str) -> Column:
-    area = F.left(m, F.lit(3))
-    ok = ~area.isin("000", "666") & (area < "900") & (F.substr(m, F.lit(5), F.lit(2)) != "00") & (F.right(m, F.lit(4)) != "0000")
-    return F.when(ok, refill(m, permute(digits_of(m), "ssn", key))).otherwise(m)
+    """Valid are areas but 000, 666 and 900 upwards, groups but 00 and serials but 0000: the
+    numbers of Z898 x Z989901, which is 99 x 9999."""
+    area, group, serial = (F.substr(m, F.lit(i), F.lit(n)).cast("long") for i, n in ((1, 3), (5, 2), (8, 4)))
+    ok = (area > 0) & (area != 666) & (area < 900) & (group > 0) & (serial > 0)
+    pair = permute_pair(area - 1 - F.when(area > 666, 1).otherwise(0), (group - 1) * 9999 + serial - 1, 898, 99 * 9999, "ssn", key)
+    parts = (pair["l"] + 1 + F.when(pair["l"] >= 665, 1).otherwise(0), 3), (F.floor(pair["r"] / 9999) + 1, 2), (pair["r"] % 9999 + 1, 4)
+    new = F.concat_ws("-", *(F.lpad(x.cast("string"), n, "0") for x, n in parts))
+    return F.when(ok, new).otherwise(m)
 
 
 def _phone(m: Column, key: str) -> Column:
-    """The country code stays. Valid are 8 to 15 digits with it, or 10 without."""
-    code = F.regexp_extract(m, r"^\+[0-9]{1,3}(?=[ .(-])", 0)
-    rest = F.substr(m, F.length(code) + 1)
-    n = F.length(digits_of(m))
-    return F.when(n.between(8, 15), F.concat(code, refill(rest, permute(digits_of(rest), "phone", key)))).otherwise(m)
+    """The country code stays. Valid are 8 to 15 digits with it, or 10 without; of more, the
+    longest valid part that ends with a group is taken."""
+    own = F.when(F.length(digits_of(m)) <= 15, m).otherwise(F.regexp_extract(m, r"^[+(]?(?:[ .()-]{0,2}[0-9]){8,15}(?![0-9])", 0))
+    code = F.regexp_extract(own, r"^\+[0-9]{1,3}(?=[ .(-])", 0)
+    rest = F.substr(own, F.length(code) + 1)
+    new = F.concat(code, refill(rest, permute(digits_of(rest), "phone", key)), F.substr(m, F.length(own) + 1))
+    return F.when(F.length(digits_of(own)) >= 8, new).otherwise(m)
 
 
 def _behind(m: Column, head: str, kind: str, key: str, hexadecimal: bool = False) -> Column:
@@ -192,7 +223,7 @@ def _behind(m: Column, head: str, kind: str, key: str, hexadecimal: bool = False
     return F.concat(first, permute(F.substr(m, F.length(first) + 1), kind, key, hexadecimal))
 
 
-def pseudonym(m: Column, key: str = KEY) -> Column:
+def pseudonym(m: Column, key: str) -> Column:
     """Pseudonym of one match, or the match itself where no kind validates."""
     at = F.instr(m, "@")
     email = F.concat(permute(F.left(m, at - 1), "email", key), F.lit("@"), permute(F.substring_index(F.substr(m, at + 1), ".", 1), "host", key), F.substr(F.substr(m, at + 1), F.instr(F.substr(m, at + 1), ".")))
@@ -206,14 +237,28 @@ def pseudonym(m: Column, key: str = KEY) -> Column:
     return out.otherwise(m)
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """All columns of ``docs``, with ``text`` rewritten, and ``n_replaced`` behind them."""
+def key_of(spark: SparkSession) -> str:
+    """The session's secret key, ``spark.pii.key``; the public one, with a warning, where it is not set."""
+    key = spark.conf.get("spark.pii.key", None)
+    if not key:
+        warnings.warn("spark.pii.key is not set: these pseudonyms can be undone by anyone", stacklevel=2)
+    return key or DEMO_KEY
+
+
+def pseudonymise(docs: DataFrame, key: str, counted: str = "n_replaced") -> DataFrame:
+    """All columns of ``docs``, with ``text`` rewritten, and the number of replacements behind them.
+
+    A column of ``docs`` that is named like the count (``counted``) gives way to it.
+    """
+    if not key:
+        raise ValueError("a key is needed")
     text = F.col("text")
     may = F.coalesce(text.rlike(MAY_HAVE), F.lit(False))
-    found = docs.withColumn("__m", F.when(may, F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(1))))
-    found = found.withColumn("__p", F.when(F.size("__m") > 0, F.transform("__m", lambda m: pseudonym(m, key))))
+    found = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text")
+    found = found.withColumn("found", F.when(may, F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(1))))
+    found = found.withColumn("put", F.when(F.size("found") > 0, F.transform("found", lambda m: pseudonym(m, key))))
     between = F.split(text, ANY, -1)
-    whole = F.array_join(F.zip_with(between, F.col("__p"), lambda t, p: F.concat(t, F.coalesce(p, F.lit("")))), "")
-    changed = F.size(F.filter(F.zip_with("__m", "__p", lambda a, b: a != b), lambda x: x))
-    out = [F.when(F.size("__p") > 0, whole).otherwise(text).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
-    return found.select(*out, F.when(F.size("__p") > 0, changed).otherwise(0).cast("long").alias("n_replaced"))
+    whole = F.array_join(F.zip_with(between, F.col("put"), lambda t, p: F.concat(t, F.coalesce(p, F.lit("")))), "")
+    changed = F.size(F.filter(F.zip_with("found", "put", lambda a, b: a != b), lambda x: x))
+    out = [F.when(F.size("put") > 0, whole).otherwise(text).alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns if c != counted]
+    return found.select(*out, F.when(F.size("put") > 0, changed).otherwise(0).cast("long").alias(counted))

@@ -188,14 +188,15 @@ def judge(docs: DataFrame, labels: DataFrame, *carry: str, row: Column | None =
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, **learning) -> DataFrame:
-    """The rows of ``docs`` that :func:`judge` keeps, with all their columns.
+    """The rows of ``docs`` that :func:`judge` keeps, with all their columns, whatever their names:
+    they are carried as one struct.
 
     The row number keeps the filter where it is: moved below the statistics, it would
     have them worked out once more inside it, step by step for each of its uses.
     """
-    carry = [c for c in docs.columns if c != "doc_id"]
-    judged = judge(docs, labels, *carry, row=F.monotonically_increasing_id(), **learning)
-    return judged.where(F.col("kept") & (F.col("__row") >= 0)).select(*docs.columns)
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__doc")
+    judged = judge(docs.select("doc_id", "text", whole), labels, "__doc", row=F.monotonically_increasing_id(), **learning)
+    return judged.where(F.col("kept") & (F.col("__row") >= 0)).select("__doc.*")
 
 
 def base_oracle() -> str:

@@ -39,7 +39,7 @@ def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pii.pseudonymise(load(spark, sf_dir, "documents").select("doc_id", "text"), pii.key_of(spark))
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,10 +50,16 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
+def op4_base_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of the quality rules SQL can express: the statistics and the base rule."""
+    stats = quality_rules.statistics(load(spark, sf_dir, "documents"))
+    return stats.select("doc_id", *quality_rules.BASE, quality_rules.base_failed().alias("base_failed"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_url_filter, op2_substring_dedup, op3_ngram_jaccard, op4_quality_rules, op5_language_id, op6_token_counts, op7_token_store, op8_pii, op9_sentencepiece, op10_decontaminate)
+    for f in (op1_url_filter, op2_substring_dedup, op3_ngram_jaccard, op4_quality_rules, op5_language_id, op6_token_counts, op7_token_store, op8_pii, op9_sentencepiece, op10_decontaminate, op4_base_statistics)
 }
 
 #: Queries whose whole result SQL can express.
-ORACLES: dict[str, str] = {"op1_url_filter": url_filter.oracle(), "op3_ngram_jaccard": setjoin.oracle(3, 90, 100)}
+ORACLES: dict[str, str] = {"op1_url_filter": url_filter.oracle(), "op3_ngram_jaccard": setjoin.oracle(3, 90, 100), "op4_base_statistics": quality_rules.base_oracle()}

@@ -11,10 +11,14 @@ At each level a unit with ``n`` labelled pages of which ``k`` are bad gets the
 posterior ``Beta(s * m + k, s * (1 - m) + n - k)``, where ``m`` is the posterior
 mean of its parent and ``s`` the prior strength of the level. ``s`` is estimated
 by the method of moments from all units of the level, from sums of integers that
-do not depend on the order of rows. A host is blocked when the lower
-``z``-sigma bound of its posterior bad rate lies above ``max_bad_rate``: a host
-with few labelled pages inherits its domain's reputation and is never blocked on
-thin evidence.
+do not depend on the order of rows. The uncertainty of ``m`` is carried down: the
+variance of a unit is that of its Beta posterior plus ``(s / (s + n))**2`` times its
+parent's, so a host without own evidence is as uncertain as its domain, and a corpus with
+few labels blocks nothing. A host is blocked when the lower ``z``-sigma bound of its
+posterior bad rate lies above ``max_bad_rate``; by default that comes from the labelled
+outcomes: ``lift`` times the bad rate of the whole corpus, at most one half.
+
+Labels name pages by ``doc_id``: the label of document i is taken as that of page i.
 
 Scale: the url and id columns are the only ones read. Labels meet pages in one
 equi-join on the page id; counts are aggregated per host before any shuffle by
@@ -47,6 +51,7 @@ RULES: tuple[tuple[str, str, str], ...] = (
     ("block", "com", "/de/"),
 )
 #: Second-level labels that make a two-part suffix below a two-letter country code (fixed values).
+#: They stand for a table of public suffixes; others can be passed in.
 SECOND_LEVEL = ("ac", "co", "com", "edu", "gov", "net", "or", "org")
 
 
@@ -68,16 +73,16 @@ def _rest(url: Column) -> Column:
     return F.when(at > 0, F.substr(url, at + 3)).otherwise("")
 
 
-def suffix_of(host: Column) -> Column:
+def suffix_of(host: Column, second_level: Sequence[str] = SECOND_LEVEL) -> Column:
     """Public suffix by rule: the last label, or two below country codes such as ``co.uk``."""
     parts = F.split(host, r"\.")
-    two = (F.size(parts) >= 3) & (F.length(F.element_at(parts, -1)) == 2) & F.try_element_at(parts, F.lit(-2)).isin(*SECOND_LEVEL)
+    two = (F.size(parts) >= 3) & (F.length(F.element_at(parts, -1)) == 2) & F.try_element_at(parts, F.lit(-2)).isin(*second_level)
     return F.when(two, F.substring_index(host, ".", -2)).otherwise(F.substring_index(host, ".", -1))
 
 
-def domain_of(host: Column) -> Column:
+def domain_of(host: Column, second_level: Sequence[str] = SECOND_LEVEL) -> Column:
     """Registered domain: one label more than the suffix."""
-    n = F.size(F.split(suffix_of(host), r"\.")) + 1
+    n = F.size(F.split(suffix_of(host, second_level), r"\.")) + 1
     return F.when(n == 3, F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
 
 
@@ -106,27 +111,34 @@ def _strength(units: DataFrame) -> float:
     return min(max(1 / rho - 1, 2.0), 1000.0) if rho > 0 else 1000.0
 
 
-def host_reputation(outcomes: DataFrame) -> DataFrame:
-    """One row per host: posterior mean and standard deviation of its bad rate.
+def host_reputation(outcomes: DataFrame, second_level: Sequence[str] = SECOND_LEVEL) -> tuple[DataFrame, float]:
+    """(one row per host: posterior mean and standard deviation of its bad rate; that rate of the whole corpus).
 
     ``outcomes`` has host, labelled, bad: one row per host. Every host appears, labelled
     or not. The three prior strengths and the two totals come to the driver as numbers.
     """
-    base = cut(outcomes.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))}), "hosts")
+    base = cut(outcomes.withColumns({"domain": domain_of(F.col("host"), second_level), "suffix": suffix_of(F.col("host"), second_level)}), "hosts")
     domains = base.groupBy("domain", "suffix").agg(F.sum("labelled").alias("dn"), F.sum("bad").alias("dk"))
     suffixes = domains.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("dk").alias("sk"))
     tn, tk = (x or 0 for x in base.agg(F.sum("labelled"), F.sum("bad")).head())
-    level = lambda df, n, k: _strength(df.where(F.col(n) > 0).select(F.col(n).alias("n"), F.col(k).alias("k")))
-    shrink = lambda k, n, s, m: (s * m + F.col(k)) / (s + F.col(n))
-    s_host = level(base, "labelled", "bad")
-    m1 = suffixes.select("suffix", shrink("sk", "sn", level(suffixes, "sn", "sk"), F.lit((tk + 0.5) / (tn + 1.0))).alias("m1"))
-    m2 = domains.join(m1, "suffix").select("domain", shrink("dk", "dn", level(domains, "dn", "dk"), F.col("m1")).alias("m2"))
-    m3 = base.join(m2, "domain").withColumn("mean", shrink("bad", "labelled", s_host, F.col("m2")))
-    sd = F.sqrt(F.col("mean") * (1 - F.col("mean")) / (s_host + F.col("labelled") + 1))
-    return m3.select("host", "labelled", "bad", "mean", sd.alias("sd"))
+    m0 = (tk + 0.5) / (tn + 1.0)
+
+    def shrunk(df: DataFrame, n: str, k: str, parent: str, out: str) -> DataFrame:
+        """Posterior mean m_out and variance v_out, from the parent's m_parent and v_parent."""
+        s = _strength(df.where(F.col(n) > 0).select(F.col(n).alias("n"), F.col(k).alias("k")))
+        m = (s * F.col(f"m_{parent}") + F.col(k)) / (s + F.col(n))
+        own = F.col(f"m_{out}") * (1 - F.col(f"m_{out}")) / (s + F.col(n) + 1)
+        keep = s / (s + F.col(n))
+        return df.withColumn(f"m_{out}", m).withColumn(f"v_{out}", own + keep * keep * F.col(f"v_{parent}"))
+
+    top = suffixes.withColumns({"m_all": F.lit(m0), "v_all": F.lit(m0 * (1 - m0) / (tn + 2.0))})
+    by_suffix = shrunk(top, "sn", "sk", "all", "suffix").select("suffix", "m_suffix", "v_suffix")
+    by_domain = shrunk(domains.join(by_suffix, "suffix"), "dn", "dk", "suffix", "domain").select("domain", "m_domain", "v_domain")
+    by_host = shrunk(base.join(by_domain, "domain"), "labelled", "bad", "domain", "host")
+    return by_host.select("host", "labelled", "bad", F.col("m_host").alias("mean"), F.sqrt("v_host").alias("sd")), m0
 
 
-def filter_urls(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, max_bad_rate: float = 0.5, z: float = 1.645) -> DataFrame:
+def filter_urls(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, max_bad_rate: float | None = None, z: float = 1.645, lift: float = 1.5, second_level: Sequence[str] = SECOND_LEVEL) -> DataFrame:
     """Judge every row of ``pages(page_id, url)`` with the evidence in ``labels(doc_id, quality, toxic)``.
 
     A labelled page (``doc_id`` is its page id) is bad when its quality is 0 or it is
@@ -142,21 +154,23 @@ def filter_urls(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str,
     )
     seen = at.select("page_id", "host").join(known, "page_id", "left")
     outcomes = seen.groupBy("host").agg(F.count("is_bad").alias("labelled"), F.coalesce(F.sum("is_bad"), F.lit(0)).alias("bad"))
-    reputation = host_reputation(outcomes).select("host", "mean", (F.col("mean") - z * F.col("sd")).alias("bound"))
+    reputation, overall = host_reputation(outcomes, second_level)
+    limit = min(0.5, lift * overall) if max_bad_rate is None else max_bad_rate
+    reputation = reputation.select("host", "mean", (F.col("mean") - z * F.col("sd")).alias("bound"))
     rule, by_rule = rule_columns(F.col("host"), F.col("path"), rules)
-    by_host = F.when(F.col("bound") > max_bad_rate, "block").otherwise("allow")
+    by_host = F.when(F.col("bound") > limit, "block").otherwise("allow")
     return at.join(reputation, "host", "left").select(
         "page_id", "host", "path", rule.alias("rule"), F.coalesce(by_rule, by_host).alias("verdict"), F.round("mean", 6).alias("reputation"), F.round("bound", 6).alias("bound")
     )
 
 
-def oracle(max_bad_rate: float = 0.5, z: float = 1.645) -> str:
-    """The same verdicts in DuckDB SQL, without the two posterior columns."""
+def oracle(z: float = 1.645, lift: float = 1.5) -> str:
+    """The same in DuckDB SQL."""
     second = ", ".join(f"'{x}'" for x in SECOND_LEVEL)
     fits = lambda h, p: f"((host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}'))"
     by_length = sorted(RULES, key=lambda r: (-len(r[1] + r[2]), r[1] + r[2]))
     rule = "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{h + p}'" for _, h, p in by_length) + " END"
-    verdict = "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{w}'" for w, h, p in by_length) + f" WHEN mean - {z} * sd > {max_bad_rate} THEN 'block' ELSE 'allow' END"
+    verdict = "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{w}'" for w, h, p in by_length) + f" WHEN mean - {z} * sd > (SELECT least(0.5, {lift} * m0) FROM total) THEN 'block' ELSE 'allow' END"
 
     def strength(table: str, n: str, k: str) -> str:
         return f"""SELECT CASE WHEN J > 1 AND N > J AND K > 0 AND K < N AND coalesce(rho > 0, false) THEN least(greatest(1 / rho - 1, 2.0), 1000.0) ELSE 1000.0 END AS s FROM (
@@ -177,10 +191,13 @@ def oracle(max_bad_rate: float = 0.5, z: float = 1.645) -> str:
     base AS (SELECT host, labelled, bad, array_to_string(l[-m:], '.') AS suffix, array_to_string(l[-(m + 1):], '.') AS domain FROM base0),
     domains AS (SELECT domain, suffix, sum(labelled) AS dn, sum(bad) AS dk FROM base GROUP BY ALL),
     suffixes AS (SELECT suffix, sum(dn) AS sn, sum(dk) AS sk FROM domains GROUP BY ALL),
-    total AS (SELECT (coalesce(sum(sk), 0) + 0.5) / (coalesce(sum(sn), 0) + 1.0) AS m0 FROM suffixes),
+    total AS (SELECT *, m0 * (1 - m0) / (tn + 2.0) AS v0 FROM (SELECT coalesce(sum(sn), 0) AS tn, (coalesce(sum(sk), 0) + 0.5) / (coalesce(sum(sn), 0) + 1.0) AS m0 FROM suffixes)),
     ss AS ({strength('suffixes', 'sn', 'sk')}), sd AS ({strength('domains', 'dn', 'dk')}), sh AS ({strength('base', 'labelled', 'bad')}),
-    m1 AS (SELECT suffix, ((SELECT s FROM ss) * (SELECT m0 FROM total) + sk) / ((SELECT s FROM ss) + sn) AS m1 FROM suffixes),
-    m2 AS (SELECT domain, ((SELECT s FROM sd) * m1 + dk) / ((SELECT s FROM sd) + dn) AS m2 FROM domains JOIN m1 USING (suffix)),
-    m3 AS (SELECT host, labelled, ((SELECT s FROM sh) * m2 + bad) / ((SELECT s FROM sh) + labelled) AS mean FROM base JOIN m2 USING (domain)),
-    rep AS (SELECT host, mean, sqrt(mean * (1 - mean) / ((SELECT s FROM sh) + labelled + 1)) AS sd FROM m3)
+    m1 AS (SELECT suffix, m1, m1 * (1 - m1) / (s + sn + 1) + (s / (s + sn)) * (s / (s + sn)) * v0 AS v1
+        FROM (SELECT suffix, sn, s, v0, (s * m0 + sk) / (s + sn) AS m1 FROM suffixes, ss, total)),
+    m2 AS (SELECT domain, m2, m2 * (1 - m2) / (s + dn + 1) + (s / (s + dn)) * (s / (s + dn)) * v1 AS v2
+        FROM (SELECT domain, dn, s, v1, (s * m1 + dk) / (s + dn) AS m2 FROM domains JOIN m1 USING (suffix), sd)),
+    m3 AS (SELECT host, mean, mean * (1 - mean) / (s + labelled + 1) + (s / (s + labelled)) * (s / (s + labelled)) * v2 AS v3
+        FROM (SELECT host, labelled, s, v2, (s * m2 + bad) / (s + labelled) AS mean FROM base JOIN m2 USING (domain), sh)),
+    rep AS (SELECT host, mean, sqrt(v3) AS sd FROM m3)
     SELECT page_id, host, path, {rule} AS rule, {verdict} AS verdict, round(mean, 6) AS reputation, round(mean - {z} * sd, 6) AS bound FROM urls JOIN rep USING (host)"""

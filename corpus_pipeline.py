@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return
 the columns of ``documents``. Between stages the rows are written as Parquet and read
 again.
+
+Defined results: null and empty texts fail the base rule of the first stage. Given to a
+later stage, they have no duplicates, are clean, are left as they are, and get no ids.
+An empty table gives an empty result of the same columns. Further columns, whatever their
+names, go through all stages but the last.
 """
 
 from __future__ import annotations
@@ -37,9 +42,12 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced in their texts; n_chars follows where a text has changed."""
-    out = pii.pseudonymise(docs)
+    count = "n_replaced"
+    while count in docs.columns:
+        count += "_"
+    out = pii.pseudonymise(docs, pii.key_of(spark), counted=count)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_replaced") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(count) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 

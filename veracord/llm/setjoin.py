@@ -50,7 +50,7 @@ from veracord.llm.graph import components
 from veracord.llm.vector import PACKED, U, Words, dealt, forest, grouped, mix, packed, shingle_sets, shuffle_packed, unpacked
 
 #: Documents and shingles of a cell, about, which bound a task's memory; prefix shingles that a task holds before it gives them on.
-CELL, CELL_TOKENS, HELD = 512, 2_000_000, 1_500_000
+CELL, CELL_TOKENS, HELD = 512, 2_000_000, 800_000
 #: Elements of short lists up to which they are merged by a heap, beyond by one stable merge sort.
 HEAP = 2_000
 #: Slots of the counts that order the shingles, and pieces in which they are summed.

@@ -40,6 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -315,15 +316,21 @@ def ask(texts: DataFrame, wanted: np.ndarray, seeds: np.ndarray, min_words: int)
     return shuffle_packed(texts.mapInArrow(send, PACKED), lambda: AnswerFold(min_words), ANSWER, parts)
 
 
-def spans_of(places: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """(first word, words) of what goes, from the (place, words) of what repeats."""
-    out: list[tuple[int, int]] = []
-    for at, n in sorted(places):
-        if out and at <= sum(out[-1]):
-            out[-1] = (out[-1][0], max(at + n, sum(out[-1])) - out[-1][0])
-        else:
-            out.append((at, n))
-    return out
+def merged_spans(row: np.ndarray, at: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first word, words) of what goes, from what repeats, sorted by row and place: what touches is one span."""
+    if not len(row):
+        return row, at, words
+    far = np.int64(1) << 40  # beyond the places of any text
+    end = np.maximum.accumulate(row * far + at + words)
+    begins = np.concatenate([[True], row[1:] * far + at[1:] > end[:-1]])
+    last = np.concatenate([np.flatnonzero(begins)[1:] - 1, [len(row) - 1]])
+    return row[begins], at[begins], end[last] - row[begins] * far - at[begins]
+
+
+def listed(row: np.ndarray, n: int, **fields: np.ndarray) -> pa.ListArray:
+    """Lists of structs for ``n`` rows, from their fields sorted by row."""
+    offsets = np.searchsorted(row, np.arange(n + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(x.astype(np.int64)) for x in fields.values()], names=list(fields)))
 
 
 SPANS = "array<struct<at: bigint, words: bigint>>"
@@ -386,14 +393,23 @@ def _spans(keyed: DataFrame, min_words: int, num: int, den: int, least: int) ->
     rows = of(ITEM, "doc", "n_words").join(per_doc, "doc", "left").select("doc", "n_words", "places")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        span = pa.list_(pa.struct([("at", pa.int64()), ("words", pa.int64())]))
-        copy = pa.list_(pa.struct([(n, pa.int64()) for n in ("at", "words", "of_doc", "of_at")]))
         for batch in batches:
-            spans, copies = [], []
-            for places in batch.column("places").to_pylist():
-                spans.append(spans_of([(p["at"], p["words"]) for p in places or () if p["of_doc"] is None or p["words"] >= least]))
-                copies.append(sorted((p for p in places or () if p["of_doc"] is not None), key=lambda p: (p["at"], p["words"])))
-            cols = [pa.array([sum(n for _, n in s) for s in spans], pa.int64()), pa.array([[{"at": a, "words": n} for a, n in s] for s in spans], span), pa.array(copies, copy)]
+            n = batch.num_rows
+            places = batch.column("places")
+            size = pc.fill_null(pc.list_value_length(places), 0).to_numpy()
+            row = np.repeat(np.arange(n), size)
+            flat = places.flatten()
+            at, words, of_at = (pc.fill_null(flat.field(c), -1).to_numpy() for c in ("at", "words", "of_at"))
+            of_doc, copied = pc.fill_null(flat.field("of_doc"), 0).to_numpy(), pc.is_valid(flat.field("of_doc")).to_numpy(zero_copy_only=False)
+            gone = np.flatnonzero(~copied | (words >= least))
+            gone = gone[np.lexsort((at[gone], row[gone]))]
+            of, begin, count = merged_spans(row[gone], at[gone], words[gone])
+            kept = np.flatnonzero(copied)
+            kept = kept[np.lexsort((of_at[kept], of_doc[kept], words[kept], at[kept], row[kept]))]
+            cols = [
+                pa.array(np.bincount(of, count, n).astype(np.int64)), listed(of, n, at=begin, words=count),
+                listed(row[kept], n, at=at[kept], words=words[kept], of_doc=of_doc[kept], of_at=of_at[kept]),
+            ]
             yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("n_words"), *cols], names=["doc", "n_words", "n_removed", "spans", "copies"])
 
     return rows.mapInArrow(merge, f"doc long, n_words long, n_removed long, spans {SPANS}, copies {COPIES}")

@@ -280,3 +280,15 @@ def test_each_stage_takes_an_empty_table(spark, corpus):
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, none, folder)
         assert out.count() == 0 and (name == "sentencepiece" or out.columns == none.columns)
+
+
+def test_cut_points_of_a_group_are_those_of_each_document():
+    rng = np.random.default_rng(6)
+    for _ in range(60):
+        sizes = rng.integers(1, 400, rng.integers(1, 30))
+        bounds = np.concatenate([[0], np.cumsum(sizes)])
+        ids = rng.integers(0, 50, bounds[-1]).astype("<u2")
+        together = list(token_store.cut_points(ids, bounds, 16, 4, 60))
+        for a, b, ends in zip(bounds[:-1], bounds[1:], together, strict=True):
+            assert ends == next(token_store.cut_points(ids[a:b], np.array([0, b - a]), 16, 4, 60))
+            assert ends[-1] == b - a and all(0 < y - x <= 60 for x, y in zip([0, *ends], ends, strict=False))

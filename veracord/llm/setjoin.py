@@ -54,7 +54,7 @@ CELL, CELL_TOKENS, HELD = 512, 2_000_000, 800_000
 #: Elements of short lists up to which they are merged by a heap, beyond by one stable merge sort.
 HEAP = 2_000
 #: Slots of the counts that order the shingles, and pieces in which they are summed.
-BITS, PIECES = 23, 64
+BITS, PIECES = 24, 64
 
 
 def partitions(df: DataFrame) -> int:
@@ -304,6 +304,20 @@ def _search(cells: DataFrame, texts: DataFrame, width: int, num: int, den: int)
     return rows.repartition(partitions(cells), "cell").sortWithinPartitions("cell", "nb", "id").mapInArrow(cell_search(width, num, den), "a long, b long")
 
 
+#: Values of the hash by which texts are passed over before a join; bounds what is broadcast.
+SLOTS = 1 << 20
+
+
+def texts_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """``texts`` of ``ids(id)``, written. Texts whose id has another hash than all of ``ids`` are left
+    where they are: at most SLOTS numbers are broadcast for that; when they fill, the join
+    that follows has all texts to move, no more."""
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS)).cast("int")
+    slots = ids.select(slot("id").alias("slot")).distinct()
+    near = texts.join(F.broadcast(slots), slot("id") == F.col("slot"), "left_semi")
+    return cut(near.join(ids, "id", "left_semi"), "texts")
+
+
 UNSHARED = 3
 
 
@@ -367,7 +381,7 @@ def thinned(texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
     alone = F.sum(F.when(F.col("kind") == UNSHARED, F.col("b")).otherwise(0))
     most = F.max(F.when(F.col("kind") == ITEM, F.col("b")))
     stays = rows.groupBy("a").agg(alone.alias("alone"), most.alias("most")).where("alone <= most").select(F.col("a").alias("id"))
-    out = cut(texts.join(stays, "id", "left_semi"), "thinned")
+    out = texts_of(texts, cut(stays, "stays"))
     release(rows)
     return out
 
@@ -383,10 +397,12 @@ def verified_components(edges: DataFrame, items: DataFrame, texts: DataFrame, wi
     classes = members.groupBy("nb", "n", "h").agg(F.min("id").alias("rep"), F.count("*").alias("k"))
     counts = classes.groupBy("nb").agg(F.count("*").alias("m")).where("m > 1")
     reps = cut(classes.join(counts, "nb").select("nb", F.col("rep").alias("id"), "n", "m"), "reps")
-    texts = cut(texts.join(reps.select("id"), "id", "left_semi"), "texts")
+    texts = texts_of(texts, reps.select("id"))
     done = [reps, texts]
     if not (large := reps.where(F.col("m") > CELL)).isEmpty():
-        left = thinned(texts.join(large.select("id"), "id", "left_semi"), width, num, den)
+        own = texts_of(texts, large.select("id"))
+        left = thinned(own, width, num, den)
+        release(own)
         stars = set_stars(left, width, num, den)
         again = cut(components(stars.where(F.col("kind") == EDGE).select("a", "b")), "again")
         placed = again.select(F.col("node").alias("id"), F.col("component").alias("nb")).join(large.select("id", "n"), "id")

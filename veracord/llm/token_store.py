@@ -72,7 +72,7 @@ def cut_points(ids: np.ndarray, bounds: np.ndarray, mean: int, least: int, most:
     size = np.diff(bounds)
     place = np.arange(len(ids)) - np.repeat(bounds[:-1], size)
     found = np.flatnonzero((rolling(ids, place) & np.uint64(mean - 1)) == 0) + 1
-    upto = np.searchsorted(found, bounds).tolist()
+    upto = np.searchsorted(found, bounds, "right").tolist()  # an end at a bound is the document's before it
     places = place[found - 1] + 1
     for i, n in enumerate(size.tolist()):
         ends, last = [], 0

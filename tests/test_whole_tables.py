@@ -13,6 +13,18 @@ def test_tokens_of_all_orders_are_judged(spark):
         assert bool(got[k][0]) == got[k][1], k
 
 
+def test_bounds_of_users_agree_with_the_class(spark):
+    from veracord.queries import _user_bounds
+
+    rows = [(i, i % 7, float(i * 37 % 101)) for i in range(400)]
+    got = {r.user_id: r for r in _user_bounds(spark.createDataFrame(rows, "event_id long, user_id long, value double"), 2).collect()}
+    for u in range(7):
+        x = [v > 50 for i, k, v in rows if k == u]
+        low, high = confseq.estimate_mean(x, 0.95, 2 * len(x))
+        assert (got[u].n, got[u].lower, got[u].upper) == (len(x), round(low, 9), round(high, 9))
+        assert low <= sum(x) / len(x) <= high
+
+
 def test_interval_of_a_whole_population_is_its_mean():
     for n in (30, 201, 450):
         x = [i % 3 == 0 for i in range(n)]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def cost(df: DataFrame, prices: DataFrame, model: str, tokens_in: str, tokens_out: str) -> DataFrame:
     """``df`` with ``cost``: tokens times the list price per million. ``prices``: one row per model."""
-    priced = df.join(F.broadcast(prices), model, "left")  # a price list, a row per model
+    priced = df.join(prices, model, "left")
     return priced.withColumn("cost", (F.col(tokens_in) * F.col("price_in") + F.col(tokens_out) * F.col("price_out")) / 1e6).drop("price_in", "price_out")
 
 

@@ -5,8 +5,10 @@ the number of groups is small enough to keep an accumulator for each on the driv
 (``MAX_GROUPS``; beyond, the exact path runs). The rows below the first prompt are put
 in order (by relevance, by seeded hash, or by key), numbered within their group, and
 written once without unneeded columns. A wave takes the next rows of the groups that
-are still open, asks the prompts in one Spark job, and brings (group, place, answer)
-back. Accumulators take the answers in order and stop at the first row that decides.
+are still open and asks the prompts in one Spark job. Without explanations and intervals it
+brings back counts, a row per group; with them (group, place, answer, explanation), at
+most ``MAX_WAVE`` rows or ``batch`` a group, and accumulators take the answers in order and
+stop at the first row that decides.
 What is left above runs on the small table of group results.
 """
 
@@ -14,7 +16,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,15 +25,15 @@ from veracord.functions.intervals import CountInterval, Interval, ProportionInte
 from veracord.models.embedding import EMBEDDING
 from veracord.operators.retrieval import rrf_score
 from veracord.plans.expr import has_prompt, unalias
-from veracord.plans.lower import Context, Lowered, evaluate, lower, settle, with_prompts
+from veracord.plans.lower import Context, Lowered, checked, evaluate, lower, settle, with_prompts
 from veracord.plans.nodes import Aggregate, CountScan, Filter, Log, Node, RelevanceSort, Scan, Shuffle, Sort
 from veracord.plans.rules import Options, is_semantic
 from veracord.plans.schema import AGG_KEY, AGG_ROW, refs, spark_type
-from veracord.sources.tables import materialise
+from veracord.sources.tables import numbered
 
 MAX_GROUPS = 10_000
-#: Rows of the first wave per group, and how much each wave grows.
-GROWTH = 2
+#: How much each wave grows, and the rows of all groups at which it no longer does.
+GROWTH, MAX_WAVE = 2, 200_000
 
 
 @dataclass
@@ -146,21 +148,28 @@ def first_prompt(agg: Aggregate) -> tuple[list[Node], Node]:
     return nodes[: at + 1], nodes[at + 1]
 
 
-def ordered(base: Lowered, below: Node, above: list[Node], groups: list[str], options: Options) -> DataFrame:
-    """The base rows with ``__group_at`` (place of the row in its group)."""
+def ordered(base: Lowered, below: Node, above: list[Node], options: Options) -> tuple[DataFrame, list[Column]]:
+    """The base rows and the order in which they are asked."""
     nodes = [*above, *below.walk()]
     relevance = next((n for n in nodes if isinstance(n, RelevanceSort)), None)
     shuffle = next((n for n in nodes if isinstance(n, Shuffle)), None)
     keys = refs(base.schema.key)
     if relevance is not None:
-        by: list[Column] = [F.desc("__relevance"), *keys]
+        by: list = [Down(F.col("__relevance")), *keys]
         column = EMBEDDING.format(relevance.column)
         df = rrf_score(base.df, relevance.column, column if column in base.df.columns else None, options.embedder.embed(relevance.query), relevance.include, relevance.exclude, "__relevance")
     elif shuffle is not None and shuffle.rows:
         df, by = base.df, [F.md5(F.concat(F.lit(f"{shuffle.seed}|"), *(F.coalesce(k.cast("string"), F.lit("")) for k in keys))), *keys]
     else:
         df, by = base.df, keys
-    return df.withColumn("__group_at", F.row_number().over(Window.partitionBy(*refs(groups)).orderBy(*by)) if groups else F.row_number().over(Window.orderBy(*by)))
+    return df, by
+
+
+@dataclass(frozen=True)
+class Down:
+    """A column in descending order."""
+
+    column: Column
 
 
 @dataclass
@@ -179,12 +188,15 @@ def run(agg: Aggregate, ctx: Context, options: Options) -> WaveResult | None:
     group_names = [str(g) for g in agg.group_by]
     if not set(group_names) <= known:
         return None  # groups come from prompts
-    df = ordered(base, below, above, group_names, options)
-    keep = [c for c in base.df.columns if not c.endswith(("_embedding", "_sentence_embeddings"))]
-    df = materialise(df.select(*refs(keep), "__group_at"), "waves")
-    counts = {tuple(r[:-1]): r[-1] for r in df.groupBy(*refs(group_names)).count().limit(MAX_GROUPS + 1).collect()} if group_names else {(): df.count()}
+    counts = {tuple(r[:-1]): r[-1] for r in base.df.groupBy(*refs(group_names)).count().limit(MAX_GROUPS + 1).collect()} if group_names else {(): base.df.count()}
     if len(counts) > MAX_GROUPS:
         return None
+    df, by = ordered(base, below, above, options)
+    keep = [c for c in base.df.columns if not c.endswith(("_embedding", "_sentence_embeddings"))]
+    order = [f"__by{i}" for i in range(len(by))]
+    down = {i for i, c in enumerate(by) if isinstance(c, Down)}
+    df = df.select(*refs(keep), *((c.column if isinstance(c, Down) else c).alias(n) for n, c in zip(order, by, strict=True)))
+    df = numbered(df, [F.desc(n) if i in down else F.col(n) for i, n in enumerate(order)], group_names, "__group_at").drop(*order)
     filtered = any(is_semantic(n) and (isinstance(n, Filter) or getattr(n, "filters", ())) for n in above)
     supports = any(isinstance(n, Shuffle) for n in [*above, *below.walk()]) and not any(isinstance(n, RelevanceSort) for n in [*above, *below.walk()])
     level = None
@@ -206,30 +218,50 @@ def run(agg: Aggregate, ctx: Context, options: Options) -> WaveResult | None:
             done = spark.createDataFrame([g for g in counts if g not in todo], T.StructType([T.StructField(n, spark_type(agg.schema.field(n).dtype)) for n in group_names]))
             same = [part[n].eqNullSafe(done[n]) for n in group_names]
             part = part.join(F.broadcast(done), same, "left_anti")  # at most MAX_GROUPS rows
-        for g, values, whys in _ask_wave(part, below, above, agg, base, ctx):
-            if g not in open_groups:
-                continue  # answered, but no longer needed
-            for acc, v, w in zip(state[g], values, whys, strict=True):
-                acc.update(v, w)
-            if all(a.decided() for a in state[g]):
-                open_groups.discard(g)
+        if level is None and not ctx.explain:
+            for g, seen, trues in _count_wave(part, above, agg, base, ctx):
+                for acc, true in zip(state[g], trues, strict=True):
+                    acc.seen, acc.true = acc.seen + seen, acc.true + true
+                if all(a.decided() for a in state[g]):
+                    open_groups.discard(g)
+        else:
+            for g, values, whys in _ask_wave(part, above, agg, base, ctx):
+                if g not in open_groups:
+                    continue  # answered, but no longer needed
+                for acc, v, w in zip(state[g], values, whys, strict=True):
+                    acc.update(v, w)
+                if all(a.decided() for a in state[g]):
+                    open_groups.discard(g)
         rows += sum(min(size, counts[g] - at) for g in todo)
-        at, size, waves = at + size, size * GROWTH, waves + 1
+        at, size, waves = at + size, min(size * GROWTH, max(size, MAX_WAVE // max(len(open_groups), 1))), waves + 1
     return WaveResult(_table(agg, state, ctx, spark), waves, rows)
 
 
-def _ask_wave(part: DataFrame, below: Node, above: list[Node], agg: Aggregate, base: Lowered, ctx: Context):
-    """(group, argument values, explanations) of the rows of a wave, in their order."""
-
-
+def _asked(part: DataFrame, above: list[Node], agg: Aggregate, base: Lowered, ctx: Context):
+    """(the rows of a wave with their answers, the values of the aggregates' arguments)."""
     scan = Scan(part, base.schema)
     node: Node = scan
     for n in reversed([n for n in above if not isinstance(n, (Log, Sort, Shuffle, RelevanceSort, CountScan))]):
         node = n.over(node)
     low = lower(node, ctx, {id(scan): Lowered(part, base.schema)})
     asked, args = with_prompts([unalias(a).arg for a in agg.aggs], low, ctx)
-    values = [evaluate(e, asked, ctx) for e in args]
-    out = asked.df.select(
+    return asked.df, [evaluate(e, asked, ctx) for e in args]
+
+
+def _count_wave(part: DataFrame, above: list[Node], agg: Aggregate, base: Lowered, ctx: Context):
+    """(group, rows, true arguments) of a wave, a row for each group."""
+    df, values = _asked(part, above, agg, base, ctx)
+    groups = [str(g) for g in agg.group_by]
+    flags = df.select(*refs(groups), *(checked(v.column, unalias(a).arg, ctx).alias(f"__v{i}") for i, (a, v) in enumerate(zip(agg.aggs, values, strict=True))))
+    n = len(groups)
+    for r in flags.groupBy(*refs(groups)).agg(F.count("*"), *(F.count_if(f"__v{i}") for i in range(len(values)))).collect():
+        yield tuple(r[:n]), r[n], list(r[n + 1 :])
+
+
+def _ask_wave(part: DataFrame, above: list[Node], agg: Aggregate, base: Lowered, ctx: Context):
+    """(group, argument values, explanations) of the rows of a wave, in their order."""
+    df, values = _asked(part, above, agg, base, ctx)
+    out = df.select(
         *refs(str(g) for g in agg.group_by), "__group_at", *(v.column.alias(f"__v{i}") for i, v in enumerate(values)), *((v.prov if v.prov is not None else F.lit(None).cast("string")).alias(f"__w{i}") for i, v in enumerate(values))
     )
     n, k = len(agg.group_by), len(values)

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable
 from enum import Enum
 
@@ -17,7 +14,7 @@ from veracord.models.language import Ensemble, LookupModel, NoisyModel, RuleMode
 from veracord.operators import claims, dialogs, quality, reporting, retrieval
 from veracord.plans.expr import Alias, Col, MaxDot, bool_and, bool_or, col, count_if, lit, native, prompt, proportion
 from veracord.session import Session
-from veracord.sources.tables import read_jsonl, write_jsonl
+from veracord.sources.tables import read_jsonl, shared_path, write_jsonl
 from veracord.streaming import monitor
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,9 +44,7 @@ def frame(spark: SparkSession, sf_dir: str, name: str, *key: str):
     return quiet(spark).read_frame(table(spark, sf_dir, name), key)
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{os.path.join(tempfile.gettempdir(), 'checkpoints')}"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+scratch = shared_path
 
 
 # --- flagship ---------------------------------------------------------------------------
@@ -441,22 +436,32 @@ def hoeffding_predmix_cs(spark, sf_dir):
     return e.select("event_id", F.round(centre, 6).alias("centre"), F.round(half, 6).alias("half"))
 
 
-@registered("""SELECT event_type, round(avg((value > 50)::INT), 9) AS lower, round(avg((value > 50)::INT), 9) AS upper FROM (
-    SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS n FROM events) WHERE n <= 200 GROUP BY 1""")
+@registered("""SELECT user_id, round(avg((value > 50)::INT), 9) AS lower, round(avg((value > 50)::INT), 9) AS upper FROM events GROUP BY 1""")
 def betting_cs_exhausted(spark, sf_dir):
-    """With all of a population of 200 seen, the interval is its mean."""
-    e = table(spark, sf_dir, "events").select("event_type", "event_id", (F.col("value") > 50).alias("x"))
+    """With all of a user's events seen, the interval is their mean."""
+    return _user_bounds(table(spark, sf_dir, "events"), 1).drop("n")
+
+
+@registered()
+def betting_cs_bounds(spark, sf_dir):
+    """Interval of the share of high values of each user after all events so far, of a population twice as large.
+
+    A sequence is a user's events in order; the tests hold it against the plain class.
+    """
+    return _user_bounds(table(spark, sf_dir, "events"), 2)
+
+
+def _user_bounds(events: DataFrame, times: int) -> DataFrame:
+    e = events.select("user_id", "event_id", (F.col("value") > 50).alias("x"))
 
     def bounds(pdf):
         import pandas as pd
 
-        low, high = confseq.estimate_mean(pdf.nsmallest(200, "event_id").sort_values("event_id").x.tolist(), 0.95, 200)
-        return pd.DataFrame({"event_type": [pdf.event_type.iloc[0]], "lower": [round(low, 9)], "upper": [round(high, 9)]})
-
-    from pyspark.sql import Window
+        x = pdf.sort_values("event_id").x.tolist()
+        low, high = confseq.estimate_mean(x, 0.95, times * len(x))
+        return pd.DataFrame({"user_id": [pdf.user_id.iloc[0]], "n": [len(x)], "lower": [round(low, 9)], "upper": [round(high, 9)]})
 
-    first = e.withColumn("n", F.row_number().over(Window.partitionBy("event_type").orderBy("event_id"))).where("n <= 200").drop("n")
-    return first.groupBy("event_type").applyInPandas(bounds, "event_type string, lower double, upper double")
+    return e.groupBy("user_id").applyInPandas(bounds, "user_id long, n long, lower double, upper double")
 
 
 @registered("""SELECT lower, upper, lower > 0.3 AS gt, upper < 0.5 AS lt, lower >= 0.4 - 0.4 * 0.05 AND upper <= 0.4 + 0.4 * 0.05 AS eq, upper < 0.4 - 0.4 * 0.05 OR lower > 0.4 + 0.4 * 0.05 AS ne
@@ -485,9 +490,9 @@ def evaluate_map(spark, sf_dir):
     return quality.map_quality(d, d.withColumn("lang", F.when(F.col("doc_id") % 4 == 0, "en").otherwise(F.col("lang"))), ["doc_id"], ["lang"])
 
 
-@registered("""SELECT o_orderkey, o_totalprice > 100000 AS holds, coalesce((o_totalprice > 100000) = true, false) AS valid FROM orders WHERE o_orderkey <= 40""")
+@registered("""SELECT o_orderkey, o_totalprice > 100000 AS holds, coalesce((o_totalprice > 100000) = true, false) AS valid FROM orders""")
 def evaluate_tokens(spark, sf_dir):
-    return judged_orders(spark, table(spark, sf_dir, "orders")).where("o_orderkey <= 40")
+    return judged_orders(spark, table(spark, sf_dir, "orders"))
 
 
 def judged_orders(spark, orders):
@@ -533,7 +538,7 @@ def thread_roots(spark, sf_dir):
     """Each event answers the one whose id lacks its lowest bit of four; every sixteenth starts a thread."""
     bit = F.col("event_id").bitwiseAND(-F.col("event_id"))
     m = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 16 == 0, F.lit(-1)).otherwise(F.col("event_id") - bit).alias("parent"))
-    return dialogs.thread_roots(m, "event_id", "parent", 8)
+    return dialogs.thread_roots(m, "event_id", "parent")
 
 
 RUNS = "(SELECT event_id, user_id % 20 AS claim, event_type AS variant, (event_id % 3)::INT AS trial, value + 1 AS latency, (event_id * 7) % 1000 AS tin, (event_id * 3) % 500 AS tout, value > 30 AS said, user_id % 2 = 0 AS truth FROM events)"
@@ -547,10 +552,11 @@ def _runs(spark, sf_dir):
     )
 
 
-@registered(f"SELECT claim, round(sum((tin * 5.0 + tout * 25.0) / 1e6), 6) AS cost FROM {RUNS} WHERE variant IN ('click', 'view') GROUP BY 1")
+@registered(f"SELECT claim, round(sum((tin * 5.0 + tout * 25.0) / 1e6), 6) AS cost FROM {RUNS} GROUP BY 1")
 def cost_model(spark, sf_dir):
-    prices = spark.createDataFrame([("click", 5.0, 25.0), ("view", 5.0, 25.0)], "variant string, price_in double, price_out double")
-    priced = reporting.cost(_runs(spark, sf_dir), prices, "variant", "tin", "tout").where("cost IS NOT NULL")
+    runs = _runs(spark, sf_dir)
+    prices = runs.select("variant").distinct().select("variant", F.lit(5.0).alias("price_in"), F.lit(25.0).alias("price_out"))
+    priced = reporting.cost(runs, prices, "variant", "tin", "tout")
     return priced.groupBy("claim").agg(F.round(F.sum("cost"), 6).alias("cost"))
 
 
@@ -559,9 +565,13 @@ def claim_summary(spark, sf_dir):
     return reporting.trial_summary(_runs(spark, sf_dir), ["claim", "variant"], "latency").withColumn("mean", F.round("mean", 6))
 
 
-@registered(f"""SELECT claim, round(avg(latency) FILTER (variant = 'view') - avg(latency) FILTER (variant = 'click'), 6) AS delta_view FROM {RUNS} GROUP BY 1""")
+VARIANTS = ("click", "error", "purchase", "signup", "view")
+
+
+@registered("SELECT claim, " + ", ".join(f"round(avg(latency) FILTER (variant = '{v}') - avg(latency) FILTER (variant = 'click'), 6) AS delta_{v}" for v in VARIANTS[1:]) + f" FROM {RUNS} GROUP BY 1")
 def ablation_pivot(spark, sf_dir):
-    return reporting.ablation(_runs(spark, sf_dir), "claim", "variant", "click", "latency", ["view"]).withColumn("delta_view", F.round("delta_view", 6))
+    out = reporting.ablation(_runs(spark, sf_dir), "claim", "variant", "click", "latency", list(VARIANTS[1:]))
+    return out.select("claim", *(F.round(f"delta_{v}", 6).alias(f"delta_{v}") for v in VARIANTS[1:]))
 
 
 @registered(f"SELECT variant, round(exp(avg(ln((tin + 1.0) / (tout + 1.0)))), 6) AS multiplier FROM {RUNS} GROUP BY 1")
@@ -594,10 +604,10 @@ def micro_average(spark, sf_dir):
     return reporting.micro_average(r, "op", ["trial"]).select("trial", F.round("precision", 9).alias("precision"), F.round("recall", 9).alias("recall"))
 
 
-@registered(f"""SELECT claim, round(avg((said = truth)::INT) FILTER (variant = 'click'), 9) AS click_share, sum((said = truth)::INT) FILTER (variant = 'click')::DOUBLE AS click_correct FROM {RUNS} GROUP BY 1""")
+@registered("SELECT claim, " + ", ".join(f"round(avg((said = truth)::INT) FILTER (variant = '{v}'), 9) AS {v}_share, sum((said = truth)::INT) FILTER (variant = '{v}')::DOUBLE AS {v}_correct" for v in VARIANTS) + f" FROM {RUNS} GROUP BY 1")
 def correctness_matrix(spark, sf_dir):
-    out = reporting.correctness_matrix(_runs(spark, sf_dir), "claim", "variant", F.col("said") == F.col("truth"), ["click", "view"])
-    return out.select("claim", F.round("click_share", 9).alias("click_share"), "click_correct")
+    out = reporting.correctness_matrix(_runs(spark, sf_dir), "claim", "variant", F.col("said") == F.col("truth"), list(VARIANTS))
+    return out.select("claim", *(c for v in VARIANTS for c in (F.round(f"{v}_share", 9).alias(f"{v}_share"), f"{v}_correct")))
 
 
 # --- sources, claims, streams ---------------------------------------------------------------------------------------

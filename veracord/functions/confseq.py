@@ -50,8 +50,9 @@ class BettingSequence:
         step = self.means[1]
         low, high = (max(kept[0] - step, 0.0), min(kept[-1] + step, 1.0)) if len(kept) else (0.0, 1.0)
         if self.population:
-            low = max(low, self.sum / self.population)
-            high = min(high, 1 - (self.n - self.sum) / self.population)
+            # what is certain; the grid may have ruled out all its means near the true one, which lies between them
+            least, most = self.sum / self.population, 1 - (self.n - self.sum) / self.population
+            low, high = min(max(low, least), most), max(min(high, most), least)
         return (float(low), float(high)) if low <= high else (float(high), float(low))
 
 

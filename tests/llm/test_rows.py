@@ -1,6 +1,7 @@
 """Row-wise operators: URL filter, quality rules, language, token counts, pseudonyms, pieces."""
 
 import hashlib
+import os
 import random
 import re
 import string
@@ -106,6 +107,84 @@ def test_rules_learn_what_is_bad_and_keep_the_rest(spark, docs):
     assert quality_rules.judge(docs([]), labels).count() == 0
 
 
+def plain_covering(rows, bins=24, max_rules=8, max_conditions=3, min_precision=0.9, min_caught=5):
+    """Sequential covering over (features, bad, grow) rows in plain Python; thresholds are given."""
+    import math
+
+    cuts, rows = rows
+    rules = []
+
+    def fires(row, rule):
+        return all(row[0][f] > t if above else row[0][f] <= t for f, above, t in rule)
+
+    while len(rules) < max_rules:
+        left = [r for r in rows if not any(fires(r, x) for x in rules)]
+        rule, trail = [], []
+        while len(rule) < max_conditions:
+            now = [r for r in left if fires(r, rule)]
+            p0, n0 = (sum(1 for r in now if r[2] and r[1] == b) for b in (True, False))
+            if not p0 or not n0:
+                break
+            best = (0.0, None)
+            for f, ts in cuts.items():
+                for t in ts:
+                    for above in (True, False):
+                        hit = [r for r in now if r[2] and ((r[0][f] > t) == above)]
+                        p = sum(r[1] for r in hit)
+                        gain = p * (math.log2(p / len(hit)) - math.log2(p0 / (p0 + n0))) if p else -1.0
+                        if p >= min_caught and gain > best[0] + 1e-9:
+                            best = (gain, (f, above, t))
+            if best[1] is None:
+                break
+            rule.append(best[1])
+            checked = [r for r in left if fires(r, rule) and not r[2]]
+            trail.append((sum(r[1] for r in checked), sum(not r[1] for r in checked)))
+        if not rule:
+            break
+        worth = [(p - n) / (p + n) if p + n else -1.0 for p, n in trail]
+        k = max(range(len(worth)), key=lambda i: (worth[i], -i))
+        p, n = trail[k]
+        if p < min_caught or p < min_precision * (p + n):
+            break
+        rules.append(rule[: k + 1])
+    return rules
+
+
+def test_rules_are_those_of_a_plain_covering(spark):
+    random.seed(12)
+    data = []
+    for i in range(900):
+        x = {f: round(random.random(), 3) for f in quality_rules.FEATURES}
+        bad = x["symbol_share"] > 0.8 or (x["repeat_share"] > 0.6 and x["digit_share"] <= 0.4) or random.random() < 0.02
+        data.append((i, bool(bad), *x.values()))
+    names = list(quality_rules.FEATURES)
+    df = spark.createDataFrame(data, "doc_id long, bad boolean, " + ", ".join(f"{f} double" for f in names))
+    got = quality_rules.learn(df)
+    grow = {r.doc_id: r.g for r in df.select("doc_id", (F.pmod(F.xxhash64(F.lit("grow"), "doc_id"), F.lit(3)) != 0).alias("g")).collect()}
+    at = df.select(*(F.percentile_approx(f, [i / 24 for i in range(1, 24)], 10000).alias(f) for f in names)).head()
+    cuts = {f: sorted({float(v) for v in at[f]}) for f in names}
+    want = plain_covering((cuts, [(dict(zip(names, r[2:], strict=True)), r[1], grow[r[0]]) for r in data]))
+    assert [[(c.feature, c.above, c.threshold) for c in r.conditions] for r in got] == want and len(want) >= 2
+    assert {f for r in want for f, _, _ in r} >= {"symbol_share", "repeat_share"}
+
+
+def test_base_statistics_agree_with_sql(spark, docs, odd):
+    data = [(i, t) for i, t in odd if i is not None and len(t or "") < 6000]
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(data, columns=["doc_id", "text"]))
+    want = con.sql(quality_rules.base_oracle()).df()
+    out = quality_rules.statistics(docs(data))
+    got = out.select("doc_id", *quality_rules.BASE, quality_rules.base_failed().alias("base_failed")).toPandas()[want.columns]
+    by = ["doc_id", "n_words"]
+    pd.testing.assert_frame_equal(*(x.sort_values(by).reset_index(drop=True) for x in (got, want)), check_dtype=False)
+
+
+def test_kept_documents_keep_columns_of_any_name(spark):
+    d = spark.createDataFrame([(1, "word " + " ".join(f"w{i}" for i in range(30)), "a", 5, "h")], "doc_id long, text string, n_words string, rule int, __w string")
+    out = quality_rules.kept_documents(d, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
+    assert out.columns == d.columns and [tuple(r)[2:] for r in out.collect()] == [("a", 5, "h")]
+
+
 # --- language
 
 
@@ -123,6 +202,26 @@ def test_language(spark, docs, odd):
     assert language_id.train(d.limit(0)) == {}
 
 
+def test_held_out_accuracy(spark):
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("the driver's tables are not here")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    got = language_id.op5(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out AND lang IS NOT NULL AND lang_pred <> 'und'").toPandas()
+    assert len(got) > 200 and (got.lang == got.lang_pred).mean() >= 0.97
+
+
+def test_sample_is_the_smallest_of_each_language_and_languages_are_bounded(spark):
+    d = spark.createDataFrame([(i, f"only{i} word" * 3, "ab"[i % 7 == 0]) for i in range(900)], "doc_id long, text string, lang string")
+    hashes = {r.doc_id: (r.lang, r.h) for r in d.select("doc_id", "lang", F.xxhash64(F.lit("dictionary"), "doc_id").alias("h")).collect()}
+    made = language_id.train(d, sample_docs=5, dict_bytes=5 * 64)
+    for lang in "ab":
+        chosen = sorted((h, i) for i, (x, h) in hashes.items() if x == lang)[:5]
+        assert made[lang] == language_id.normalised(" ".join((f"only{i} word" * 3)[:64] for _, i in chosen))[-320:]
+    with pytest.raises(ValueError, match="languages"):
+        language_id.train(d, max_languages=1)
+
+
 def test_narrow_margin_is_rejected(spark, docs):
     same = {"aa": b"one two three", "bb": b"one two three"}
     assert [r.lang_pred for r in language_id.predict(docs([(1, "one two three")]), same).collect()] == ["und"]

@@ -9,11 +9,12 @@ below ``margin``, the result is rejected.
 
 Training takes a bounded sample: of each language the ``sample_docs`` labelled
 texts with the smallest keyed hash of doc_id, of each an excerpt of at most
-``dict_bytes // 8`` bytes, up to ``dict_bytes`` in all. Prediction reads whole texts,
-and never language, source or id.
+``dict_bytes // sample_docs`` bytes at a keyed place of the whole text. Prediction reads
+whole texts, and never language, source or id.
 
-Scale: training ranks (language, hash) pairs, at most ``sample_docs`` per language and
-task before the shuffle, and broadcasts the chosen pairs to fetch their texts; prediction is one pass without a shuffle. What is sent to the
+Scale: training ranks (language, hash) pairs in ``SPREAD`` parts of each language, then
+the first of each part, and broadcasts the chosen pairs to fetch their texts; prediction
+is one pass without a shuffle. What is sent to the
 workers is bounded by ``dict_bytes`` times the number of languages, and languages
 are limited to ``max_languages`` (an error beyond, never a silent cut).
 
@@ -31,7 +32,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veracord.llm.common import cut
+
 UNDETERMINED = "und"
+#: Parts in which a language's documents are ranked.
+SPREAD = 64
 HAS_LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -54,16 +59,21 @@ def held_out(doc_id: Column) -> Column:
 
 def train(labelled: DataFrame, sample_docs: int = 64, dict_bytes: int = 49152, max_languages: int = 300) -> dict[str, bytes]:
     """Dictionaries by language from ``labelled(doc_id, text, lang)``."""
-    keyed = labelled.where(F.col("lang").isNotNull()).withColumn("at", F.xxhash64(F.lit("dictionary"), "doc_id"))
-    # the k smallest per language from two small columns: Spark limits each group before the shuffle too
-    few = keyed.select("lang", "at").distinct().withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("at"))).where(F.col("n") <= sample_docs).drop("n")
-    excerpt = F.encode(F.substr("text", F.lit(1), F.lit(dict_bytes // 8)), "UTF-8")
-    got = keyed.join(F.broadcast(few), ["lang", "at"]).where(F.length("text") > 0).select("lang", "at", excerpt.alias("text")).orderBy("lang", "at", "text").select("lang", "text").toLocalIterator()
+    keyed = labelled.where(F.col("lang").isNotNull() & (F.length("text") > 0)).withColumn("at", F.xxhash64(F.lit("dictionary"), "doc_id"))
+    # the k smallest hashes of each language, first within SPREAD parts of it, so that no language meets in one task
+    part = F.pmod(F.xxhash64("at"), F.lit(SPREAD)).alias("part")
+    least = lambda df, *by: df.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy("at"))).where(F.col("n") <= sample_docs).drop("n")
+    few = cut(least(least(keyed.select("lang", "at", part).distinct(), "lang", "part").drop("part"), "lang"), "sample")
+    if few.select("lang").distinct().limit(max_languages + 1).count() > max_languages:
+        raise ValueError(f"more than {max_languages} languages")
+    size = dict_bytes // sample_docs
+    place = F.pmod(F.xxhash64(F.lit("place"), "doc_id"), F.greatest(F.length("text") - size, F.lit(0)) + 1) + 1
+    excerpt = F.encode(F.substr("text", place.cast("int"), F.lit(size)), "UTF-8")
+    chosen = keyed.join(F.broadcast(few), ["lang", "at"])  # at most sample_docs rows for each of max_languages
+    got = chosen.select("lang", "at", excerpt.alias("text")).orderBy("lang", "at", "text").select("lang", "text").toLocalIterator()
     parts: dict[str, list[bytes]] = {}
     for lang, text in got:
-        parts.setdefault(lang, []).append(bytes(text)[: dict_bytes // 8])
-        if len(parts) > max_languages:
-            raise ValueError(f"more than {max_languages} languages")
+        parts.setdefault(lang, []).append(bytes(text)[:size])
     return {lang: normalised(b" ".join(x).decode("utf-8", "ignore"))[-dict_bytes:] for lang, x in sorted(parts.items())}
 
 

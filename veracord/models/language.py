@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
+import urllib.request
 from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -118,6 +120,57 @@ class Ensemble(LanguageModel):
         return [Counter(v).most_common(1)[0][0] for v in votes]
 
 
+@dataclass
+class HostedModel(LanguageModel):
+    """A model behind an HTTP endpoint.
+
+    Sends ``{"model", "max_output_tokens", "format", "prompts": [{"index", "text"}]}`` and
+    expects ``{"answers": [{"index", "value"}], "usage": {...}}``, in any order. The key is
+    read on the worker from the environment variable ``key_variable``, so it is not part of
+    a plan. Answers that do not fit the type are errors; wrap it in ``Retrying``.
+    """
+
+    url: str
+    model: str
+    key_variable: str | None = None
+    batch: int = 64
+    timeout: float = 60.0
+    max_output_tokens: int = 8192
+    usage: dict = field(default_factory=dict, compare=False)
+
+    @property
+    def name(self) -> str:
+        return self.model
+
+    def answer(self, requests: list[Request], dtype: object = bool) -> list:
+        out = []
+        for i in range(0, len(requests), self.batch):
+            out += self._call([r.text(dtype) for r in requests[i : i + self.batch]], dtype)
+        return out
+
+    def _call(self, texts: list[str], dtype: object) -> list:
+        body = {"model": self.model, "max_output_tokens": self.max_output_tokens, "format": answer_format(dtype), "prompts": [{"index": i, "text": t} for i, t in enumerate(texts)]}
+        headers = {"Content-Type": "application/json"}
+        if self.key_variable:
+            headers["Authorization"] = f"Bearer {os.environ[self.key_variable]}"
+        sent = urllib.request.Request(self.url, json.dumps(body).encode(), headers)
+        with urllib.request.urlopen(sent, timeout=self.timeout) as got:
+            said = json.load(got)
+        for k, v in said.get("usage", {}).items():
+            self.usage[k] = self.usage.get(k, 0) + v
+        by = {a["index"]: a["value"] for a in said["answers"]}
+        if set(by) != set(range(len(texts))):
+            raise ValueError("the model has not answered every prompt once")
+        return [coerce(by[i], dtype) for i in range(len(texts))]
+
+
+def answer_format(dtype: object) -> dict:
+    """JSON schema of one answer."""
+    if isinstance(dtype, type) and issubclass(dtype, Enum):
+        return {"type": "string", "enum": [m.value for m in dtype]}
+    return {"type": {bool: "boolean", int: "integer", float: "number"}.get(dtype, "string")}
+
+
 @dataclass
 class Retrying(LanguageModel):
     """Tries again when the model fails."""
@@ -130,7 +183,7 @@ class Retrying(LanguageModel):
         for left in reversed(range(self.attempts)):
             try:
                 return self.base.answer(requests, dtype)
-            except (KeyError, TypeError, ValueError):
+            except (KeyError, OSError, TypeError, ValueError):
                 if not left:
                     raise
         return []

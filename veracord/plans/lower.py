@@ -164,7 +164,10 @@ def _interval_comparison(e: Binary, left: Value, right: Value) -> Column:
 
 
 def _threshold(op: str, holds: Column, side: Value, bound: Column) -> Column:
-    return P.compared(op, holds, bound, side.share, side.pos, side.neg)
+    why = P.compared(op, holds, bound, side.share, side.pos, side.neg)
+    if side.relative_error is not None and op in (">", ">="):  # what was sampled stands for the rest: all of it that is true
+        return F.when(holds, P.joined("*", side.pos)).otherwise(why)
+    return why
 
 
 # --- prompts --------------------------------------------------------------------------

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from veracord.functions import confseq, intervals
 from veracord.functions.vectors import dot, vector
 from veracord.models.language import Ensemble, LookupModel, NoisyModel, RuleModel
-from veracord.operators import claims, dialogs, quality, reporting, retrieval
+from veracord.operators import claims, dialogs, prepare, quality, reporting, retrieval
 from veracord.plans.expr import Alias, Col, MaxDot, bool_and, bool_or, col, count_if, lit, native, prompt, proportion
 from veracord.session import Session
 from veracord.sources.tables import read_jsonl, shared_path, write_jsonl
@@ -533,6 +533,14 @@ def dialog_reconstruct(spark, sf_dir):
     return dialogs.concat_turns(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text", 3, 20)
 
 
+@registered("SELECT l_orderkey, l_linenumber, l_partkey AS partkey, l_quantity, p_name, p_type FROM lineitem JOIN part ON l_partkey = p_partkey WHERE contains(p_type, 'STEEL')")
+def owner_join(spark, sf_dir):
+    """Line items of the parts whose type names a material."""
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("partkey"), "l_quantity")
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("partkey"), "p_name", "p_type")
+    return prepare.with_owner(items, parts, "partkey", "p_type", "STEEL").select("l_orderkey", "l_linenumber", "partkey", "l_quantity", "p_name", "p_type")
+
+
 @registered("""SELECT event_id, event_id - event_id % 16 AS root, (bit_count(event_id % 16))::INT AS depth FROM events""")
 def thread_roots(spark, sf_dir):
     """Each event answers the one whose id lacks its lowest bit of four; every sixteenth starts a thread."""

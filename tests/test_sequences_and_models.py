@@ -100,3 +100,66 @@ def test_csv_is_read(spark, tmp_path):
 
     (tmp_path / "x.csv").write_text('n,note\n1,"two\nlines, ""quoted"""\n2,plain\n')
     assert [tuple(r) for r in read_csv(spark, str(tmp_path / "x.csv"), "n long, note string").collect()] == [(1, 'two\nlines, "quoted"'), (2, "plain")]
+
+
+SEA = {"mentions a storm at sea: {note}": ("contains", "note", ("storm",)), "is {note} calm": ("contains", "note", ("calm",))}
+LOG = [
+    (1, "The storm at sea broke two masts. We lost the anchor."), (2, "Bought rope and flour in port."), (3, "A calm morning. A storm at sea by noon."),
+    (4, "Letters from home."), (5, "Painted the hull."), (6, "Far off a storm at sea was seen."),
+]
+
+
+def embedded(spark, **session):
+    from veracord.models.embedding import add_embeddings
+
+    df = add_embeddings(spark.createDataFrame(LOG, "n long, note string"), "note")
+    s = Session(spark).register_model(RuleModel(SEA))
+    for k, v in session.items():
+        getattr(s, k)(**v)
+    return s.read_frame(df, ("n",))
+
+
+def test_similarity_filter_asks_fewer_and_keeps_the_rows(spark):
+    storm = prompt("mentions a storm at sea: {note}")
+    every = embedded(spark).filter(storm).collect()
+    few = embedded(spark, enable_similarity_filter={"threshold": 0.3}).filter(storm)
+    assert "MAX_DOT" in few.optimized_logical_plan().display() or "Filter" in few.optimized_logical_plan().display().replace("Filter(mentions", "", 1)
+    got = few.collect()
+    assert [r.values[0] for r in got.rows] == [r.values[0] for r in every.rows] == [1, 3, 6]
+    assert 3 <= got.metrics.requests < every.metrics.requests == 6
+
+
+def test_similarity_filter_needs_sentence_embeddings_and_one_field(spark):
+    plain = Session(spark).register_model(RuleModel(SEA)).enable_similarity_filter().read_rows(LOG, NOTES).filter(prompt("is {note} calm"))
+    assert plain.collect().metrics.requests == 6
+    with pytest.raises(ValueError):
+        Session(spark).enable_similarity_filter(1.5)
+
+
+def test_all_switches_together(spark, tmp_path):
+    from veracord.models.embedding import add_embeddings
+
+    df = add_embeddings(spark.createDataFrame(LOG, "n long, note string"), "note")
+    s = Session.optimised(spark, seed=3, cache=str(tmp_path / "answers")).register_model(RuleModel(SEA))
+    o = s.options
+    assert o.early_stop and o.fusion and o.minimal and o.relevance and o.similarity and o.estimation and o.cache
+    f = s.read_frame(df, ("n",)).map(prompt("is {note} calm").alias("c")).aggregate([proportion(col("c")).alias("p")]).check(col("p") < 0.5)
+    assert f.collect().verdict
+
+
+def shape(frame):
+    """Names of the optimised plan's nodes, from the top."""
+    return [type(n).__name__ for n in frame.optimized_logical_plan().walk()]
+
+
+def test_plans(spark):
+    calm, storm = prompt("is {note} calm"), prompt("mentions a storm at sea: {note}")
+    plain = Session(spark).register_model(RuleModel(SEA)).read_rows(LOG, NOTES)
+    assert shape(plain.filter(calm).map(storm.alias("s"))) == ["Project", "Filter", "Scan"]
+    fused = Session(spark).register_model(RuleModel(SEA)).enable_fusion().read_rows(LOG, NOTES)
+    assert shape(fused.filter(calm).map(storm.alias("s"))) == ["Fused", "Scan"]
+    assert shape(fused.map(storm.alias("s")).filter(col("n") > 2)) == ["Project", "Filter", "Scan"], "structured filters go down"
+    assert shape(fused.map(storm.alias("s")).filter(col("s"))) == ["Filter", "Project", "Scan"], "not below what they read"
+    early = Session(spark).register_model(RuleModel(SEA)).enable_early_stop().read_rows(LOG, NOTES)
+    asked = early.map(calm.alias("c")).aggregate([proportion(col("c")).alias("p")]).check(col("p") > 0.5)
+    assert shape(asked)[:2] == ["Check", "Aggregate"] and shape(asked)[-1] == "Scan" and "CountScan" in shape(asked)

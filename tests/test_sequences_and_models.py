@@ -131,7 +131,9 @@ def test_similarity_filter_asks_fewer_and_keeps_the_rows(spark):
 
 def test_similarity_filter_needs_sentence_embeddings_and_one_field(spark):
     plain = Session(spark).register_model(RuleModel(SEA)).enable_similarity_filter().read_rows(LOG, NOTES).filter(prompt("is {note} calm"))
-    assert plain.collect().metrics.requests == 6
+    metrics = plain.collect().metrics
+    assert metrics.requests == 6
+    assert metrics.characters == sum(len(Request("is {note} calm", (("note", t),)).text(bool)) for _, t in LOG)
     with pytest.raises(ValueError):
         Session(spark).enable_similarity_filter(1.5)
 

@@ -92,7 +92,7 @@ class SemanticFrame:
     def _context(self, metrics: bool = True) -> Context:
         s, o = self.session, self.session.options
         acc = (lambda: s.spark.sparkContext.accumulator(0)) if metrics else lambda: None
-        return Context(s.model, s.explain, o.minimal, o.strict_nulls, s.response_cache, acc(), acc())
+        return Context(s.model, s.explain, o.minimal, o.strict_nulls, s.response_cache, acc(), acc(), acc())
 
     def to_spark(self) -> SparkFrame:
         """The exact query as one Spark DataFrame, without explanations."""
@@ -126,6 +126,7 @@ class SemanticFrame:
             values = tuple(_out(r[f.name], f.dtype) for f in low.schema.fields)
             rows.append(Row(values, Explanations({c: r[f"__p_{c}"] for c, kind in low.prov.items() if kind == "p"}, ctx.minimal)))
         metrics.requests = ctx.counter.value if ctx.counter is not None else 0
+        metrics.characters = ctx.characters.value if ctx.characters is not None else 0
         metrics.cache_hits = ctx.hits.value if ctx.hits is not None else 0
         return QueryResult(rows, metrics, planned - begun, time.time() - planned)
 

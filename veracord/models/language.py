@@ -202,10 +202,6 @@ def coerce(value: object, dtype: object) -> object:
     return dtype(value) if dtype in (str, int, float) else value
 
 
-def cache_key(model: str, prompt: str, fields: dict, dtype: object) -> str:
-    return hashlib.md5(json.dumps([model, prompt, fields, str(dtype)], sort_keys=True, default=str).encode()).hexdigest()
-
-
 @dataclass
 class Metrics:
     """Counts of one run: answered requests, those found in the cache, and prompt characters."""

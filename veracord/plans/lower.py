@@ -39,6 +39,7 @@ class Context:
     cache: ResponseCache | None = None
     counter: object = None  # accumulator of answered requests
     hits: object = None  # accumulator of requests found in the cache
+    characters: object = None  # accumulator of the characters that were sent
 
 
 @dataclass
@@ -184,12 +185,12 @@ def ask(low: Lowered, prompts: list[Prompt], names: list[str], ctx: Context) ->
     if ctx.cache is not None:
         return _ask_cached(low, prompts, names, kinds, fields, said, request, ctx)
     schema = ", ".join(f"a{i} {k.simpleString()}" for i, k in enumerate(kinds))
-    answer = answering(ctx.model, [(p.text, p.dtype) for p in prompts], fields, said, ctx.counter, schema)
+    answer = answering(ctx.model, [(p.text, p.dtype) for p in prompts], fields, said, (ctx.counter, ctx.characters), schema)
     out = low.df.withColumn("__answers", answer(request))
     return out.select(*refs(low.df.columns), *(F.col(f"__answers.a{i}").alias(n) for i, n in enumerate(names)))
 
 
-def answering(model: LanguageModel, prompts: list[tuple[str, object]], fields: list[str], said: tuple, counter, schema: str):
+def answering(model: LanguageModel, prompts: list[tuple[str, object]], fields: list[str], said: tuple, counters: tuple, schema: str):
     """Struct-valued UDF; each distinct request of a batch is answered once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -198,8 +199,10 @@ def answering(model: LanguageModel, prompts: list[tuple[str, object]], fields: l
             distinct = list(dict.fromkeys(rows))
             requests = [Request(prompts[0][0], tuple(zip(fields, r, strict=False)), said) for r in distinct]
             got = model.answer_fused(requests, prompts) if len(prompts) > 1 else [(a,) for a in model.answer(requests, prompts[0][1])]
+            counter, characters = counters
             if counter is not None:
                 counter.add(len(distinct))
+                characters.add(sum(len(replace(r, prompt=p).text(d)) for r in requests for p, d in prompts))
             by = dict(zip(distinct, got, strict=True))
             yield pd.DataFrame([by[r] for r in rows], columns=[f"a{i}" for i in range(len(prompts))])
 
@@ -217,7 +220,7 @@ def _ask_cached(low: Lowered, prompts, names, kinds, fields, said, request, ctx:
         known = ctx.cache.read(spark)
         new = wanted.join(known, wanted["__key"] == known["key"], "left_anti")
         schema = f"a0 {kind.simpleString()}"
-        answer = answering(ctx.model, [(p.text, p.dtype)], fields, said, ctx.counter, schema)
+        answer = answering(ctx.model, [(p.text, p.dtype)], fields, said, (ctx.counter, ctx.characters), schema)
         fresh = materialise(new.withColumn("a", answer(F.col("request"))).select(F.col("__key").alias("key"), F.col("a.a0").cast("string").alias("answer")), "answers")
         if ctx.hits is not None:
             ctx.hits.add(wanted.count() - fresh.count())

@@ -97,6 +97,8 @@ class Model:
                 self.prefix = bool(spec.get(3, 1))
                 if spec.get(2) or spec.get(4, 1):
                     raise ValueError("only models without normalisation rules and whitespace removal are supported")
+        if USER_DEFINED in self.kinds:
+            raise ValueError("user-defined pieces, which are matched before all others, are not supported")
         own = [i for i, k in enumerate(self.kinds) if k == NORMAL]
         self.scores = np.array(scores, np.float32)
         if not unigram:

@@ -66,22 +66,24 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.parquet(path)
+    collect_garbage(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out.cut_path = path
     return out
 
 
-def release(*tables: DataFrame) -> None:
-    """Remove tables that :func:`cut` has written and nothing reads any more.
+def collect_garbage(spark: SparkSession) -> None:
+    """Let the driver drop what it no longer refers to, so that Spark's cleaner removes the shuffle
+    files of jobs that have ended; it would do so only when its heap fills, while the disks of
+    the executors fill first."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
-    The driver then collects its garbage, so that Spark's cleaner removes the shuffle
-    files of the jobs that have ended; it would do so only when its heap fills, while
-    the disks of the executors fill first.
-    """
+
+def release(*tables: DataFrame) -> None:
+    """Remove tables that :func:`cut` has written and nothing reads any more."""
     for t in tables:
         drop_path(t.sparkSession, t.cut_path)
-    gc.collect()
-    tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

@@ -2,31 +2,33 @@
 
 Method
 ------
-1. *Prefixes.* One pass counts shingles in ``2**BITS`` slots. Ordered by their slot's
+1. *Thinning.* A document of which more than ``n - ceil(t n)`` shingles stand in no other has
+   no link. One pass counts, exactly, which of a quarter of all shingles stand in one
+   document only; most documents go here, and only their sizes are kept.
+2. *Prefixes.* One pass over what is left counts shingles in ``2**BITS`` slots. Ordered by their slot's
    count, rare ones first, two sets with Jaccard >= t share a shingle among the first
    ``n - ceil(t n) + 1`` of each: what many documents share stands at the end of the
    order, so that documents which have only a common passage in common do not meet. The
    order need only be the same everywhere; counts that collide in a slot cost candidates,
    never links, and the table of counts has a fixed size.
-2. *Neighbourhoods.* The documents of a prefix shingle are joined to one of them as a
+3. *Neighbourhoods.* The documents of a prefix shingle are joined to one of them as a
    star: edges, never pairs. A task first does so for its own rows, so a shingle that a
    third of all documents share arrives once per task. The components of the stars hold
    every link.
-   Neighbourhoods of more than a cell of documents are thinned first: a document of which
-   more than ``n - ceil(t n)`` shingles stand nowhere else in them (counted exactly, over every
-   other shingle) has no link. What is left there goes through steps 1 and 2 once more.
-3. *T-occurrence search* within neighbourhoods, over classes of equal sets, in cells of
+   Neighbourhoods of more than a cell of documents are thinned by themselves, over half of
+   all shingles. What is left there goes through steps 2 and 3 once more.
+4. *T-occurrence search* within neighbourhoods, over classes of equal sets, in cells of
    bounded size: inverted lists of the cell's shingles; for each document the shortest
    lists are heap-merged, and the ``L`` longest are only probed by binary search for
    what occurs at least ``T - L`` times (DivideSkip), ``T`` being the overlap that the
    threshold asks for.
-4. A neighbourhood of more documents than a cell takes falls into bands of size, each
+5. A neighbourhood of more documents than a cell takes falls into bands of size, each
    document in two of them, so that sizes that can be linked share a band. A band of
    several cells has its smallest document in each of them. What is then not in the
    band's largest component is searched for against all of its cells, so no link
    between different components is missed. Such a band without links is compared whole,
    cells by cells: its cost grows with the square of its size.
-5. Components of the links.
+6. Components of the links.
 
 Shingles move packed by task and bucket; rows are (id, size, hash), and the texts of
 documents that have a neighbour. Nothing about all documents reaches the driver but
@@ -47,7 +49,7 @@ from pyspark.sql import functions as F
 
 from veracord.llm.common import cut, release
 from veracord.llm.graph import components
-from veracord.llm.vector import PACKED, U, Words, dealt, forest, grouped, mix, packed, shingle_sets, shuffle_packed, unpacked
+from veracord.llm.vector import PACKED, SUB, U, Words, dealt, forest, grouped, mix, packed, shingle_sets, shuffle_packed, unpacked
 
 #: Documents and shingles of a cell, about, which bound a task's memory; prefix shingles that a task holds before it gives them on.
 CELL, CELL_TOKENS, HELD = 512, 2_000_000, 800_000
@@ -326,9 +328,9 @@ class ThinFold:
 
     def fold(self, kind: int, data: list[bytes]) -> Iterator[pa.RecordBatch]:
         if kind == ITEM:
-            yield star_batch(ITEM, *unpacked(data, 3)[1:])
+            yield star_batch(ITEM, *unpacked(data, 4)[1:])
             return
-        token, node = unpacked(data, 2)
+        token, node = (np.concatenate(x) for x in zip(*(halves(d) for d in data), strict=True))
         order = np.argsort(token)
         t = token[order]
         edge = np.concatenate([[True], t[1:] != t[:-1], [True]])
@@ -345,9 +347,18 @@ class ThinFold:
 SEVERAL = np.iinfo(np.int64).min
 
 
-def thinned(texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """``texts(id, text)`` of distinct sets without those of which too much stands in no other set to have a link."""
+def halves(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(32 bits of each shingle, its node). Shingles of a bucket that agree in these bits count as
+    shared, which spares a set, and loses none."""
+    n = len(data) // 12
+    return np.frombuffer(data, np.uint32, n), np.frombuffer(data, np.int64, n, 4 * n)
+
+
+def unshared(texts: DataFrame, width: int, num: int, den: int, every: int) -> DataFrame:
+    """STAR rows of ``texts(id, text)``: ITEM (id, set size, set hash), UNSHARED (id, how many of one
+    in ``every`` shingles of the set stand in no other set), the latter in parts to be summed."""
     parts = partitions(texts)
+    n_buckets = parts * SUB
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sender, held, size = Sender(parts), [], 0
@@ -359,30 +370,44 @@ def thinned(texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
             first = np.concatenate([[True], token[1:] != token[:-1]])
             again = np.concatenate([~first[1:], [False]])
             held.clear()
-            return dealt(SIG, parts, token[first], np.where(again, SEVERAL, node)[first])
+            token, node = token[first], np.where(again, SEVERAL, node)[first]
+            bounds = [0, *np.searchsorted(token, np.array([(i << 64) // n_buckets for i in range(1, n_buckets)], np.uint64)).tolist(), len(token)]
+            low = token.astype(np.uint32)  # the lower bits; the upper ones choose the bucket
+            return [(i, SIG, low[x:y].tobytes() + node[x:y].tobytes()) for i, (x, y) in enumerate(zip(bounds, bounds[1:], strict=False)) if y > x]
 
         for batch in batches:
-            ids, slack = batch.column("id").to_numpy().astype(np.int64), []
+            ids, sizes, hashes = batch.column("id").to_numpy().astype(np.int64), [], []
             for node, tokens in zip(ids, text_sets(batch.column("text"), width), strict=True):
-                n = len(tokens)
-                slack.append(n - -(-num * n // den))
-                some = mix(tokens[tokens & U(1) == 0])
+                sizes.append(len(tokens))
+                hashes.append(set_hash(tokens))
+                some = mix(tokens[tokens % U(every) == 0])
                 held.append((some, np.full(len(some), node)))
                 size += len(some)
                 if size > HELD:
                     yield packed(flush(), parts)
                     size = 0
             if len(ids):
-                yield packed(sender.by_node(ITEM, ids, np.array(slack, np.int64)), parts)
+                yield packed(sender.by_node(ITEM, ids, np.array(sizes, np.int64), np.array(hashes, np.int64)), parts)
         if size:
             yield packed(flush(), parts)
 
-    rows = cut(shuffle_packed(texts.select("id", "text").mapInArrow(send, PACKED), ThinFold, STAR, parts), "unshared")
+    return cut(shuffle_packed(texts.select("id", "text").mapInArrow(send, PACKED), ThinFold, STAR, parts), "unshared")
+
+
+def may_link(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """id of the sets of ``unshared`` that can have a link: at most ``n - ceil(t n)`` shingles are not shared."""
     alone = F.sum(F.when(F.col("kind") == UNSHARED, F.col("b")).otherwise(0))
-    most = F.max(F.when(F.col("kind") == ITEM, F.col("b")))
-    stays = rows.groupBy("a").agg(alone.alias("alone"), most.alias("most")).where("alone <= most").select(F.col("a").alias("id"))
-    out = texts_of(texts, cut(stays, "stays"))
-    release(rows)
+    size = F.max(F.when(F.col("kind") == ITEM, F.col("b")))
+    most = F.col("n") - F.ceil(F.col("n") * num / F.lit(den).cast("decimal(10,0)")).cast("long")
+    return rows.groupBy("a").agg(alone.alias("alone"), size.alias("n")).where((F.col("n") > 0) & (F.col("alone") <= most)).select(F.col("a").alias("id"))
+
+
+def thinned(texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """``texts(id, text)`` of distinct sets without those of which too much stands in no other set to have a link."""
+    rows = unshared(texts, width, num, den, 2)
+    stays = cut(may_link(rows, num, den), "stays")
+    out = texts_of(texts, stays)
+    release(rows, stays)
     return out
 
 
@@ -449,10 +474,14 @@ def set_components(texts: DataFrame, width: int, num: int, den: int) -> tuple[Da
 
     Rows that share an id must have equal sets.
     """
-    stars = set_stars(texts, width, num, den)
-    edges = stars.where(F.col("kind") == EDGE).select("a", "b")
-    items = stars.where(F.col("kind") == ITEM).select(F.col("a").alias("id"), F.col("b").alias("n"), F.col("c").alias("h"))
-    return items, verified_components(edges, items, texts, width, num, den)
+    rows = unshared(texts, width, num, den, 4)
+    items = rows.where(F.col("kind") == ITEM).select(F.col("a").alias("id"), F.col("b").alias("n"), F.col("c").alias("h"))
+    stays = cut(may_link(rows, num, den), "stays")
+    left = texts_of(texts, stays)
+    stars = set_stars(left, width, num, den)
+    found = verified_components(stars.where(F.col("kind") == EDGE).select("a", "b"), items.join(stays, "id", "left_semi"), left, width, num, den)
+    release(stars, left, stays)
+    return items, found
 
 
 def repeated_ids(docs: DataFrame) -> bool:

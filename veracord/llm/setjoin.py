@@ -324,7 +324,10 @@ UNSHARED = 3
 
 
 class ThinFold:
-    """Counts, for each node, the shingles that nobody else has sent."""
+    """Counts, for each node, the shingles that nobody else has sent; a row for each node of a task."""
+
+    def __init__(self):
+        self.counts, self.held = [], 0
 
     def fold(self, kind: int, data: list[bytes]) -> Iterator[pa.RecordBatch]:
         if kind == ITEM:
@@ -336,11 +339,17 @@ class ThinFold:
         edge = np.concatenate([[True], t[1:] != t[:-1], [True]])
         alone = node[order][edge[:-1] & edge[1:]]
         own, count = np.unique(alone[alone != SEVERAL], return_counts=True)
-        if len(own):
-            yield star_batch(UNSHARED, own, count)
+        self.counts.append((own, count))
+        self.held += len(own)
+        if self.held > HELD:
+            yield from self.end()
 
     def end(self) -> Iterator[pa.RecordBatch]:
-        yield from ()
+        if self.held:
+            node, count = (np.concatenate(x) for x in zip(*self.counts, strict=True))
+            own, at = np.unique(node, return_inverse=True)
+            yield star_batch(UNSHARED, own, np.bincount(at, count).astype(np.int64))
+        self.counts, self.held = [], 0
 
 
 #: Stands for the nodes of a shingle that a task has met more than once.
@@ -356,9 +365,12 @@ def halves(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def unshared(texts: DataFrame, width: int, num: int, den: int, every: int) -> DataFrame:
     """STAR rows of ``texts(id, text)``: ITEM (id, set size, set hash), UNSHARED (id, how many of one
-    in ``every`` shingles of the set stand in no other set), the latter in parts to be summed."""
-    parts = partitions(texts)
-    n_buckets = parts * SUB
+    in ``every`` shingles of the set stand in no other set), the latter in parts to be summed.
+
+    Shingles are dealt to a quarter of the usual partitions, in as many buckets: a set gets a
+    row from each partition, and a task holds one bucket at a time."""
+    parts = max(1, partitions(texts) // 4)
+    n_buckets = parts * SUB * 4
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sender, held, size = Sender(parts), [], 0

@@ -134,3 +134,21 @@ def test_word_arrays_agree_with_split():
     assert [len(x) for x in shingle_sets(words, 2)] == [len(x) for x in sets]
     begin, count = words.lines()
     assert count.tolist() == [len(x) for t in texts for x in (re.sub(r"[\x09\x0b-\x0d]", " ", y).split(" ") for y in t.split("\n")) for x in [[w for w in x if w]] if x]
+
+
+def test_counts_of_unshared_shingles_come_as_one_row_for_each_text(spark, docs, monkeypatch):
+    sent = []
+    real = setjoin.shuffle_packed
+    monkeypatch.setattr(setjoin, "shuffle_packed", lambda rows, make, ddl, parts: sent.append(real(rows, make, ddl, parts)) or sent[-1])
+    monkeypatch.setattr(setjoin, "partitions", lambda df: 64)
+    monkeypatch.setattr(setjoin, "HELD", 100)
+    pairs = near_copies(random.Random(5)) + [(900, ""), (901, None), (902, " ".join(f"u{i}" for i in range(400)))]
+    texts = docs(pairs).selectExpr("doc_id AS id", "text")
+    sets = brute_sets([t for _, t in pairs], 3)
+    got = {r.id: r for r in setjoin.unshared(texts, 3, 1).collect()}
+    assert len(got) == len(pairs) and setjoin.unshared(texts, 3, 1).count() == len(pairs)
+    for k, (i, _) in enumerate(pairs):
+        others = set().union(*(x for j, x in enumerate(sets) if j != k))
+        assert (got[i].n, got[i].alone) == (len(sets[k]), len(sets[k] - others))
+    counts = [np.frombuffer(r.data, np.int64, len(r.data) // 12, len(r.data) // 12 * 4) for r in sent[0].collect() if r.kind == setjoin.COUNT]
+    assert 902 not in np.concatenate(counts), "a text that shares nothing sends no count, whatever the partitions"

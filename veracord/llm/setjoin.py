@@ -320,55 +320,103 @@ def texts_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
     return cut(near.join(ids, "id", "left_semi"), "texts")
 
 
-UNSHARED = 3
+COUNT = 3
+
+
+def by_bucket(parts: int, node: np.ndarray, count: np.ndarray) -> list[tuple[int, int, bytes]]:
+    """COUNT rows (bucket, kind, data) in the buckets in which Sender.by_node puts the nodes."""
+    key = mix(node.view(np.uint64))
+    order = np.argsort(key)
+    n = parts * SUB
+    bounds = [0, *np.searchsorted(key[order], np.array([(i << 64) // n for i in range(1, n)], np.uint64)).tolist(), len(key)]
+    count, node = count.astype(np.uint32)[order], node[order]
+    return [(i, COUNT, count[x:y].tobytes() + node[x:y].tobytes()) for i, (x, y) in enumerate(zip(bounds, bounds[1:], strict=False)) if y > x]
+
+
+def summed(counts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """(node, sum) from arrays (count, node)."""
+    count, node = (np.concatenate(x) for x in zip(*counts, strict=True))
+    own, at = np.unique(node, return_inverse=True)
+    return own, np.bincount(at, count, len(own)).astype(np.int64)
 
 
 class ThinFold:
-    """Counts, for each node, the shingles that nobody else has sent; a row for each node of a task."""
+    """Counts, for each node, the shingles that others have sent too. Gives PACKED rows by node: what a
+    task has counted, and the items as they came. Nodes that share nothing get no count."""
 
-    def __init__(self):
-        self.counts, self.held = [], 0
+    def __init__(self, parts: int):
+        self.parts, self.counts, self.held = parts, [], 0
 
     def fold(self, kind: int, data: list[bytes]) -> Iterator[pa.RecordBatch]:
         if kind == ITEM:
-            yield star_batch(ITEM, *unpacked(data, 4)[1:])
+            key, *cols = unpacked(data, 5)
+            order = np.argsort(key.view(np.uint64))
+            yield packed(dealt(ITEM, self.parts, key.view(np.uint64)[order], *(c[order] for c in cols)), self.parts)
             return
-        token, node = (np.concatenate(x) for x in zip(*(halves(d) for d in data), strict=True))
-        order = np.argsort(token)
-        t = token[order]
-        edge = np.concatenate([[True], t[1:] != t[:-1], [True]])
-        alone = node[order][edge[:-1] & edge[1:]]
-        own, count = np.unique(alone[alone != SEVERAL], return_counts=True)
-        self.counts.append((own, count))
-        self.held += len(own)
+        first, node = (np.concatenate(x) for x in zip(*(halves(d) for d in data), strict=True))
+        if kind == COUNT:
+            self.counts.append((first, node))
+        else:
+            order = np.argsort(first)
+            t = first[order]
+            edge = np.concatenate([[True], t[1:] != t[:-1], [True]])
+            shared = node[order][~(edge[:-1] & edge[1:])]
+            own, count = np.unique(shared[shared != SEVERAL], return_counts=True)
+            self.counts.append((count, own))
+        self.held += len(self.counts[-1][0])
         if self.held > HELD:
             yield from self.end()
 
     def end(self) -> Iterator[pa.RecordBatch]:
         if self.held:
-            node, count = (np.concatenate(x) for x in zip(*self.counts, strict=True))
-            own, at = np.unique(node, return_inverse=True)
-            yield star_batch(UNSHARED, own, np.bincount(at, count).astype(np.int64))
+            yield packed(by_bucket(self.parts, *summed(self.counts)), self.parts)
         self.counts, self.held = [], 0
 
 
+class CountFold:
+    """Joins the items of a bucket of nodes with the counts of their shared shingles: one row for each item."""
+
+    def __init__(self):
+        self.items, self.counts = None, []
+
+    def fold(self, kind: int, data: list[bytes]) -> Iterator[pa.RecordBatch]:
+        if kind == ITEM:  # the first kind of a bucket
+            yield from self.end()
+            self.items = unpacked(data, 5)[1:]
+        else:
+            self.counts += [halves(d) for d in data]
+
+    def end(self) -> Iterator[pa.RecordBatch]:
+        if self.items is not None:
+            node, n, h, sampled = self.items
+            shared = np.zeros(len(node), np.int64)
+            if self.counts:
+                own, count = summed(self.counts)
+                at = np.minimum(np.searchsorted(own, node), len(own) - 1)
+                shared = np.where(own[at] == node, count[at], 0)
+            cols = (node, n, h, np.maximum(sampled - shared, 0))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["id", "n", "h", "alone"])
+        self.items, self.counts = None, []
+
+
 #: Stands for the nodes of a shingle that a task has met more than once.
 SEVERAL = np.iinfo(np.int64).min
 
 
 def halves(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(32 bits of each shingle, its node). Shingles of a bucket that agree in these bits count as
-    shared, which spares a set, and loses none."""
+    """(32 bits of each shingle, or a count; its node). Shingles of a bucket that agree in these bits
+    count as shared, which spares a set, and loses none."""
     n = len(data) // 12
     return np.frombuffer(data, np.uint32, n), np.frombuffer(data, np.int64, n, 4 * n)
 
 
-def unshared(texts: DataFrame, width: int, num: int, den: int, every: int) -> DataFrame:
-    """STAR rows of ``texts(id, text)``: ITEM (id, set size, set hash), UNSHARED (id, how many of one
-    in ``every`` shingles of the set stand in no other set), the latter in parts to be summed.
+def unshared(texts: DataFrame, width: int, every: int) -> DataFrame:
+    """id, n (set size), h (set hash), alone (how many of one in ``every`` shingles of the set stand in
+    no other set) of each row of ``texts(id, text)``.
 
-    Shingles are dealt to a quarter of the usual partitions, in as many buckets: a set gets a
-    row from each partition, and a task holds one bucket at a time."""
+    Shingles are dealt to a quarter of the usual partitions, in as many buckets; a task holds
+    one bucket at a time. What it has counted goes packed by node, at most one number for each
+    shared shingle that was sent, however many partitions there are."""
     parts = max(1, partitions(texts) // 4)
     n_buckets = parts * SUB * 4
 
@@ -382,41 +430,42 @@ def unshared(texts: DataFrame, width: int, num: int, den: int, every: int) -> Da
             first = np.concatenate([[True], token[1:] != token[:-1]])
             again = np.concatenate([~first[1:], [False]])
             held.clear()
+            own, count = np.unique(node[again | ~first], return_counts=True)
             token, node = token[first], np.where(again, SEVERAL, node)[first]
             bounds = [0, *np.searchsorted(token, np.array([(i << 64) // n_buckets for i in range(1, n_buckets)], np.uint64)).tolist(), len(token)]
             low = token.astype(np.uint32)  # the lower bits; the upper ones choose the bucket
-            return [(i, SIG, low[x:y].tobytes() + node[x:y].tobytes()) for i, (x, y) in enumerate(zip(bounds, bounds[1:], strict=False)) if y > x]
+            return [(i, SIG, low[x:y].tobytes() + node[x:y].tobytes()) for i, (x, y) in enumerate(zip(bounds, bounds[1:], strict=False)) if y > x] + by_bucket(parts, own, count)
 
         for batch in batches:
-            ids, sizes, hashes = batch.column("id").to_numpy().astype(np.int64), [], []
+            ids, sizes, hashes, sampled = batch.column("id").to_numpy().astype(np.int64), [], [], []
             for node, tokens in zip(ids, text_sets(batch.column("text"), width), strict=True):
                 sizes.append(len(tokens))
                 hashes.append(set_hash(tokens))
                 some = mix(tokens[tokens % U(every) == 0])
+                sampled.append(len(some))
                 held.append((some, np.full(len(some), node)))
                 size += len(some)
                 if size > HELD:
                     yield packed(flush(), parts)
                     size = 0
             if len(ids):
-                yield packed(sender.by_node(ITEM, ids, np.array(sizes, np.int64), np.array(hashes, np.int64)), parts)
+                yield packed(sender.by_node(ITEM, ids, *(np.array(x, np.int64) for x in (sizes, hashes, sampled))), parts)
         if size:
             yield packed(flush(), parts)
 
-    return cut(shuffle_packed(texts.select("id", "text").mapInArrow(send, PACKED), ThinFold, STAR, parts), "unshared")
+    counts = shuffle_packed(texts.select("id", "text").mapInArrow(send, PACKED), lambda: ThinFold(parts), PACKED, parts)
+    return cut(shuffle_packed(counts, CountFold, "id long, n long, h long, alone long", parts), "unshared")
 
 
 def may_link(rows: DataFrame, num: int, den: int) -> DataFrame:
     """id of the sets of ``unshared`` that can have a link: at most ``n - ceil(t n)`` shingles are not shared."""
-    alone = F.sum(F.when(F.col("kind") == UNSHARED, F.col("b")).otherwise(0))
-    size = F.max(F.when(F.col("kind") == ITEM, F.col("b")))
     most = F.col("n") - F.ceil(F.col("n") * num / F.lit(den).cast("decimal(10,0)")).cast("long")
-    return rows.groupBy("a").agg(alone.alias("alone"), size.alias("n")).where((F.col("n") > 0) & (F.col("alone") <= most)).select(F.col("a").alias("id"))
+    return rows.where((F.col("n") > 0) & (F.col("alone") <= most)).select("id")
 
 
 def thinned(texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """``texts(id, text)`` of distinct sets without those of which too much stands in no other set to have a link."""
-    rows = unshared(texts, width, num, den, 2)
+    rows = unshared(texts, width, 2)
     stays = cut(may_link(rows, num, den), "stays")
     out = texts_of(texts, stays)
     release(rows, stays)
@@ -486,8 +535,8 @@ def set_components(texts: DataFrame, width: int, num: int, den: int) -> tuple[Da
 
     Rows that share an id must have equal sets.
     """
-    rows = unshared(texts, width, num, den, 4)
-    items = rows.where(F.col("kind") == ITEM).select(F.col("a").alias("id"), F.col("b").alias("n"), F.col("c").alias("h"))
+    rows = unshared(texts, width, 4)
+    items = rows.select("id", "n", "h")
     stays = cut(may_link(rows, num, den), "stays")
     left = texts_of(texts, stays)
     stars = set_stars(left, width, num, den)

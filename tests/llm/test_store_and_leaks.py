@@ -210,6 +210,28 @@ def test_recall_of_the_latent_search_and_the_bound(bench):
     assert len(want) > 100 and len(want & found) >= 0.9 * len(want)
 
 
+@pytest.mark.parametrize("rank", [256, 32])
+def test_recall_of_a_space_of_the_whole_benchmark_and_no_sample(bench, rank):
+    vocabulary, old, passages, idf, ids, first = space_of(bench)
+    space = decontaminate.Space([w for _, w in passages], vocabulary.size, idf)
+    space.fit(None, 1.0, rank, 7)
+    dense = lambda row: np.bincount(row[0], row[1], space.width)
+    matrix = np.stack([dense(r) for r in space.rows])
+    found = {(t, p, s) for x in space.candidates(ids, first, 0.4) for t, p, s, _ in zip(*(y.tolist() for y in x), strict=True)}
+    want = {(t, int(p), s) for t, s, e in every_window(first) for p in np.flatnonzero(matrix @ dense(space.row(ids[s:e])) >= 0.4)}
+    assert len(want) > 100 and len(want & found) >= 0.9 * len(want)
+
+
+def test_no_sample_of_the_documents_shapes_the_space(spark, docs, bench, monkeypatch):
+    items, rows, _ = bench
+    given = []
+    fit = decontaminate.Space.fit
+    monkeypatch.setattr(decontaminate.Space, "fit", lambda self, further, *args: given.append(further) or fit(self, further, *args))
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in items[:4]], "item_id long, text string")
+    assert decontaminate.find_leaks(docs([(i, " ".join(w)) for i, w in rows[:8]]), table).where("contaminated").count() == 8
+    assert given == [None]
+
+
 def test_bound_holds_where_one_word_is_repeated(bench):
     vocabulary, space, _, _, _, _ = space_of(bench)
     ids = np.array([vocabulary.items[0][0]] * 8 + [vocabulary.size + i for i in range(24)])

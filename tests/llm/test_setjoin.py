@@ -152,3 +152,19 @@ def test_counts_of_unshared_shingles_come_as_one_row_for_each_text(spark, docs,
         assert (got[i].n, got[i].alone) == (len(sets[k]), len(sets[k] - others))
     counts = [np.frombuffer(r.data, np.int64, len(r.data) // 12, len(r.data) // 12 * 4) for r in sent[0].collect() if r.kind == setjoin.COUNT]
     assert 902 not in np.concatenate(counts), "a text that shares nothing sends no count, whatever the partitions"
+
+
+def test_what_is_broadcast_to_pass_over_texts_is_bounded(spark, docs, monkeypatch):
+    ids = spark.range(-150_000, 150_000)
+    marks = setjoin.slots_of(ids)
+    assert marks.count() <= setjoin.SLOTS // 64 < 150_000, "a row for each id, or for each of its hashes, is held by the driver"
+    wanted = {hash for (hash,) in ids.selectExpr(f"pmod(xxhash64(id), {setjoin.SLOTS}L)").distinct().collect()}
+    assert {r.word * 64 + i for r in marks.collect() for i in range(64) if r.marks >> i & 1} == wanted
+    joined = []
+    monkeypatch.setattr(setjoin, "slots_of", lambda x, real=setjoin.slots_of: joined.append(real(x)) or joined[-1])
+    texts = docs([(i, f"t{i}") for i in range(-500, 500)]).selectExpr("doc_id AS id", "text")
+    for slots in (setjoin.SLOTS, 128):  # with 128 all hashes are there, and no text is passed over
+        monkeypatch.setattr(setjoin, "SLOTS", slots)
+        got = setjoin.texts_of(texts, spark.range(-400, 400, 3))
+        assert sorted(map(tuple, got.collect())) == [(i, f"t{i}") for i in range(-400, 400, 3)]
+    assert len(joined) == 2 and joined[1].count() == 2

@@ -102,8 +102,10 @@ def levels(texts: DataFrame, width: int) -> np.ndarray:
 
     ddl = "piece int, data binary"
     out = np.zeros((PIECES, (1 << BITS) // PIECES), np.uint8)
-    for i, data in texts.select("text").mapInArrow(count, ddl).repartition(PIECES, "piece").mapInArrow(add, ddl).toLocalIterator():
+    pieces = cut(texts.select("text").mapInArrow(count, ddl).repartition(PIECES, "piece").mapInArrow(add, ddl), "levels")
+    for i, data in pieces.toLocalIterator():  # of files: a partition of sums would be made only when its turn comes
         out[i] = np.frombuffer(data, np.uint8)
+    release(pieces)
     return out.ravel()
 
 
@@ -206,7 +208,9 @@ def set_stars(texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
         if sender.held:
             yield packed(sender.flush(), parts)
 
-    return cut(shuffle_packed(texts.select("id", "text").mapInArrow(send, PACKED), StarFold, STAR, parts), "stars")
+    stars = cut(shuffle_packed(texts.select("id", "text").mapInArrow(send, PACKED), StarFold, STAR, parts), "stars")
+    level.destroy()
+    return stars
 
 
 def t_occurrence_links(sets: list[np.ndarray], num: int, den: int, query: list[bool] | None = None, mu: float = 0.01) -> list[tuple[int, int]]:
@@ -306,17 +310,23 @@ def _search(cells: DataFrame, texts: DataFrame, width: int, num: int, den: int)
     return rows.repartition(partitions(cells), "cell").sortWithinPartitions("cell", "nb", "id").mapInArrow(cell_search(width, num, den), "a long, b long")
 
 
-#: Values of the hash by which texts are passed over before a join; bounds what is broadcast.
-SLOTS = 1 << 20
+#: Values of the hash by which texts are passed over before a join. They are broadcast as bits, 64 to
+#: a row: at most 131,072 rows, however many texts there are.
+SLOTS = 1 << 23
+
+
+def slots_of(ids: DataFrame) -> DataFrame:
+    """word, marks: a bit for each hash of ``ids(id)``, 64 of them in a number."""
+    slot = F.expr(f"pmod(xxhash64(id), {SLOTS}L)").alias("slot")
+    return ids.select(slot).groupBy(F.expr("slot div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 AS int)))").alias("marks"))
 
 
 def texts_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
     """``texts`` of ``ids(id)``, written. Texts whose id has another hash than all of ``ids`` are left
-    where they are: at most SLOTS numbers are broadcast for that; when they fill, the join
-    that follows has all texts to move, no more."""
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS)).cast("int")
-    slots = ids.select(slot("id").alias("slot")).distinct()
-    near = texts.join(F.broadcast(slots), slot("id") == F.col("slot"), "left_semi")
+    where they are; when the hashes fill, the join that follows has all texts to move, no more."""
+    slot = f"pmod(xxhash64(id), {SLOTS}L)"
+    marked = F.expr(f"{slot} div 64 = word AND getbit(marks, cast({slot} % 64 AS int)) = 1")
+    near = texts.join(F.broadcast(slots_of(ids)), marked, "left_semi")
     return cut(near.join(ids, "id", "left_semi"), "texts")
 
 

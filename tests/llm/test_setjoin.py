@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from veracord.llm import setjoin
+from veracord.llm import graph, setjoin
 from veracord.llm.graph import components
 from veracord.llm.vector import Table, Words, forest, mix, shingle_sets
 
@@ -168,3 +168,26 @@ def test_what_is_broadcast_to_pass_over_texts_is_bounded(spark, docs, monkeypatc
         got = setjoin.texts_of(texts, spark.range(-400, 400, 3))
         assert sorted(map(tuple, got.collect())) == [(i, f"t{i}") for i in range(-400, 400, 3)]
     assert len(joined) == 2 and joined[1].count() == 2
+
+
+def jobs_of(spark, run):
+    """(what ``run`` gives, how many Spark jobs it took)."""
+    group = f"jobs-{random.random()}"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        return run(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_few_edges_are_joined_without_rounds(spark, monkeypatch):
+    rows = [(i, i + 1) for i in range(300)] + [(1000, i) for i in range(1001, 1400)] + [(5, 5), (None, 3), (7, None)]
+    random.Random(2).shuffle(rows)
+    edges = spark.createDataFrame(rows, "a long, b long").repartition(5)
+    found = lambda: sorted(map(tuple, components(edges).collect()))
+    few, fewer = jobs_of(spark, found)
+    assert few == sorted([(i, 0) for i in range(301)] + [(i, 1000) for i in range(1000, 1400)])
+    monkeypatch.setattr(graph, "FEW", 100)
+    many, more = jobs_of(spark, found)
+    assert many == few
+    assert fewer <= 7 < more, (fewer, more)

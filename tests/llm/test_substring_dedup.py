@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from veracord.llm import substring_dedup
 
 
@@ -71,3 +73,22 @@ def test_every_passage_of_twenty_words_goes_to_its_ends(spark, docs):
     for i, x in enumerate(texts):
         assert {k for s in got[i].spans for k in range(s.at, s.at + s.words)} == want[i], x
         assert got[i].n_removed == len(want[i])
+
+
+def test_filter_of_ids_takes_one_job_whatever_the_partitions(spark):
+    ids = [1, 63, 64, substring_dedup.FILTER_BITS - 1, substring_dedup.FILTER_BITS + 7, -1, -(1 << 63), (1 << 63) - 1]
+    table = spark.createDataFrame([(i,) for i in ids], "id long").repartition(40, "id")
+    group, before = "filter of ids", spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        bits = substring_dedup.id_filter(table)
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) < 10
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    asked = np.array([*ids, 2, 65, 8], np.int64).view(np.uint64)
+    assert substring_dedup.passes(bits, asked).tolist() == [True] * len(ids) + [False] * 3
+    assert not substring_dedup.id_filter(table.where("id = 12345")).any()

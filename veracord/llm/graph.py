@@ -13,8 +13,8 @@ from veracord.llm.common import cut, release
 from veracord.llm.vector import forest
 
 
-#: Edges that a task joins at a time.
-HELD = 2_000_000
+#: Edges that a task joins at a time; edges, after each task has joined its own, up to which one task joins them all.
+HELD, FEW = 2_000_000, 1 << 18
 
 
 def contracted(edges: DataFrame) -> DataFrame:
@@ -43,17 +43,36 @@ def edge_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
+def joined(edges: DataFrame) -> DataFrame:
+    """node, component of ``edges(a, b)``, all of them in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(batch.column(0).to_numpy(), batch.column(1).to_numpy()) for batch in batches]
+        if held:
+            node, root = forest(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            own = np.unique(root)
+            yield edge_batch(np.concatenate([node, own]), np.concatenate([root, own])).rename_columns(["node", "component"])
+
+    return edges.select("a", "b").repartition(1).mapInArrow(run, "node long, component long")
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """node, component for every node of ``edges(a, b)``; component is its smallest reachable node.
 
-    Alternates the large-star and small-star steps, each a partial aggregate and a join
+    Each task joins its own edges. Up to FEW that are left go to one task, which costs no
+    rounds; for more, it alternates the large-star and small-star steps, each a partial aggregate and a join
     on the node, until the edges are stars. Every round is written to the shared
     folder, the one before is removed. A hub's edges are split by the join, its minimum is
     combined within tasks. Loops and null ends are dropped; an empty table gives no rows.
     """
     e = edges.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
-    e = contracted(contracted(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))).repartition("a"))
-    e = cut(e.distinct(), "edges")
+    own = cut(contracted(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))), "edges")
+    if own.count() <= FEW:
+        out = cut(joined(own), "components")
+        release(own)
+        return out
+    e = cut(contracted(own.repartition("a")).distinct(), "edges")
+    release(own)
     for _ in range(max_rounds):
         if _settled(e):
             break

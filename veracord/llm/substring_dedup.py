@@ -217,8 +217,8 @@ def id_filter(ids: DataFrame) -> np.ndarray:
     at = ids.select(F.pmod(F.col("id"), F.lit(FILTER_BITS)).alias("at"))
     rows = at.groupBy(F.expr("CAST(at DIV 64 AS INT)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(at % 64 AS INT)))").alias("bits"))
     out = np.zeros(FILTER_BITS // 64, np.int64)
-    for word, bits in rows.toLocalIterator():
-        out[word] = bits
+    found = rows.toArrow()  # in one job; an iterator would run one for each partition
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy()
     return out.view(np.uint64)
 
 
@@ -376,8 +376,8 @@ def _spans(keyed: DataFrame, min_words: int, num: int, den: int, least: int) ->
     found = cut(find(keyed, min_words), "repeats")
     of = lambda kind, *cols: found.where(F.col("kind") == kind).select(*(F.col(c).alias(n) for c, n in zip("abcd", cols, strict=False)))
     edges = of(EDGE, "a", "b")
-    items = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct().select("id", F.lit(0).cast("long").alias("n"), F.col("id").alias("h"))
-    needed = cut(items.select("id"), "ids")
+    needed = cut(edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct(), "ids")
+    items = needed.select("id", F.lit(0).cast("long").alias("n"), F.col("id").alias("h"))
     asked = cut(ask(keyed, id_filter(needed), id_filter(of(SEEDED, "id")), min_words), "asked")
     lines = cut(asked.where(F.col("kind") == TEXT).select(F.col("a").alias("id"), "text").join(needed, "id", "left_semi"), "lines")
     clusters = cut(verified_components(edges, items, lines, WIDTH, num, den), "clusters")

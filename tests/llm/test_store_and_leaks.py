@@ -314,3 +314,28 @@ def test_cut_points_of_a_group_are_those_of_each_document():
         for a, b, ends in zip(bounds[:-1], bounds[1:], together, strict=True):
             assert ends == next(token_store.cut_points(ids[a:b], np.array([0, b - a]), 16, 4, 60))
             assert ends[-1] == b - a and all(0 < y - x <= 60 for x, y in zip([0, *ends], ends, strict=False))
+
+
+def test_a_task_gives_its_chunks_on_in_small_batches(spark):
+    import pyarrow as pa
+
+    sent = {}
+
+    class Rows:  # stands for the table: keeps the function that encodes
+        sparkSession = spark
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, f, _):
+            sent["encode"] = f
+            raise InterruptedError
+
+    with pytest.raises(InterruptedError):
+        token_store.write_store(Rows(), "", BPE)
+    rng = random.Random(6)
+    texts = ["".join(rng.choices("abcdefgh ij", k=3000)) for _ in range(1500)]
+    whole = pa.RecordBatch.from_arrays([pa.array(range(1500), pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])
+    out = list(sent["encode"](iter([whole, whole.slice(0, 0)])))
+    assert [i for b in out for i in b.column("doc_id").to_pylist() if i is not None] == list(range(1500))
+    assert max(b.nbytes for b in out) < 3 << 20 < sum(b.nbytes for b in out)

@@ -50,6 +50,8 @@ from veracord.llm.common import read_bytes, shared_dir
 from veracord.llm.pretokens import Ids, text_groups
 
 ROLL = 16
+#: Rows whose texts a task holds as Python objects at a time; bytes of ids after which it gives its chunks on.
+ROWS, SENT = 512, 1 << 20
 STAGED = "kind string, key long, hash binary, n int, data binary, doc_id long, n_tokens long, hashes array<binary>, sizes array<int>"
 _ROLL_POWERS = tuple(pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in (1, 2, 4, 8))
 
@@ -138,8 +140,8 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0
         coder = kept(("store", hash(raw.value)), lambda: Ids(raw.value))
         kind = coder.kind
         seen: set[bytes] = set()
-        for batch in batches:
-            chunks, recipes, names = [], [], iter(batch.column("doc_id").to_pylist())
+        for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
+            chunks, recipes, size, names = [], [], 0, iter(batch.column("doc_id").to_pylist())
             for texts in text_groups(batch.column("text").to_pylist()):
                 ids, bounds = coder(texts)
                 ids = np.insert(ids, bounds[1:], end_id)
@@ -157,9 +159,14 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0
                             seen.add(h)
                         at = to
                     recipes.append((next(names), ends[-1], hashes, sizes))
+                size += len(data)
+                if size > SENT:
+                    yield _staged(chunks, recipes)
+                    chunks, recipes, size = [], [], 0
             if len(seen) > 300_000:  # only saves shuffling; what comes again is dropped after it
                 seen.clear()
-            yield _staged(chunks, recipes)
+            if recipes:
+                yield _staged(chunks, recipes)
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """All rows with one address are in this task, one behind the other: keep the first."""

@@ -1,8 +1,12 @@
+import os
 import random
+import tracemalloc
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 
-from veracord.llm import substring_dedup
+from veracord.llm import substring_dedup, vector
 
 
 def shingles(text):
@@ -92,3 +96,74 @@ def test_filter_of_ids_takes_one_job_whatever_the_partitions(spark):
     asked = np.array([*ids, 2, 65, 8], np.int64).view(np.uint64)
     assert substring_dedup.passes(bits, asked).tolist() == [True] * len(ids) + [False] * 3
     assert not substring_dedup.id_filter(table.where("id = 12345")).any()
+
+
+class Kept:
+    """Stands for a table; keeps the function that its tasks would run."""
+
+    def __getattr__(self, name):
+        def step(*args):
+            self.run = args[0] if name == "mapInArrow" else None
+            return self
+
+        return step
+
+
+def traced_peak(run) -> int:
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def resident() -> int:
+    return int(Path("/proc/self/statm").read_text().split()[1]) * os.sysconf("SC_PAGE_SIZE")
+
+
+def test_few_rows_of_a_batch_are_python_objects_at_a_time(spark):
+    texts = pa.array([f"{i} " + "x" * 2000 for i in range(10_000)] + [None, ""])  # 20 MB
+    assert traced_peak(lambda: [None for _ in vector.grouped(texts)]) < 4 << 20
+    groups = list(vector.grouped(texts))
+    assert [x for _, part in groups for x in part] == [(x or "").encode() for x in texts.to_pylist()]
+    assert [at for at, _ in groups] == [sum(len(part) for _, part in groups[:i]) for i in range(len(groups))]
+    rows = vector.packed([(b, 1, bytes([b]) * 100_000) for b in range(200)], 1)  # 20 MB
+
+    class Fold:
+        def fold(self, kind, data):
+            got.append((kind, b"".join(data)[:1], sum(map(len, data))))
+            yield from ()
+
+        def end(self):
+            yield from ()
+
+    got, run = [], vector.shuffle_packed(Kept(), Fold, "a long", 1).run
+    assert traced_peak(lambda: list(run(iter([rows, rows.slice(199)])))) < 15 << 20  # the last bucket goes on in another batch
+    assert got == [(1, bytes([b]), 100_000) for b in range(199)] + [(1, bytes([199]), 200_000)]
+
+
+def test_a_task_gives_freed_memory_back(spark):
+    pins, sizes = [], []
+
+    class Fold:
+        def fold(self, kind, data):
+            blocks = [bytes(50_000) for _ in range(4_000)]  # 200 MB
+            pins.append(blocks[-1])  # so that the heap's end stays in use
+            sizes.append(resident())
+            yield from ()
+
+        def end(self):
+            yield from ()
+
+    run, before = vector.shuffle_packed(Kept(), Fold, "a long", 1).run, resident()
+    assert list(run(iter([vector.packed([(0, 1, b"x")], 1)]))) == []
+    assert sizes[0] - before > 150 << 20
+    assert resident() - before < 50 << 20
+
+
+def test_large_batches_go_in_pieces():
+    rows = pa.RecordBatch.from_pydict({"n": list(range(3_000)), "data": [bytes([i % 256]) * 5_000 for i in range(3_000)]})
+    got = list(vector.lean(lambda batches: batches)(iter([rows, rows.slice(0, 0), rows.slice(5, 2)])))
+    assert max(b.nbytes for b in got) <= vector.LARGE < rows.nbytes
+    assert pa.Table.from_batches(got).to_pydict() == pa.Table.from_batches([rows, rows.slice(5, 2)]).to_pydict()

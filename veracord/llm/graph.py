@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veracord.llm.common import cut, release
-from veracord.llm.vector import forest
+from veracord.llm.vector import forest, lean
 
 
 #: Edges that a task joins at a time; edges, after each task has joined its own, up to which one task joins them all.
@@ -36,7 +36,7 @@ def contracted(edges: DataFrame) -> DataFrame:
         if held:
             yield edge_batch(*forest(*(np.concatenate(x) for x in zip(*held, strict=True))))
 
-    return edges.select("a", "b").mapInArrow(run, "a long, b long")
+    return edges.select("a", "b").mapInArrow(lean(run), "a long, b long")
 
 
 def edge_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
@@ -53,7 +53,7 @@ def joined(edges: DataFrame) -> DataFrame:
             own = np.unique(root)
             yield edge_batch(np.concatenate([node, own]), np.concatenate([root, own])).rename_columns(["node", "component"])
 
-    return edges.select("a", "b").repartition(1).mapInArrow(run, "node long, component long")
+    return edges.select("a", "b").repartition(1).mapInArrow(lean(run), "node long, component long")
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

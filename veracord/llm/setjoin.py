@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 
 from veracord.llm.common import cut, release
 from veracord.llm.graph import components
-from veracord.llm.vector import PACKED, SUB, U, Words, dealt, forest, grouped, mix, packed, shingle_sets, shuffle_packed, unpacked
+from veracord.llm.vector import PACKED, SUB, U, Words, dealt, forest, grouped, lean, mix, packed, shingle_sets, shuffle_packed, unpacked
 
 #: Documents and shingles of a cell, about, which bound a task's memory; prefix shingles that a task holds before it gives them on.
 CELL, CELL_TOKENS, HELD = 512, 2_000_000, 800_000
@@ -102,7 +102,7 @@ def levels(texts: DataFrame, width: int) -> np.ndarray:
 
     ddl = "piece int, data binary"
     out = np.zeros((PIECES, (1 << BITS) // PIECES), np.uint8)
-    pieces = cut(texts.select("text").mapInArrow(count, ddl).repartition(PIECES, "piece").mapInArrow(add, ddl), "levels")
+    pieces = cut(texts.select("text").mapInArrow(lean(count), ddl).repartition(PIECES, "piece").mapInArrow(lean(add), ddl), "levels")
     for i, data in pieces.toLocalIterator():  # of files: a partition of sums would be made only when its turn comes
         out[i] = np.frombuffer(data, np.uint8)
     release(pieces)
@@ -208,7 +208,7 @@ def set_stars(texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
         if sender.held:
             yield packed(sender.flush(), parts)
 
-    stars = cut(shuffle_packed(texts.select("id", "text").mapInArrow(send, PACKED), StarFold, STAR, parts), "stars")
+    stars = cut(shuffle_packed(texts.select("id", "text").mapInArrow(lean(send), PACKED), StarFold, STAR, parts), "stars")
     level.destroy()
     return stars
 
@@ -307,7 +307,7 @@ def cell_search(width: int, num: int, den: int):
 def _search(cells: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
     key = F.xxhash64("nb", "band", "cell", "qcell").alias("cell")
     rows = cells.join(texts, "id").select(key, "nb", "id", "query", "text")
-    return rows.repartition(partitions(cells), "cell").sortWithinPartitions("cell", "nb", "id").mapInArrow(cell_search(width, num, den), "a long, b long")
+    return rows.repartition(partitions(cells), "cell").sortWithinPartitions("cell", "nb", "id").mapInArrow(lean(cell_search(width, num, den)), "a long, b long")
 
 
 #: Values of the hash by which texts are passed over before a join. They are broadcast as bits, 64 to
@@ -463,7 +463,7 @@ def unshared(texts: DataFrame, width: int, every: int) -> DataFrame:
         if size:
             yield packed(flush(), parts)
 
-    counts = shuffle_packed(texts.select("id", "text").mapInArrow(send, PACKED), lambda: ThinFold(parts), PACKED, parts)
+    counts = shuffle_packed(texts.select("id", "text").mapInArrow(lean(send), PACKED), lambda: ThinFold(parts), PACKED, parts)
     return cut(shuffle_packed(counts, CountFold, "id long, n long, h long, alone long", parts), "unshared")
 
 

@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 
 from veracord.llm.common import cut, release
 from veracord.llm.setjoin import EDGE, HELD, ITEM, SIG, Sender, StarFold, partitions, repeated_ids, star_batch, verified_components
-from veracord.llm.vector import PACKED, U, Words, dealt, grouped, mix, packed, shuffle_packed, stretch_hashes, unpacked, windows
+from veracord.llm.vector import PACKED, U, Words, dealt, grouped, lean, mix, packed, shuffle_packed, stretch_hashes, unpacked, windows
 
 WIDTH, BANDS, ROWS, SEED = 5, 6, 2, 8
 SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * U(0x9E3779B97F4A7C15))
@@ -205,7 +205,7 @@ def find(texts: DataFrame, min_words: int) -> DataFrame:
                 yield packed(sender.by_node(ITEM, docs, np.concatenate(counts), np.zeros(len(docs), np.int64)), parts)
         yield packed(sender.flush(), parts)
 
-    return shuffle_packed(texts.mapInArrow(send, PACKED), FindFold, ROW, parts)
+    return shuffle_packed(texts.mapInArrow(lean(send), PACKED), FindFold, ROW, parts)
 
 
 #: Bits of the filters of seeds and of lines; their size is fixed.
@@ -279,10 +279,10 @@ def ask(texts: DataFrame, wanted: np.ndarray, seeds: np.ndarray, min_words: int)
 
         def flush() -> list:
             key, doc, at = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
             order, first = firsts(key, doc, at)
             key, doc, at = key[order], doc[order], at[order]
             rows = dealt(WINDOW, parts, key[first], doc[first], at[first])
-            held.clear()
             return rows + (sender.by_node(GONE, *runs_of(doc[~first], at[~first], min_words)) if not first.all() else [])
 
         for batch in batches:
@@ -313,7 +313,7 @@ def ask(texts: DataFrame, wanted: np.ndarray, seeds: np.ndarray, min_words: int)
         if held:
             yield packed(flush(), parts)
 
-    return shuffle_packed(texts.mapInArrow(send, PACKED), lambda: AnswerFold(min_words), ANSWER, parts)
+    return shuffle_packed(texts.mapInArrow(lean(send), PACKED), lambda: AnswerFold(min_words), ANSWER, parts)
 
 
 def merged_spans(row: np.ndarray, at: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -412,7 +412,7 @@ def _spans(keyed: DataFrame, min_words: int, num: int, den: int, least: int) ->
             ]
             yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("n_words"), *cols], names=["doc", "n_words", "n_removed", "spans", "copies"])
 
-    return rows.mapInArrow(merge, f"doc long, n_words long, n_removed long, spans {SPANS}, copies {COPIES}")
+    return rows.mapInArrow(lean(merge), f"doc long, n_words long, n_removed long, spans {SPANS}, copies {COPIES}")
 
 
 def remove_spans(docs: DataFrame, min_words: int = 20, num: int = 80, den: int = 100, least: int = 20) -> DataFrame:

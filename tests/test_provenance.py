@@ -1,5 +1,7 @@
 """Semiring laws and explanations of each quantifier."""
 
+import re
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -99,3 +101,47 @@ def test_large_product():
     big = Prov([{("t", i) for i in range(10_000)}])
     assert (p * big).tokens == big.tokens
     assert len(Prov([{("t", i)} for i in range(10_000)]).monomials) == 10_000
+
+
+BOUNDED = [
+    (count_if(col("f")), col("x") >= 2, "FTFTFTFTFT", t(2) * t(4)),
+    (count_if(col("f")), col("x") > 2, "FTFTFTFTFT", t(2) * t(4) * t(6)),
+    (count_if(col("f")), col("x") < 2, "FTFTFTFTFT", t(2) * t(4)),
+    (count_if(col("f")), (col("x") >= 1) & (col("x") >= 3), "FTFTFTFTFT", t(2) * t(4) * t(6)),
+    (count_if(col("f")), col("x") >= 6, "FTFTF", t(1, False) * t(2) * t(3, False) * t(4) * t(5, False)),
+    (proportion(col("f")), col("x") > 0.2, "FTFTFTFTFT", t(2) * t(4) * t(6)),
+    (bool_or(col("f")), col("x"), "FTFTFTFTFT", t(2)),
+    (bool_and(col("f")), col("x"), "FTFTFTFTFT", t(1, False)),
+]
+
+
+@pytest.mark.parametrize("agg,check,flags,why", BOUNDED)
+def test_minimal_explanations_bring_their_own_rows_only(spark, agg, check, flags, why):
+    from veracord.plans.lower import lower
+
+    s = Session(spark).enable_minimal_provenance()
+    f = s.read_rows([(i + 1, c == "T") for i, c in enumerate(flags)], FLAGS).aggregate([agg.alias("x")]).check(check)
+    text = lower(f.optimized_logical_plan(), f._context()).df.head()[f"__p_{check}"]
+    got = f.collect().provenance(str(check))
+    assert got == why
+    assert len(set(re.findall(r'"t":\[\[(\d+)', text))) == len(got.tokens)
+
+
+def test_minimal_explanations_of_groups(spark):
+    data = [(i, "mxq"[i % 3] if i % 10 else None, i % 4 == 0) for i in range(90)]
+    n = Session(spark).enable_minimal_provenance().read_rows(data, GROUPS).aggregate([count_if(col("f")).alias("n"), bool_and(col("f")).alias("a")], [col("g")])
+    many = n.check(col("n") >= 5)
+    for r in many.collect().rows:
+        true = [i for i, g, f in data if g == r.values[0] and f]
+        assert r.values[1] == (len(true) >= 5)
+        own = {next(iter(t(i, f).tokens)) for i, g, f in data if g == r.values[0]}
+        assert r.provenance["n >= 5"].tokens == ({next(iter(t(i).tokens)) for i in true[:5]} if r.values[1] else own)
+    # a group's rows are not gathered where five of them are the explanation
+    sides = lambda f: [len(r["__pos_n"]) + len(r["__neg_n"]) for r in _lowered(f).df.where("n >= 5").collect()]
+    assert set(sides(many)) == {5}
+
+
+def _lowered(check):
+    from veracord.plans.lower import lower
+
+    return lower(check.optimized_logical_plan().input, check._context())

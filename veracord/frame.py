@@ -118,7 +118,8 @@ class SemanticFrame:
         planned = time.time()
         ranked = next((n for n in self.plan.walk() if isinstance(n, (Rank, Aggregate))), None)
         order = ["rank"] if isinstance(ranked, Rank) and "rank" in low.df.columns else []
-        got = low.df.select(*refs(low.schema.names), *refs(low.carried())).collect()
+        whys = [f"__p_{c}" for c, kind in low.prov.items() if kind == "p"]
+        got = low.df.select(*refs(low.schema.names), *refs(whys)).collect()
         # sorted here, since all rows are: Spark's sort would run what lies below it twice, prompts too, to sample ranges
         got.sort(key=lambda r: [(r[c] is not None, r[c]) for c in (*order, *low.schema.key)])
         rows = []

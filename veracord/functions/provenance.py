@@ -160,3 +160,21 @@ def compared(op: str, holds: Column, bound: Column, share: bool, pos: Column, ne
         F.lit(f'{{"k":{{"op":"{op}","share":{str(share).lower()},"holds":'), holds.cast("string"), F.lit(',"bound":'), bound.cast("double").cast("string"),
         F.lit(',"pos":['), F.array_join(pos, ","), F.lit('],"neg":['), F.array_join(neg, ","), F.lit("]}}"),
     )
+
+
+def at_least(op: str, holds: Column) -> Column:
+    """Whether the comparison says that a count is large enough, which its first true arguments show."""
+    return holds if op in (">", ">=") else ~holds if op in ("<", "<=") else F.lit(False)
+
+
+def witnessed(op: str, holds: Column, bound: Column, share: bool, pos: Column, neg: Column) -> Column:
+    """What :func:`compared` says to a minimal explanation, with no more than that reads: where the
+    first true arguments suffice, these alone."""
+    scale = F.size(pos) + F.size(neg) if share else F.lit(1)
+    least = bound.cast("double") * scale
+    need = F.floor(least + 1e-9) + 1 if op in (">", "<=") else F.ceil(least - 1e-9)
+    need = F.greatest(need.cast("int"), F.lit(0))
+    first = F.when(need <= F.size(pos), joined("*", F.slice(pos, F.lit(1), need))).otherwise(F.lit('{"+":[]}'))
+    if share:
+        first = F.when(scale == 0, F.lit('{"1":0}')).otherwise(first)
+    return F.when(at_least(op, holds), first).otherwise(compared(op, holds, bound, share, pos, neg))

@@ -9,9 +9,11 @@ factorised polynomial) or, for counts and proportions, ``__pos_<name>`` and
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 from enum import Enum
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -142,11 +144,11 @@ def _comparison(e: Binary, left: Value, right: Value, low: Lowered, ctx: Context
     if kinds == ("c", "c"):
         if left.share != right.share:
             raise ValueError(f"{e}: a count is compared with a proportion")
-        prov = P.joined("*", F.array(_threshold(e.op, value, left, right.column), _threshold(FLIP[e.op], value, right, left.column)))
+        prov = P.joined("*", F.array(_threshold(e.op, value, left, right.column, ctx), _threshold(FLIP[e.op], value, right, left.column, ctx)))
     elif kinds == ("c", None):
-        prov = _threshold(e.op, value, left, right.column)
+        prov = _threshold(e.op, value, left, right.column, ctx)
     elif kinds == (None, "c"):
-        prov = _threshold(FLIP[e.op], value, right, left.column)
+        prov = _threshold(FLIP[e.op], value, right, left.column, ctx)
     elif kinds == (None, None):
         prov = P.token(low.key, str(e), value)
     elif "c" in kinds or kinds == ("p", "p"):
@@ -164,8 +166,8 @@ def _interval_comparison(e: Binary, left: Value, right: Value) -> Column:
     return satisfies(op, side.column["lower"], side.column["upper"], float(other.plain), side.relative_error)
 
 
-def _threshold(op: str, holds: Column, side: Value, bound: Column) -> Column:
-    why = P.compared(op, holds, bound, side.share, side.pos, side.neg)
+def _threshold(op: str, holds: Column, side: Value, bound: Column, ctx: Context) -> Column:
+    why = (P.witnessed if ctx.minimal else P.compared)(op, holds, bound, side.share, side.pos, side.neg)
     if side.relative_error is not None and op in (">", ">="):  # what was sampled stands for the rest: all of it that is true
         return F.when(holds, P.joined("*", side.pos)).otherwise(why)
     return why
@@ -353,20 +355,75 @@ def _aggregate(node: Aggregate, low: Lowered, ctx: Context) -> Lowered:
     keys = [evaluate(g, asked, replace(ctx, explain=False)).column.alias(str(n)) for g, n in zip(groups, node.group_by, strict=True)]
     order = [ref(k).alias(f"__o{i}") for i, k in enumerate(low.schema.key)] if ctx.explain else []
     flat = asked.df.select(*keys, *order, *(c.alias(n) for n, c in columns.items()))
+    names = [str(g) for g in node.group_by]
+    limits = {i: limit for i, a in enumerate(node.aggs) if values[i].prov is not None and (limit := _limit(a, node, ctx)) is not None}
+    if limits and not flat._jdf.queryExecution().analyzed().deterministic():
+        flat = materialise(flat, "arguments")  # read more than once: prompts are asked once
     out, prov = [], {}
     for i, a in enumerate(node.aggs):
         name, kind = str(a), unalias(a).kind
         out.append(exact(kind, F.col(f"__v{i}")).alias(name))
         if values[i].prov is not None:
-            rank = [F.col(f"__o{j}") for j in range(len(order))]
-            take = lambda truth, i=i, rank=rank: F.transform(F.array_sort(F.collect_list(F.when(F.col(f"__v{i}") == truth, F.struct(*rank, F.col(f"__w{i}").alias("w"))))), lambda x: x["w"])
             prov[name] = "c"
-            out += [take(True).alias(f"__pos_{name}"), take(False).alias(f"__neg_{name}")]
-    df = flat.groupBy(*refs(str(g) for g in node.group_by)).agg(*out) if node.group_by else flat.agg(*out).withColumn(AGG_KEY, F.lit(AGG_ROW))
-    done = Lowered(df, node.schema, prov)
+            if i not in limits:
+                out += _sides(i, name, len(order))
+    df = flat.groupBy(*refs(names)).agg(*out) if names else flat.agg(*out)
+    for i, limit in limits.items():
+        df = _with_witnesses(df, flat, names, i, str(node.aggs[i]), limit, len(order))
+    done = Lowered(df if names else df.withColumn(AGG_KEY, F.lit(AGG_ROW)), node.schema, prov)
     return settle(done, node, ctx)
 
 
+def _sides(i: int, name: str, n_order: int) -> list[Column]:
+    """The explanations of the true and of the false arguments of aggregate ``i``, in row order."""
+    rank = [F.col(f"__o{j}") for j in range(n_order)]
+    take = lambda truth: F.transform(F.array_sort(F.collect_list(F.when(F.col(f"__v{i}") == truth, F.struct(*rank, F.col(f"__w{i}").alias("w"))))), lambda x: x["w"])
+    return [take(True).alias(f"__pos_{name}"), take(False).alias(f"__neg_{name}")]
+
+
+@dataclass(frozen=True)
+class Limit:
+    """What a minimal explanation of an aggregate reads: all rows of a group that meets ``whole``,
+    of others the first ``most`` whose argument is ``truth``."""
+
+    truth: bool
+    most: int
+    whole: Column
+
+
+def _limit(a: Expr, node: Aggregate, ctx: Context) -> Limit | None:
+    """None if the explanation may read every row."""
+    name, kind = str(a), unalias(a).kind
+    if not ctx.minimal:
+        return None
+    if kind in ("bool_or", "bool_and"):
+        return Limit(kind == "bool_or", 1, ~ref(name) if kind == "bool_or" else ref(name))
+    bounds = [(op, v) for n, op, v in node.bounds if n == name]
+    if kind != "count_if" or not bounds:
+        return None
+    at_least = [P.at_least(op, compare(op, ref(name), F.lit(v))) for op, v in bounds]
+    most = max(0, *(math.floor(v + 1e-9) + 1 if op in (">", "<=") else math.ceil(v - 1e-9) for op, v in bounds))
+    return Limit(True, most, ~reduce(Column.__and__, at_least))
+
+
+def _with_witnesses(df: DataFrame, flat: DataFrame, names: list[str], i: int, name: str, limit: Limit, n_order: int) -> DataFrame:
+    """``df``, a row for each group, with the sides of aggregate ``i`` as far as ``limit`` needs them.
+
+    Each task passes on the first rows of its groups only, so that the rows of a group meet in
+    one task just where all of them are the explanation.
+    """
+    rows = flat.select(*refs(names), *(f"__o{j}" for j in range(n_order)), f"__v{i}", f"__w{i}")
+    groups = df.where(limit.whole).select(*(ref(n).alias(f"__g{j}") for j, n in enumerate(names)), F.lit(True).alias("__whole"))
+    same = reduce(Column.__and__, (ref(n).eqNullSafe(F.col(f"__g{j}")) for j, n in enumerate(names)), F.lit(True))
+    first = rows.where(F.col(f"__v{i}") == limit.truth)
+    first = first.withColumn("__at", F.row_number().over(Window.partitionBy(*refs(names)).orderBy(*(f"__o{j}" for j in range(n_order)), f"__w{i}"))).where(F.col("__at") <= limit.most)
+    kept = first.join(groups, same, "left_anti").select(*rows.columns).union(rows.join(groups, same, "left_semi"))
+    sides = kept.groupBy(*(ref(n).alias(f"__g{j}") for j, n in enumerate(names))).agg(*_sides(i, name, n_order))
+    out = df.join(sides, same, "left")
+    held = [F.coalesce(ref(c), F.array().cast("array<string>")).alias(c) for c in (f"__pos_{name}", f"__neg_{name}")]
+    return out.select(*refs(df.columns), *held)
+
+
 def settle(done: Lowered, node: Aggregate, ctx: Context) -> Lowered:
     """Boolean quantifiers have a provenance of their own; counts keep their collections."""
     for a in node.aggs:
@@ -394,27 +451,27 @@ def _rank(node: Rank, low: Lowered, ctx: Context) -> Lowered:
     if ctx.explain and v.kind == "p":
         raise ValueError(f"{node.expr}: rows cannot be ranked by a boolean")
     if ctx.explain and v.kind == "c":
-        out = _rank_provenance(out, low, v)
+        out = _rank_provenance(out, low, v, ctx)
         prov["rank"] = "p"
     done = Lowered(out, node.schema, prov)
     done.df = done.df.select(*refs(done.schema.names), *refs(done.carried()))
     return done
 
 
-def _rank_provenance(df: DataFrame, low: Lowered, v: Value) -> DataFrame:
+def _rank_provenance(df: DataFrame, low: Lowered, v: Value, ctx: Context) -> DataFrame:
     """Why a group ranks where it does: the product of its comparisons with all other groups."""
     side = df.select(F.struct(*low.key).alias("k"), F.col("__score").alias("s"), v.pos.alias("pos"), v.neg.alias("neg"))
     a, b = side.alias("a"), side.alias("b")
     pairs = a.join(b, ~F.col("a.k").eqNullSafe(F.col("b.k")))
-    why = F.when(F.col("a.s") > F.col("b.s"), _versus(">", v)).when(F.col("a.s") < F.col("b.s"), _versus("<", v)).otherwise(_versus("==", v))
+    why = F.when(F.col("a.s") > F.col("b.s"), _versus(">", v, ctx)).when(F.col("a.s") < F.col("b.s"), _versus("<", v, ctx)).otherwise(_versus("==", v, ctx))
     each = pairs.select(F.col("a.k").alias("__k"), F.col("b.k").alias("o"), why.alias("w")).groupBy("__k").agg(P.joined("*", F.transform(F.array_sort(F.collect_list(F.struct("o", "w"))), lambda x: x["w"])).alias("__p_rank"))
     return df.withColumn("__k", F.struct(*low.key)).join(each, "__k", "left").withColumn("__p_rank", F.coalesce("__p_rank", F.lit('{"1":0}'))).drop("__k")
 
 
-def _versus(op: str, v: Value) -> Column:
-    yes = F.lit(True)
-    mine = P.compared(op, yes, F.col("b.s"), v.share, F.col("a.pos"), F.col("a.neg"))
-    theirs = P.compared(FLIP[op], yes, F.col("a.s"), v.share, F.col("b.pos"), F.col("b.neg"))
+def _versus(op: str, v: Value, ctx: Context) -> Column:
+    yes, compared = F.lit(True), P.witnessed if ctx.minimal else P.compared
+    mine = compared(op, yes, F.col("b.s"), v.share, F.col("a.pos"), F.col("a.neg"))
+    theirs = compared(FLIP[op], yes, F.col("a.s"), v.share, F.col("b.pos"), F.col("b.neg"))
     return P.joined("*", F.array(mine, theirs))
 
 

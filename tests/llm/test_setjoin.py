@@ -191,3 +191,27 @@ def test_few_edges_are_joined_without_rounds(spark, monkeypatch):
     many, more = jobs_of(spark, found)
     assert many == few
     assert fewer <= 7 < more, (fewer, more)
+
+
+def test_tables_that_grow_are_not_gathered_on_the_driver(spark):
+    from veracord.llm.common import cut
+
+    docs = cut(spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i // 2 * 9, i // 2 * 9 + 12))) for i in range(40)], "doc_id long, text string"))
+    for out, n in ((setjoin.jaccard_components(docs), 40), (setjoin.one_of_each(docs), 20)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+        assert out.count() == n
+    joins = []
+    hinted = setjoin.dealt_join
+    setjoin.dealt_join = lambda *a: joins.append(hinted(*a)) or joins[-1]
+    try:
+        setjoin.texts_of(docs.select(docs.doc_id.alias("id"), "text"), cut(docs.select(docs.doc_id.alias("id")))).count()
+    finally:
+        setjoin.dealt_join = hinted
+    assert joins[0]._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange") == 1  # the bitmap
+
+
+def test_the_driver_gives_native_memory_back(spark):
+    from veracord.llm.common import give_back_native
+
+    assert "native heap" in give_back_native(spark)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veracord.llm.common import cut, release
+from veracord.llm.common import cut, dealt_join, release
 from veracord.llm.vector import forest, lean
 
 
@@ -78,9 +78,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             break
         both = e.union(e.select("b", "a"))
         lowest = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(lowest, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = dealt_join(both.where("b > a"), lowest, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         lowest = large.groupBy("a").agg(F.min("b").alias("m"))
-        moved = large.join(lowest, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        moved = dealt_join(large, lowest, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         old, e = e, cut(moved.union(lowest.select("a", F.col("m").alias("b"))).distinct(), "edges")
         release(old)
     else:

@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veracord.llm.common import cut, release
+from veracord.llm.common import cut, dealt_join, release
 from veracord.llm.graph import components
 from veracord.llm.vector import PACKED, SUB, U, Words, dealt, forest, grouped, lean, mix, packed, shingle_sets, shuffle_packed, unpacked
 
@@ -306,7 +306,7 @@ def cell_search(width: int, num: int, den: int):
 
 def _search(cells: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
     key = F.xxhash64("nb", "band", "cell", "qcell").alias("cell")
-    rows = cells.join(texts, "id").select(key, "nb", "id", "query", "text")
+    rows = dealt_join(texts, cells, "id").select(key, "nb", "id", "query", "text")
     return rows.repartition(partitions(cells), "cell").sortWithinPartitions("cell", "nb", "id").mapInArrow(lean(cell_search(width, num, den)), "a long, b long")
 
 
@@ -327,7 +327,7 @@ def texts_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
     slot = f"pmod(xxhash64(id), {SLOTS}L)"
     marked = F.expr(f"{slot} div 64 = word AND getbit(marks, cast({slot} % 64 AS int)) = 1")
     near = texts.join(F.broadcast(slots_of(ids)), marked, "left_semi")
-    return cut(near.join(ids, "id", "left_semi"), "texts")
+    return cut(dealt_join(near, ids, "id", "left_semi"), "texts")
 
 
 COUNT = 3
@@ -489,7 +489,7 @@ def verified_components(edges: DataFrame, items: DataFrame, texts: DataFrame, wi
     one for each id or several of one set.
     """
     hoods = components(edges).select(F.col("node").alias("id"), F.col("component").alias("nb"))
-    members = cut(hoods.join(items.groupBy("id").agg(F.min(F.struct("n", "h")).alias("s")).select("id", "s.n", "s.h"), "id"), "members")
+    members = cut(dealt_join(items.groupBy("id").agg(F.min(F.struct("n", "h")).alias("s")).select("id", "s.n", "s.h"), hoods, "id").select("id", "nb", "n", "h"), "members")
     classes = members.groupBy("nb", "n", "h").agg(F.min("id").alias("rep"), F.count("*").alias("k"))
     counts = classes.groupBy("nb").agg(F.count("*").alias("m")).where("m > 1")
     reps = cut(classes.join(counts, "nb").select("nb", F.col("rep").alias("id"), "n", "m"), "reps")
@@ -501,7 +501,8 @@ def verified_components(edges: DataFrame, items: DataFrame, texts: DataFrame, wi
         release(own)
         stars = set_stars(left, width, num, den)
         again = cut(components(stars.where(F.col("kind") == EDGE).select("a", "b")), "again")
-        placed = again.select(F.col("node").alias("id"), F.col("component").alias("nb")).join(large.select("id", "n"), "id")
+        placed = again.select(F.col("node").alias("id"), F.col("component").alias("nb"))
+        placed = dealt_join(placed, large.select("id", "n"), "id")
         counts = placed.groupBy("nb").agg(F.count("*").alias("m"))
         reps = cut(reps.where(F.col("m") <= CELL).union(placed.join(counts, "nb").select("nb", "id", "n", "m")), "reps")
         release(left, stars)
@@ -522,7 +523,7 @@ def verified_components(edges: DataFrame, items: DataFrame, texts: DataFrame, wi
     large = placed.where("cells > 1")
     if not large.isEmpty():
         linked = components(links)
-        large = cut(large.join(linked, large["id"] == linked["node"], "left").select("nb", "band", "cell", "cells", "id", F.coalesce("component", "id").alias("part")), "large")
+        large = cut(dealt_join(large, linked, large["id"] == linked["node"], "left").select("nb", "band", "cell", "cells", "id", F.coalesce("component", "id").alias("part")), "large")
         shares = large.groupBy("nb", "band", "part").agg(F.count("*").alias("k"))
         most = shares.groupBy("nb", "band").agg(F.max_by("part", F.struct("k", -F.col("part"))).alias("most"), F.sum("k").alias("all"), F.max("k").alias("k"))
         share = (F.col("all") - F.col("k")) / F.col("all")  # of the band that asks, in cells of the same size
@@ -550,7 +551,7 @@ def set_components(texts: DataFrame, width: int, num: int, den: int) -> tuple[Da
     stays = cut(may_link(rows, num, den), "stays")
     left = texts_of(texts, stays)
     stars = set_stars(left, width, num, den)
-    found = verified_components(stars.where(F.col("kind") == EDGE).select("a", "b"), items.join(stays, "id", "left_semi"), left, width, num, den)
+    found = verified_components(stars.where(F.col("kind") == EDGE).select("a", "b"), dealt_join(items, stays, "id", "left_semi"), left, width, num, den)
     release(stars, left, stays)
     return items, found
 
@@ -583,12 +584,12 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int
         items, found = set_components(rows.select("id", "text"), width, num, den)
         names = rows.select("id", "doc_id").distinct()
         lead = names.select(F.col("id").alias("component"), F.col("doc_id").alias("b"))
-        found = components(found.join(names, "id").join(lead, "component").select(F.col("doc_id").alias("a"), "b"))
-        items = items.join(names, "id").select(F.col("doc_id").alias("id"), "n")
+        found = components(dealt_join(dealt_join(found, names, "id"), lead, "component").select(F.col("doc_id").alias("a"), "b"))
+        items = dealt_join(items, names, "id").select(F.col("doc_id").alias("id"), "n")
         found = found.select(F.col("node").alias("id"), "component")
     else:
         items, found = set_components(keyed.select(F.col("doc_id").alias("id"), "text"), width, num, den)
-    out = items.join(found, "id", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    out = dealt_join(items, found, "id", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
     return out.unionByName(texts.where(F.col("doc_id").isNull()).mapInArrow(_sizes(width), "doc_id long, n_shingles long, component_id long"))
 
 
@@ -600,18 +601,18 @@ def one_of_each(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100)
     if not repeated_ids(docs):
         _, found = set_components(keyed.select(F.col("doc_id").alias("id"), "text"), width, num, den)
         gone = found.where("id != component").select(F.col("id").alias("doc_id"))
-        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+        return dealt_join(docs, gone, "doc_id", "left_anti").select(*docs.columns)
     rows = keyed.select(row_key().alias("id"), "doc_id", "text")
     _, found = set_components(rows.select("id", "text"), width, num, den)
     names = rows.select("id", "doc_id").distinct()
-    placed = cut(names.join(found, "id"), "placed")
+    placed = cut(dealt_join(names, found, "id"), "placed")
     stays = placed.groupBy("component").agg(F.min(F.struct("doc_id", "id")).alias("s")).select("s.id")
     gone = placed.select("id").exceptAll(stays)
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
-    kept = keyed.select(row_key().alias("key"), whole).join(gone.withColumnRenamed("id", "key"), "key", "left_anti")
+    kept = dealt_join(keyed.select(row_key().alias("key"), whole), gone.withColumnRenamed("id", "key"), "key", "left_anti")
     linked = placed.select(F.col("id").alias("key")).distinct()
-    alone = kept.join(linked, "key", "left_anti").select("row.*")
-    of_group = kept.join(linked, "key", "left_semi").groupBy("key").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row")).select("row.*")
+    alone = dealt_join(kept, linked, "key", "left_anti").select("row.*")
+    of_group = dealt_join(kept, linked, "key", "left_semi").groupBy("key").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row")).select("row.*")
     return alone.unionByName(of_group).unionByName(docs.where(F.col("doc_id").isNull()))
 
 

@@ -30,3 +30,31 @@ def test_interval_of_a_whole_population_is_its_mean():
         x = [i % 3 == 0 for i in range(n)]
         low, high = confseq.estimate_mean(x, 0.95, n)
         assert abs(low - sum(x) / n) < 1e-9 and abs(high - sum(x) / n) < 1e-9
+
+
+def test_rows_are_not_dealt_by_a_score_of_few_values(spark):
+    from veracord.operators.retrieval import rrf_score
+
+    rows = [(i, "a license" if i % 3 else "the text!!", None if i == 7 else [float(i % 5), 1.0]) for i in range(60)]
+    docs = spark.createDataFrame(rows, "id long, text string, e array<double>")
+    plan = rrf_score(docs, "text", None, [1.0, 0.0], ["licens", "the"], ["!!"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan  # the third score is a constant
+    got = {r.id: r.score for r in rrf_score(docs, "text", "e", [1.0, 0.0], ["licens"], ["!!"]).collect()}
+    assert len(got) == 60
+    for i, _, e in rows:
+        similar = 6 if e is None else 5 - i % 5
+        first, second = (1, 1) if i % 3 else (2, 2)
+        assert abs(got[i] - sum(1 / (60 + r) for r in (first, second, similar))) < 1e-12, i
+
+
+def test_places_without_groups_move_rows_once(spark):
+    from veracord.sources.tables import numbered
+
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(key, "-1")
+    try:
+        df = numbered(spark.range(1000).select((F.col("id") * 7 % 1000).alias("id")), [F.desc("id")], [], "place")
+        assert "SortMergeJoin" not in df._jdf.queryExecution().executedPlan().toString()
+        assert all(r.place == 1000 - r.id for r in df.collect())
+    finally:
+        spark.conf.unset(key)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veracord.functions.vectors import dot, vector
+from veracord.sources.tables import numbered
 
 K = 60
 
@@ -21,16 +22,20 @@ def keyword_hits(text: Column, keywords: Sequence[str]) -> Column:
     return total
 
 
-def dense_ranks(df: DataFrame, scores: dict[str, tuple[Column, bool]]) -> DataFrame:
-    """``df`` with a dense rank column for each score (name: score, descending).
+def dense_ranks(df: DataFrame, scores: dict[str, tuple[Column, bool, bool]]) -> DataFrame:
+    """``df`` with a dense rank column for each score (name: score, descending, few).
 
-    Distinct scores are ranked and joined back, so that rows never meet in one task;
-    keyword scores have few distinct values, similarities as many as rows of two numbers.
+    Distinct scores are ranked and joined back, so that rows never meet in one task. Scores of
+    ``few`` values are broadcast: dealt by value, most rows would go to one task. Others are ranged
+    over tasks, as they may be as many as rows; their table has two numbers a row.
     """
-    for name, (score, descending) in scores.items():
+    base = df
+    for name, (score, descending, few) in scores.items():
         df = df.withColumn("__s", score)
         order = F.desc("__s") if descending else F.asc("__s")
-        ranks = df.select("__s").distinct().withColumn(name, F.dense_rank().over(Window.orderBy(order))).withColumnRenamed("__s", "__r")
+        distinct = base.select(score.alias("__s")).distinct()
+        ranks = F.broadcast(distinct.withColumn(name, F.dense_rank().over(Window.orderBy(order)))) if few else numbered(distinct, [order], [], name)
+        ranks = ranks.withColumnRenamed("__s", "__r")
         df = df.join(ranks, F.col("__s").eqNullSafe(F.col("__r"))).drop("__s", "__r")
     return df
 
@@ -41,7 +46,7 @@ def rrf_score(df: DataFrame, text: str, embedding: str | None, query: Sequence[f
     similarity = dot(F.col(embedding), vector(query)) if embedding else F.lit(0.0)
     if digits is not None:
         similarity = F.round(similarity, digits)
-    ranked = dense_ranks(df, {"__r1": (keyword_hits(F.col(text), include), True), "__r2": (keyword_hits(F.col(text), exclude), False), "__r3": (similarity, True)})
+    ranked = dense_ranks(df, {"__r1": (keyword_hits(F.col(text), include), True, True), "__r2": (keyword_hits(F.col(text), exclude), False, True), "__r3": (similarity, True, not embedding)})
     score = 1 / (K + F.col("__r1")) + 1 / (K + F.col("__r2")) + 1 / (K + F.col("__r3"))
     return ranked.withColumn(name, score).drop("__r1", "__r2", "__r3")
 

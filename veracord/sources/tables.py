@@ -87,7 +87,7 @@ def numbered(df: DataFrame, by: list[Column], groups: list[str], name: str) -> D
     Rows are ranged over tasks by group and order, so that neither the whole table nor a
     hot group meets in one task; each range's rows are numbered where they lie, and the
     counts of the ranges before it in the group are added. That table has a row for each
-    range and group that meet.
+    range and group that meet; without groups it is broadcast, so that no row moves again.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(f"`{g}`") for g in groups]
@@ -101,4 +101,4 @@ def numbered(df: DataFrame, by: list[Column], groups: list[str], name: str) -> D
     for i, k in enumerate(keys):
         same = same & k.eqNullSafe(F.col(f"__g{i}"))
     place = (F.col("__before") + F.col("__at") - F.col("__first") + 1).cast("long")
-    return placed.join(starts, same).select(*(F.col(f"`{c}`") for c in df.columns), place.alias(name))
+    return placed.join(starts if groups else F.broadcast(starts), same).select(*(F.col(f"`{c}`") for c in df.columns), place.alias(name))

@@ -58,3 +58,19 @@ def test_places_without_groups_move_rows_once(spark):
         assert all(r.place == 1000 - r.id for r in df.collect())
     finally:
         spark.conf.unset(key)
+
+
+def test_a_model_gets_a_batch_in_parts(spark):
+    from veracord import Session, prompt
+    from veracord.models.language import LanguageModel
+
+    class Counting(LanguageModel):
+        name = "counting"
+
+        def answer(self, requests, dtype=bool):
+            return [len(requests) <= 512 and r.value("word") is not None for r in requests]
+
+    words = spark.range(6000).coalesce(1).select("id", F.when(F.col("id") % 3001 != 0, F.concat(F.lit("w"), F.col("id") % 3000)).alias("word"))
+    asked = Session(spark).disable_provenance().register_model(Counting()).read_frame(words, ("id",)).map(prompt("is {word} there").alias("there")).collect()
+    assert {r.values[0] for r in asked.rows if not r.values[-1]} == {0, 3001}
+    assert asked.metrics.requests == 3001  # each distinct one once

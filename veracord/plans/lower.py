@@ -9,18 +9,22 @@ factorised polynomial) or, for counts and proportions, ``__pos_<name>`` and
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 from enum import Enum
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from veracord.functions import provenance as P
 from veracord.functions.intervals import satisfies
+from veracord.functions.memory import give_back
 from veracord.functions.vectors import max_dot, vector
 from veracord.models.language import LanguageModel, Request
 from veracord.plans.expr import FLIP, Agg, Alias, Binary, Col, Expr, Lit, MaxDot, Native, Not, Prompt, dtype_of, unalias
@@ -29,6 +33,9 @@ from veracord.plans.schema import AGG_KEY, AGG_ROW, Field, Schema, ref, refs, sp
 from veracord.sources.cache import ResponseCache
 from veracord.sources.tables import materialise, write_log
 
+#: Requests of a batch that are Python objects at a time.
+PART = 256
+
 
 @dataclass
 class Context:
@@ -193,22 +200,42 @@ def ask(low: Lowered, prompts: list[Prompt], names: list[str], ctx: Context) ->
 
 
 def answering(model: LanguageModel, prompts: list[tuple[str, object]], fields: list[str], said: tuple, counters: tuple, schema: str):
-    """Struct-valued UDF; each distinct request of a batch is answered once."""
+    """Struct-valued UDF; each distinct request of a batch is answered once. About ``PART`` requests
+    at a time are Python objects; of those that are answered a digest is kept."""
+
+    kinds = to_arrow_type(StructType.fromDDL(schema))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            rows = [tuple(None if pd.isna(v) else v for v in r) for r in batch.itertuples(index=False, name=None)]
-            distinct = list(dict.fromkeys(rows))
-            requests = [Request(prompts[0][0], tuple(zip(fields, r, strict=False)), said) for r in distinct]
-            got = model.answer_fused(requests, prompts) if len(prompts) > 1 else [(a,) for a in model.answer(requests, prompts[0][1])]
-            counter, characters = counters
-            if counter is not None:
-                counter.add(len(distinct))
-                characters.add(sum(len(replace(r, prompt=p).text(d)) for r in requests for p, d in prompts))
-            by = dict(zip(distinct, got, strict=True))
-            yield pd.DataFrame([by[r] for r in rows], columns=[f"a{i}" for i in range(len(prompts))])
-
-    return F.pandas_udf(run, schema).asNondeterministic()
+            yield answers(batch)
+            del batch
+            give_back()
+
+    def answers(batch: pa.Array) -> pa.Array:
+        keys, known, waiting = [], {}, {}
+        for at in range(0, len(batch), PART):
+            for row in zip(*(c.to_pylist() for c in batch.slice(at, PART).flatten()), strict=True):
+                key = hashlib.blake2b(repr(row).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+                keys.append(key)
+                if key not in known:
+                    waiting[key] = row
+            if len(waiting) >= PART or at + PART >= len(batch):
+                known.update(zip(waiting, answer(list(waiting.values())), strict=True))
+                waiting = {}
+        return pa.StructArray.from_arrays([pa.array([known[k][i] for k in keys], f.type) for i, f in enumerate(kinds)], fields=list(kinds))
+
+    def answer(distinct: list[tuple]) -> list[tuple]:
+        requests = [Request(prompts[0][0], tuple(zip(fields, r, strict=False)), said) for r in distinct]
+        if not requests:
+            return []
+        got = model.answer_fused(requests, prompts) if len(prompts) > 1 else [(a,) for a in model.answer(requests, prompts[0][1])]
+        counter, characters = counters
+        if counter is not None:
+            counter.add(len(distinct))
+            characters.add(sum(len(replace(r, prompt=p).text(d)) for r in requests for p, d in prompts))
+        return got
+
+    return F.arrow_udf(run, schema).asNondeterministic()
 
 
 def _ask_cached(low: Lowered, prompts, names, kinds, fields, said, request, ctx: Context) -> DataFrame:
